@@ -53,7 +53,8 @@ def store_month_revenue(
     """Revenue and number of payments per store and month of payment.
 
     Payments shrink to one row per staff member and month before they meet the
-    staff and store tables, so neither join ever sees the payments themselves.
+    staff table, and to one per store and month before the store table: neither
+    join sees the payments themselves, nor all staff of one store together.
     """
     by_staff = payment.groupBy(
         "staff_id", month_start(F.col("payment_date")).alias("month")
@@ -61,11 +62,13 @@ def store_month_revenue(
         F.sum(money(F.col("amount"))).alias("revenue"),
         F.count("payment_id").alias("payments"),
     )
-    return (
+    by_store = (
         by_staff.join(staff.select("staff_id", "store_id"), "staff_id")
-        .join(store.select("store_id"), "store_id")
         .groupBy("store_id", "month")
         .agg(F.sum("revenue").alias("revenue"), F.sum("payments").alias("payments"))
+    )
+    return (
+        by_store.join(store.select("store_id"), "store_id")
         .orderBy("store_id", "month")
         .withColumn("month", month_text(F.col("month")))
     )

@@ -19,4 +19,5 @@ def stream_table(
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    # A stream takes a single file only through a glob, a folder either way.
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
