@@ -6,8 +6,6 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marquee.operators import (
     counts,
@@ -34,17 +32,12 @@ OUTLIER_YEAR = "1998"
 
 def plain_types(frame: DataFrame) -> DataFrame:
     """BIGINT, DOUBLE and text instead of INT, DECIMAL and DATE, to compare engines."""
+    plain = {"int": "bigint", "decimal": "double", "date": "string"}
     columns = []
-    for column in frame.schema:
-        value = F.col(f"`{column.name}`")
-        if isinstance(column.dataType, T.DecimalType):
-            value = value.cast("double")
-        elif isinstance(column.dataType, T.IntegerType):
-            value = value.cast("bigint")
-        elif isinstance(column.dataType, T.DateType):
-            value = value.cast("string")
-        columns.append(value.alias(column.name))
-    return frame.select(*columns)
+    for name, kind in frame.dtypes:
+        target = plain.get(kind.split("(")[0])
+        columns.append(f"CAST(`{name}` AS {target}) AS `{name}`" if target else f"`{name}`")
+    return frame.selectExpr(*columns)
 
 
 def query(build: Query) -> Query:
