@@ -12,7 +12,13 @@ from marquee.functions.calendar import (
     weekday_name,
     weekday_number,
 )
-from marquee.functions.numbers import days_between, money, percentage, two_places
+from marquee.functions.numbers import (
+    cents,
+    days_between,
+    from_cents,
+    percentage,
+    two_places,
+)
 from marquee.functions.text import (
     month_label,
     month_label_from_text,
@@ -23,12 +29,13 @@ from marquee.functions.text import (
 __all__ = [
     "PARTS",
     "WEEKDAYS",
+    "cents",
     "date_text",
     "day_of",
     "days_between",
     "days_in_month",
     "field",
-    "money",
+    "from_cents",
     "month_label",
     "month_label_from_text",
     "month_start",

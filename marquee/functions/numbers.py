@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def money(amount: Column) -> Column:
-    """Exact amount: sums do not depend on the order in which tasks finish."""
-    return amount.cast("decimal(12,2)")
+def cents(amount: Column) -> Column:
+    """Whole cents as BIGINT.
+
+    Integer sums are exact in any order, and narrower and faster than DECIMAL
+    ones. They reach to 92 quadrillion; beyond that ANSI mode raises an error.
+    """
+    return F.rint(amount * 100).cast("bigint")
+
+
+def from_cents(total: Column) -> Column:
+    """Amount as DECIMAL with two places."""
+    return (total.cast("decimal(20,0)") / 100).cast("decimal(20,2)")
 
 
 def two_places(amount: Column) -> Column:

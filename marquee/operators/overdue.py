@@ -8,34 +8,30 @@ from pyspark.sql import functions as F
 from marquee.functions import days_between, month_start, month_text, percentage
 
 
-def item_durations(inventory: DataFrame, film: DataFrame) -> DataFrame:
-    """Allowed rental days of every inventory item."""
-    return inventory.select("inventory_id", "film_id").join(
+def rented_durations(
+    rental: DataFrame, inventory: DataFrame, film: DataFrame
+) -> DataFrame:
+    """Rentals with the allowed days of their film, one table joined at a time so
+    that each is broadcast or shuffled by its own size."""
+    return rental.join(inventory.select("inventory_id", "film_id"), "inventory_id").join(
         film.select("film_id", "rental_duration"), "film_id"
     )
 
 
-def monthly_overdue_rate(rental: DataFrame, durations: DataFrame) -> DataFrame:
+def monthly_overdue_rate(rented: DataFrame) -> DataFrame:
     """Returned rentals per month of rental, how many came back late, and the rate.
 
-    Late means more calendar days than allowed. ``durations`` has
-    ``inventory_id`` and ``rental_duration``.
+    Late means more calendar days than allowed. ``rented`` has ``rental_id``,
+    ``rental_date``, ``return_date`` and ``rental_duration``.
     """
-    returned = rental.where("return_date IS NOT NULL").select(
-        "inventory_id",
-        "rental_id",
-        month_start(F.col("rental_date")).alias("month"),
-        days_between(F.col("return_date"), F.col("rental_date")).alias("days_out"),
-    )
-    allowed = durations.select("inventory_id", "rental_duration")
+    days_out = days_between(F.col("return_date"), F.col("rental_date"))
+    late = days_out > F.col("rental_duration")
     return (
-        returned.join(allowed, "inventory_id")
-        .groupBy("month")
+        rented.where("return_date IS NOT NULL")
+        .groupBy(month_start(F.col("rental_date")).alias("month"))
         .agg(
             F.count("rental_id").alias("rentals"),
-            F.sum(F.when(F.expr("days_out > rental_duration"), 1).otherwise(0)).alias(
-                "overdue"
-            ),
+            F.sum(F.when(late, 1).otherwise(0)).alias("overdue"),
         )
         .orderBy("month")
         .select(

@@ -6,38 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def item_genres(
+def rented_genres(
+    rental: DataFrame,
     inventory: DataFrame,
     film: DataFrame,
     film_category: DataFrame,
     category: DataFrame,
 ) -> DataFrame:
-    """Genre names per inventory item; the catalogue tables join among themselves
-    first, so the rentals meet them once."""
-    named = film_category.select("film_id", "category_id").join(
-        category.selectExpr("category_id", "name AS genre"), "category_id"
-    )
+    """Rentals with a genre name, over the four catalogue tables.
+
+    The tables are joined to the rentals one by one: each is then broadcast or
+    shuffled by its own size. A catalogue joined in advance has no known size,
+    and the rentals would be shuffled for it.
+    """
     return (
-        inventory.select("inventory_id", "film_id")
+        rental.select("customer_id", "rental_id", "inventory_id")
+        .join(inventory.select("inventory_id", "film_id"), "inventory_id")
         .join(film.select("film_id"), "film_id")
-        .join(named, "film_id")
-        .select("inventory_id", "genre")
+        .join(film_category.select("film_id", "category_id"), "film_id")
+        .join(category.selectExpr("category_id", "name AS genre"), "category_id")
+        .select("customer_id", "rental_id", "genre")
     )
 
 
-def top_category_per_customer(
-    customer: DataFrame, rental: DataFrame, genres: DataFrame
-) -> DataFrame:
+def top_category_per_customer(customer: DataFrame, rented: DataFrame) -> DataFrame:
     """The most rented genre of every customer who rented, equal counts by name.
 
-    Rentals are counted per customer and genre in the map tasks, so a customer
-    with very many rentals becomes a few rows before anything is grouped by
-    customer. Names are joined to the one row left per customer.
+    ``rented`` has ``customer_id``, ``rental_id`` and ``genre``. Rentals are
+    counted per customer and genre in the map tasks, so a customer with very many
+    rentals becomes a few rows before anything is grouped by customer. Names are
+    joined to the one row left per customer.
     """
     counts = (
-        rental.select("customer_id", "inventory_id", "rental_id")
-        .join(genres.select("inventory_id", "genre"), "inventory_id")
-        .where("customer_id IS NOT NULL")
+        rented.where("customer_id IS NOT NULL")
         .groupBy("customer_id", "genre")
         .agg(F.count("rental_id").alias("rental_count"))
     )

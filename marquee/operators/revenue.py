@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import (
+    cents,
     days_in_month,
-    money,
+    from_cents,
     month_label,
     month_label_from_text,
     month_start,
@@ -30,47 +31,53 @@ def monthly_volume_revenue(rental: DataFrame, payment: DataFrame) -> DataFrame:
         .groupBy("rental_id")
         .agg(
             F.count(F.lit(1)).alias("payments"),
-            F.sum(money(F.col("amount"))).alias("amount"),
+            F.sum(cents(F.col("amount"))).alias("cents"),
         )
     )
     dated = rental.select("rental_id", month_start(F.col("rental_date")).alias("month"))
     return (
         dated.join(paid, "rental_id")
         .groupBy("month")
-        .agg(F.sum("payments").alias("rentals"), F.sum("amount").alias("revenue"))
+        .agg(F.sum("payments").alias("rentals"), F.sum("cents").alias("cents"))
         .orderBy("month")
         .select(
             month_text(F.col("month")).alias("month"),
             "rentals",
-            two_places(F.col("revenue")).alias("revenue"),
+            from_cents(F.col("cents")).alias("revenue"),
         )
     )
 
 
+def store_payments(staff: DataFrame, payment: DataFrame) -> DataFrame:
+    """Payments with the store of the staff member who took them."""
+    return payment.join(staff.select("staff_id", "store_id"), "staff_id")
+
+
 def store_month_revenue(
     store: DataFrame, staff: DataFrame, payment: DataFrame
 ) -> DataFrame:
     """Revenue and number of payments per store and month of payment.
 
-    Payments shrink to one row per staff member and month before they meet the
-    staff table, and to one per store and month before the store table: neither
-    join sees the payments themselves, nor all staff of one store together.
+    The store table only confirms that a store exists, so it meets one row per
+    store and month instead of the payments.
     """
-    by_staff = payment.groupBy(
-        "staff_id", month_start(F.col("payment_date")).alias("month")
-    ).agg(
-        F.sum(money(F.col("amount"))).alias("revenue"),
-        F.count("payment_id").alias("payments"),
-    )
-    by_store = (
-        by_staff.join(staff.select("staff_id", "store_id"), "staff_id")
-        .groupBy("store_id", "month")
-        .agg(F.sum("revenue").alias("revenue"), F.sum("payments").alias("payments"))
+    totals = (
+        store_payments(staff, payment)
+        .groupBy("store_id", month_start(F.col("payment_date")).alias("month"))
+        .agg(
+            F.sum(cents(F.col("amount"))).alias("cents"),
+            F.count("payment_id").alias("payments"),
+        )
     )
     return (
-        by_store.join(store.select("store_id"), "store_id")
+        totals.join(store.select("store_id"), "store_id")
         .orderBy("store_id", "month")
-        .withColumn("month", month_text(F.col("month")))
+        .select(
+            "store_id",
+            month_text(F.col("month")).alias("month"),
+            from_cents(F.col("cents")).alias("revenue"),
+            "payments",
+        )
     )
 
 
@@ -82,23 +89,24 @@ def store_month_operating_days(staff: DataFrame, payment: DataFrame) -> DataFram
     shuffles one row per store, month and rental instead of expanding each
     payment into one row per distinct aggregate.
     """
-    paid = payment.join(staff.select("staff_id", "store_id"), "staff_id").select(
+    paid = store_payments(staff, payment).select(
         "store_id",
         month_start(F.col("payment_date")).alias("month"),
         F.expr("shiftleft(1, dayofmonth(payment_date) - 1)").alias("day_bit"),
         "rental_id",
-        money(F.col("amount")).alias("amount"),
+        cents(F.col("amount")).alias("cents"),
     )
     totals = paid.groupBy("store_id", "month").agg(
-        F.sum("amount").alias("revenue"),
+        F.sum("cents").alias("cents"),
         F.count_distinct("rental_id").alias("rentals"),
         F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)).alias("operating_days"),
     )
-    per_day = two_places(F.col("revenue") / days_in_month(F.col("month")))
+    revenue = from_cents(F.col("cents"))
+    per_day = two_places(revenue / days_in_month(F.col("month")))
     return totals.orderBy("store_id", "month").select(
         "store_id",
         month_text(F.col("month")).alias("month"),
-        two_places(F.col("revenue")).alias("revenue"),
+        revenue.alias("revenue"),
         "rentals",
         "operating_days",
         per_day.alias("revenue_per_day"),

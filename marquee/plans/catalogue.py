@@ -235,27 +235,30 @@ def slot_outliers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def top_category_per_customer(spark: SparkSession, folder: str) -> DataFrame:
+    genres = standins.film_genres(spark, folder)
     return preferences.top_category_per_customer(
         standins.customers(spark, folder),
-        standins.rented_items(spark, folder),
-        standins.film_genres(spark, folder),
+        standins.rented_items(spark, folder).join(genres, "inventory_id"),
     )
 
 
 @query
 def top_region_per_customer(spark: SparkSession, folder: str) -> DataFrame:
     """The same over four separate catalogue tables, with the region as genre."""
-    return preferences.top_category_per_customer(
-        standins.customers(spark, folder),
+    rented = preferences.rented_genres(
         standins.rented_items(spark, folder, item="l_suppkey"),
-        preferences.item_genres(**standins.region_catalogue(spark, folder)),
+        **standins.region_catalogue(spark, folder),
+    )
+    return preferences.top_category_per_customer(
+        standins.customers(spark, folder), rented
     )
 
 
 @query
 def monthly_overdue_rate(spark: SparkSession, folder: str) -> DataFrame:
+    durations = standins.film_durations(spark, folder)
     return overdue.monthly_overdue_rate(
-        standins.rented_items(spark, folder), standins.film_durations(spark, folder)
+        standins.rented_items(spark, folder).join(durations, "inventory_id")
     )
 
 

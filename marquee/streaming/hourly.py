@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import money
+from marquee.functions import cents, from_cents
 from marquee.operators.counts import count_by
 from marquee.session import shared_folder
 
@@ -33,13 +33,13 @@ def hourly_revenue(
         .groupBy(F.window("event_time", "1 hour"), F.col(kind).alias("kind"))
         .agg(
             F.count(F.lit(1)).alias("rentals"),
-            F.sum(money(F.col(amount))).alias("revenue"),
+            F.sum(cents(F.col(amount))).alias("cents"),
         )
         .select(
             F.col("window.start").cast("timestamp_ntz").alias("hour_start"),
             "kind",
             "rentals",
-            "revenue",
+            from_cents(F.col("cents")).alias("revenue"),
         )
     )
 
