@@ -41,8 +41,13 @@ def weekday_number(when: Column) -> Column:
 
 
 def weekday_name(number: Column) -> Column:
+    """Name of a weekday number, NULL for NULL.
+
+    The guard is needed: on literal arrays ``element_at`` takes a NULL index for
+    a number.
+    """
     names = F.array(*[F.lit(name) for name in WEEKDAYS])
-    return F.element_at(names, number + 1)
+    return F.when(number.isNotNull(), F.element_at(names, number + 1))
 
 
 def month_text(month: Column) -> Column:

@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+from collections import Counter
+from datetime import date
+
+import pytest
+from handmade import RENTAL, dates_only, random_rentals
+from pyspark.sql import functions as F
+
+from marquee.functions import WEEKDAYS
+from marquee.operators import counts, periods
+
+
+def rows(frame):
+    return [tuple(row) for row in frame.collect()]
+
+
+@pytest.fixture(scope="module")
+def made():
+    return random_rentals(seed=5, size=600)
+
+
+@pytest.fixture(scope="module")
+def facts(spark, made):
+    return spark.createDataFrame(made, RENTAL).cache()
+
+
+def known(made):
+    return [out for _, out, *_ in made if out is not None]
+
+
+def test_daily_counts_in_order(facts, made):
+    found = rows(counts.daily_counts(facts.where("rental_date IS NOT NULL")))
+    assert found == sorted(Counter(out.date() for out in known(made)).items())
+
+
+def test_missing_timestamps_form_their_own_group(facts, made):
+    missing = sum(out is None for _, out, *_ in made)
+    assert (None, missing) in rows(counts.hourly_counts(facts))
+    assert (None, missing) in rows(counts.weekday_counts(facts))
+
+
+def test_counted_column_leaves_out_null(spark):
+    frame = spark.createDataFrame(
+        [(1, "2005-05-01 10:00:00"), (None, "2005-05-01 10:30:00")],
+        "rental_id BIGINT, s STRING",
+    ).withColumn("rental_date", F.col("s").cast("timestamp_ntz"))
+    assert rows(counts.hourly_counts(frame)) == [(10, 2)]
+    assert rows(counts.hourly_counts(frame, counted="rental_id")) == [(10, 1)]
+
+
+def test_weekdays_monday_first(facts, made):
+    found = rows(counts.weekday_counts(facts.where("rental_date IS NOT NULL")))
+    expected = Counter(out.weekday() for out in known(made))
+    assert found == [(WEEKDAYS[i], expected[i]) for i in sorted(expected)]
+
+
+def test_weekday_hours_largest_first_with_ties_by_name(facts, made):
+    found = rows(counts.weekday_hour_counts(facts.where("rental_date IS NOT NULL")))
+    tally = Counter((WEEKDAYS[out.weekday()], out.hour) for out in known(made))
+    expected = [(day, hour, n) for (day, hour), n in tally.items()]
+    assert found == sorted(expected, key=lambda row: (-row[2], row[0], row[1]))
+
+
+def test_slot_by_month_finds_the_spike(facts, made):
+    spike = sum(out.day == 14 and out.hour == 15 for out in known(made))
+    found = dict(rows(counts.slot_by_month(facts, 14, 15)))
+    assert sum(found.values()) == spike
+    assert found["2006-02"] == max(found.values())
+    assert list(found) == sorted(found)
+
+
+def test_single_day(facts, made):
+    day = date(2006, 2, 14)
+    expected = sum(out.date() == day for out in known(made))
+    assert rows(counts.single_day_hours(facts, "2006-02-14")) == [(15, expected)]
+
+
+def test_text_bounds_lose_the_last_day(spark):
+    facts = dates_only(
+        spark,
+        "2007-12-30T23:59",
+        "2007-12-31T00:00",
+        "2007-12-31T00:01",
+        "2004-12-31T23:59",
+    )
+    literal = periods.between_texts("rental_date", "2005-01-01", "2007-12-31")
+    whole = periods.whole_days("rental_date", "2005-01-01", "2007-12-31")
+    assert facts.where(literal).count() == 2
+    assert facts.where(whole).count() == 3
+    found = rows(counts.date_hour_counts(facts.where(literal)))
+    assert found == [("2007-12-30", 23, 1), ("2007-12-31", 0, 1)]
+
+
+@pytest.mark.parametrize("period", ["2006", "2006-02", "2006-02-14", "2005-12"])
+def test_within_and_outside_share_out_the_known_rows(facts, made, period):
+    def inside(out):
+        return out.isoformat().startswith(period)
+
+    expected = sum(map(inside, known(made)))
+    total = len(known(made))
+    missing = len(made) - total
+    assert facts.where(periods.within("rental_date", period)).count() == expected
+    dropped = periods.outside("rental_date", period)
+    kept = periods.outside("rental_date", period, keep_missing=True)
+    assert facts.where(dropped).count() == total - expected
+    assert facts.where(kept).count() == total - expected + missing
+
+
+def test_period_bounds_at_the_end_of_a_year():
+    assert periods.period_bounds("2005-12") == (date(2005, 12, 1), date(2006, 1, 1))
+    assert periods.period_bounds("2005-12-31") == (date(2005, 12, 31), date(2006, 1, 1))
+    assert periods.period_bounds("2005") == (date(2005, 1, 1), date(2006, 1, 1))
+
+
+def test_works_on_timestamps_with_zone(spark):
+    frame = dates_only(spark, "2006-02-14T15:16").withColumn(
+        "rental_date", F.col("rental_date").cast("timestamp")
+    )
+    assert rows(counts.single_day_hours(frame, "2006-02-14")) == [(15, 1)]
+    assert frame.where(periods.outside("rental_date", "2006")).count() == 0

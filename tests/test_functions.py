@@ -1,0 +1,161 @@
+from __future__ import annotations
+
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from marquee import functions as f
+
+
+def one(spark, schema, row, *columns):
+    return tuple(spark.createDataFrame([row], schema).select(*columns).first())
+
+
+def test_calendar_parts(spark):
+    when = datetime(2006, 2, 14, 15, 16, 3)
+    stamp = F.col("t")
+    found = one(
+        spark,
+        "t TIMESTAMP_NTZ",
+        (when,),
+        *[part(stamp).alias(name) for name, part in f.PARTS.items()],
+        f.weekday_name(f.weekday_number(stamp)),
+        f.month_text(f.month_start(stamp)),
+        f.days_in_month(f.month_start(stamp)),
+    )
+    assert found == (
+        date(2006, 2, 14),
+        date(2006, 2, 1),
+        2006,
+        14,
+        15,
+        1,
+        "Tuesday",
+        "2006-02",
+        28,
+    )
+
+
+def test_every_weekday_name(spark):
+    days = spark.range(7).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d")
+    )
+    found = days.orderBy("d").select(f.weekday_name(f.weekday_number(F.col("d"))))
+    assert [row[0] for row in found.collect()] == list(f.WEEKDAYS)
+
+
+def test_month_parts_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 02:30 on this day does not exist in New York.
+        found = one(
+            spark,
+            "s STRING",
+            ("2005-04-03 02:30:00",),
+            F.hour(F.col("s").cast("timestamp_ntz")),
+            f.month_text(f.month_start(F.col("s").cast("timestamp_ntz"))),
+            f.date_text(F.col("s").cast("timestamp_ntz"), "%Y-%m-%d"),
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == (2, "2005-04", "2005-04-03")
+
+
+def test_date_text(spark):
+    found = one(
+        spark,
+        "t TIMESTAMP_NTZ",
+        (datetime(2005, 7, 9, 23, 59),),
+        f.date_text(F.col("t"), "%Y-%m"),
+        f.date_text(F.col("t"), "%Y-%m-%d"),
+        f.date_text(F.col("t"), "%W"),
+    )
+    assert found == ("2005-07", "2005-07-09", "Saturday")
+    with pytest.raises(ValueError):
+        f.date_text(F.col("t"), "%H")
+
+
+def test_bad_text_gives_null(spark):
+    text = "a STRING, b STRING, c STRING"
+    found = one(
+        spark,
+        text,
+        ("2005-02-30", "2005-13", "2005-07"),
+        f.parse_date(F.col("a")),
+        f.parse_month(F.col("b")),
+        f.parse_month(F.col("c")),
+    )
+    assert found == (None, None, date(2005, 7, 1))
+
+
+@pytest.mark.parametrize(
+    "month, days", [("2005-02", 28), ("2004-02", 29), ("2005-04", 30), ("2005-07", 31)]
+)
+def test_days_in_month(spark, month, days):
+    last = f.days_in_month(f.parse_month(F.col("m")))
+    assert one(spark, "m STRING", (month,), last) == (days,)
+
+
+def test_field(spark):
+    rows = [("Monday",), ("Sunday",), ("Holiday",), (None,)]
+    frame = spark.createDataFrame(rows, "d STRING")
+    found = frame.select(f.field(F.col("d"), *f.WEEKDAYS)).collect()
+    assert [row[0] for row in found] == [1, 7, 0, 0]
+
+
+def test_cents_and_back(spark):
+    found = one(
+        spark,
+        "a DECIMAL(5,2), b DOUBLE, c DOUBLE",
+        (Decimal("4.99"), 1.15, -68423.46),
+        *[f.cents(F.col(name)) for name in "abc"],
+        f.from_cents(f.cents(F.col("c"))),
+    )
+    assert found == (499, 115, -6842346, Decimal("-68423.46"))
+
+
+def test_percentage(spark):
+    found = one(
+        spark,
+        "a BIGINT, b BIGINT, z BIGINT",
+        (1, 3, 0),
+        f.percentage(F.col("a"), F.col("b")),
+        f.percentage(F.col("a"), F.col("z")),
+    )
+    assert found == (1 * 100.0 / 3, None)
+
+
+def test_days_between_counts_midnights(spark):
+    row = (datetime(2005, 6, 2, 0, 1), datetime(2005, 6, 1, 23, 59))
+    days = f.days_between(F.col("b"), F.col("a"))
+    assert one(spark, "b TIMESTAMP_NTZ, a TIMESTAMP_NTZ", row, days) == (1,)
+
+
+def test_half_cents_round_away_from_zero(spark):
+    row = (Decimal("35777.465"), Decimal("-0.125"))
+    found = one(
+        spark,
+        "a DECIMAL(12,3), b DECIMAL(12,3)",
+        row,
+        f.two_places(F.col("a")),
+        f.two_places(F.col("b")),
+    )
+    assert found == (Decimal("35777.47"), Decimal("-0.13"))
+
+
+def test_labels(spark):
+    found = one(
+        spark,
+        "d DATE, t STRING, n BIGINT, x DOUBLE, y DOUBLE",
+        (date(2005, 7, 1), "2005-07", 1234567, 668.5416, 1234.25),
+        f.month_label(F.col("d")),
+        f.month_label_from_text(F.col("t")),
+        f.with_thousands(F.col("n"), "건"),
+        f.one_place(F.col("x")),
+        f.one_place(F.col("y")),
+    )
+    assert found == ("2005년 7월", "2005년 7월", "1,234,567건", "668.5", "1234.2")
+    assert found[3:] == (f"{668.5416:.1f}", f"{1234.25:.1f}")

@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import pandas as pd
+import pytest
+from handmade import RENTAL, dates_only, random_rentals
+
+from marquee.functions import WEEKDAYS
+from marquee.operators import matrices, periods
+from marquee.sources import inline_rows
+
+# The inline sample of dates, hours and counts.
+SAMPLE = [
+    ("2007-01-01", 10, 5),
+    ("2007-01-01", 14, 10),
+    ("2007-01-01", 20, 12),
+    ("2007-01-02", 11, 6),
+    ("2007-01-02", 15, 9),
+    ("2007-01-02", 21, 11),
+    ("2007-01-03", 12, 7),
+]
+
+
+@pytest.fixture(scope="module")
+def made():
+    return random_rentals(seed=6, size=600)
+
+
+@pytest.fixture(scope="module")
+def facts(spark, made):
+    return spark.createDataFrame(made, RENTAL).cache()
+
+
+@pytest.fixture(scope="module")
+def known(made):
+    frame = pd.DataFrame({"out": [out for _, out, *_ in made if out is not None]})
+    frame["out"] = pd.to_datetime(frame["out"])
+    return frame
+
+
+def grid(frame):
+    rows = frame.collect()
+    return [row[0] for row in rows], [list(row)[1:] for row in rows]
+
+
+def crossed(rows, columns, row_values, column_values):
+    table = pd.crosstab(rows, columns)
+    table = table.reindex(index=row_values, columns=column_values, fill_value=0)
+    return list(table.index), table.values.tolist()
+
+
+def test_hour_by_day(facts, known):
+    out = known["out"].dt
+    expected = crossed(out.hour, out.day, range(24), range(1, 32))
+    assert grid(matrices.hour_by_day(facts)) == expected
+
+
+def test_hour_by_day_without_the_outlier_month(facts, known):
+    kept = known[~((known["out"].dt.year == 2006) & (known["out"].dt.month == 2))]
+    out = kept["out"].dt
+    expected = crossed(out.hour, out.day, range(24), range(1, 32))
+    condition = periods.outside("rental_date", "2006-02", keep_missing=True)
+    assert grid(matrices.hour_by_day(facts.where(condition))) == expected
+
+
+def test_weekday_by_hour(facts, known):
+    out = known["out"].dt
+    _, cells = crossed(out.dayofweek, out.hour, range(7), range(24))
+    assert grid(matrices.weekday_by_hour(facts)) == (list(WEEKDAYS), cells)
+
+
+def test_months_in_time_order_and_not_filled_in(spark):
+    facts = dates_only(
+        spark, "2005-10-31T08:00", "2005-05-24T22:00", "2005-05-24T23:00", None
+    )
+    labels, cells = grid(matrices.month_by_day(facts))
+    assert labels == ["2005년 5월", "2005년 10월"]
+    assert cells[0] == [2 if day == 24 else 0 for day in range(1, 32)]
+    assert cells[1] == [1 if day == 31 else 0 for day in range(1, 32)]
+
+
+def test_empty_facts_give_zeros(spark):
+    facts = spark.createDataFrame([], RENTAL)
+    assert grid(matrices.hour_by_day(facts)) == (list(range(24)), [[0] * 31] * 24)
+    assert grid(matrices.weekday_by_hour(facts)) == (list(WEEKDAYS), [[0] * 24] * 7)
+    assert matrices.month_by_day(facts).count() == 0
+
+
+def test_total_equals_number_of_known_rows(facts, known):
+    for frame in (
+        matrices.hour_by_day(facts),
+        matrices.weekday_by_hour(facts),
+        matrices.month_by_day(facts),
+        matrices.date_by_hour(facts),
+    ):
+        assert sum(map(sum, grid(frame)[1])) == len(known)
+
+
+def test_rows_without_id_are_not_counted_per_hour_and_day(spark):
+    facts = dates_only(spark, "2005-05-24T22:00").selectExpr(
+        "CAST(NULL AS BIGINT) AS rental_id", "rental_date"
+    )
+    assert sum(map(sum, grid(matrices.hour_by_day(facts))[1])) == 0
+
+
+def test_inline_sample(spark):
+    counts = inline_rows(spark, "rental_day STRING, hour INT, rentals INT", SAMPLE)
+    days, cells = grid(matrices.counted_dates_by_hour(counts))
+    assert days == ["2007-01-01", "2007-01-02", "2007-01-03"]
+    expected = {(day, hour): n for day, hour, n in SAMPLE}
+    assert cells == [[expected.get((day, hour), 0) for hour in range(24)] for day in days]
