@@ -1,0 +1,109 @@
+from __future__ import annotations
+
+from collections import Counter
+from statistics import median
+
+import numpy as np
+import pytest
+from handmade import RENTAL, dates_only, random_rentals
+
+from marquee.functions import WEEKDAYS
+from marquee.operators import peaks, periods
+
+
+def rows(frame):
+    return [tuple(row) for row in frame.collect()]
+
+
+@pytest.fixture(scope="module")
+def made():
+    kept = [row for row in random_rentals(seed=7, size=900) if row[1] is not None]
+    return kept
+
+
+@pytest.fixture(scope="module")
+def facts(spark, made):
+    return spark.createDataFrame(made, RENTAL).cache()
+
+
+def slots(made, keep=lambda out: True):
+    tally = Counter(
+        (WEEKDAYS[out.weekday()], out.hour) for _, out, *_ in made if keep(out)
+    )
+    listed = [(day, hour, n) for (day, hour), n in tally.items()]
+    return sorted(listed, key=lambda row: (-row[2], row[0], row[1]))
+
+
+def test_mean_over_the_hours_that_occur(spark):
+    facts = dates_only(
+        spark, "2005-05-01T09:00", "2005-05-01T09:10", "2005-05-02T09:20",
+        "2005-05-01T15:00", "2005-05-01T15:10",
+    )
+    assert rows(peaks.hourly_peak(facts)) == [
+        (9, 3, 2.5, "2.5", True),
+        (15, 2, 2.5, "2.5", False),
+    ]
+
+
+def test_first_of_equal_hours_is_the_peak(spark):
+    facts = dates_only(spark, "2005-05-01T18:00", "2005-05-01T07:00")
+    assert [row[-1] for row in rows(peaks.hourly_peak(facts))] == [True, False]
+
+
+def test_weekday_peak(facts, made):
+    tally = Counter(out.weekday() for _, out, *_ in made)
+    top = max(tally.values())
+    first = min(day for day, n in tally.items() if n == top)
+    assert rows(peaks.weekday_peak(facts)) == [
+        (WEEKDAYS[day], tally[day], f"{tally[day]:,}", top, day == first)
+        for day in sorted(tally)
+    ]
+
+
+def without_2006(out):
+    return out.year != 2006
+
+
+def test_top_slots(facts, made):
+    cutoff = np.quantile([n for *_, n in slots(made)], 0.95)
+    expected = [row for row in slots(made, without_2006) if row[2] >= cutoff]
+    found = rows(peaks.top_slots(facts, periods.outside("rental_date", "2006")))
+    assert found == expected
+
+
+def test_top_slots_by_position(facts, made):
+    everything, kept = slots(made), slots(made, without_2006)
+    cutoff = np.quantile([n for *_, n in everything], 0.95)
+    mask = [n >= cutoff for *_, n in kept]
+    expected = [row for row, chosen in zip(everything, mask) if chosen]
+    condition = periods.outside("rental_date", "2006")
+    assert len(expected) > 3
+    assert rows(peaks.top_slots_positional(facts, condition)) == expected
+
+
+def test_fewer_kept_slots_than_slots(spark):
+    facts = dates_only(
+        spark, "2006-02-14T15:00", "2006-02-14T15:01", "2006-02-15T08:00",
+        "2005-05-24T10:00", "2005-05-24T10:01",
+    )
+    kept = periods.outside("rental_date", "2006")
+    assert rows(peaks.top_slots(facts, kept)) == [("Tuesday", 10, 2)]
+    assert rows(peaks.top_slots_positional(facts, kept)) == [("Tuesday", 10, 2)]
+    none = periods.within("rental_date", "2001")
+    assert rows(peaks.top_slots(facts, none)) == []
+    assert rows(peaks.top_slots_positional(facts, none)) == []
+
+
+def test_outliers_find_the_spike(facts, made):
+    tally = Counter((out.date(), out.hour) for _, out, *_ in made)
+    expected = []
+    for (day, hour), n in tally.items():
+        same = [m for (_, other), m in tally.items() if other == hour]
+        usual = median(same)
+        spread = median(abs(m - usual) for m in same)
+        if n - usual > 3 * spread:
+            expected.append((day, hour, n, usual, spread))
+    expected.sort(key=lambda row: (-row[2], row[0], row[1]))
+    found = rows(peaks.slot_outliers(facts))
+    assert found == expected
+    assert (str(found[0][0]), found[0][1]) == ("2006-02-14", 15)
