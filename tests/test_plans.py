@@ -1,0 +1,197 @@
+"""Physical plans: what is read, what is shuffled, what splits a hot key."""
+
+from __future__ import annotations
+
+import re
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from marquee.operators import counts, periods, preferences, revenue
+from marquee.sources import standins
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@contextmanager
+def settings(spark, **values):
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(frame):
+    """The plan after it has run, as adapted at run time."""
+    execution = frame._jdf.queryExecution()
+    execution.toRdd().count()
+    return execution.executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+BATCH = [name for name in entry.queries() if not name.startswith("stream_")]
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_python_and_no_cross_join(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    for operator in (
+        "BatchEvalPython",
+        "ArrowEvalPython",
+        "PythonUDF",
+        "InPandas",
+        "CartesianProduct",
+        "BroadcastNestedLoopJoin",
+    ):
+        assert operator not in text
+
+
+def columns_read(text):
+    return re.findall(r"ReadSchema: struct<([^>]*)>", text)
+
+
+def test_only_needed_columns_are_read(spark):
+    frame = entry.queries()["weekday_hour_counts"](spark, FOLDER)
+    assert columns_read(plan(frame)) == ["ts:timestamp_ntz"]
+
+
+@pytest.mark.parametrize(
+    "condition, pushed",
+    [
+        (
+            lambda: periods.within("rental_date", "2024-01-14"),
+            ["GreaterThanOrEqual(ts,2024-01-14T00:00)", "LessThan(ts,2024-01-15T00:00)"],
+        ),
+        (
+            lambda: periods.outside("rental_date", "2024"),
+            [
+                "Or(LessThan(ts,2024-01-01T00:00),"
+                "GreaterThanOrEqual(ts,2025-01-01T00:00))"
+            ],
+        ),
+        (
+            lambda: periods.between_texts("rental_date", "2024-01-05", "2024-01-20"),
+            [
+                "GreaterThanOrEqual(ts,2024-01-05T00:00)",
+                "LessThanOrEqual(ts,2024-01-20T00:00)",
+            ],
+        ),
+    ],
+)
+def test_period_conditions_reach_the_scan(spark, condition, pushed):
+    facts = standins.event_rentals(spark, FOLDER).where(condition())
+    text = plan(counts.hourly_counts(facts))
+    filters = text.split("PushedFilters: ")[1].split("ReadSchema")[0]
+    for piece in pushed:
+        assert piece in filters
+
+
+def test_top_one_is_limited_before_the_shuffle(spark):
+    text = plan(entry.queries()["top_category_per_customer"](spark, FOLDER))
+    assert len(re.findall(r"WindowGroupLimit .*Partial", text)) == 1
+    assert len(re.findall(r"WindowGroupLimit .*Final", text)) == 1
+
+
+def test_two_distinct_counts_do_not_expand_the_payments(spark):
+    text = plan(entry.queries()["store_month_operating_days"](spark, FOLDER))
+    assert "Expand" not in text
+
+
+def test_revenue_join_reuses_the_shuffle_of_the_sums(spark):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        text = plan(
+            revenue.monthly_volume_revenue(
+                standins.order_rentals(spark, FOLDER), standins.payments(spark, FOLDER)
+            )
+        )
+    # One shuffle of either side, one of the months, one for their order.
+    assert text.count("Exchange hashpartitioning(rental_id") == 2
+    assert text.count("Exchange ") == 4
+
+
+def test_small_catalogue_is_never_shuffled(spark):
+    text = plan(entry.queries()["top_region_per_customer"](spark, FOLDER))
+    assert "SortMergeJoin" not in text
+    assert "hashpartitioning(inventory_id" not in text
+
+
+@pytest.fixture(scope="module")
+def hot_store(spark, tmp_path_factory):
+    """Rentals of which a third share an item, in files, as a cluster has them."""
+    folder = str(tmp_path_factory.mktemp("hot"))
+    spark.range(0, 400_000, 1, 16).selectExpr(
+        "id AS rental_id",
+        "id % 5000 AS customer_id",
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20000 END AS inventory_id",
+    ).write.parquet(f"{folder}/rental")
+    spark.range(20_000).selectExpr(
+        "id AS inventory_id", "concat('genre ', id % 16) AS genre"
+    ).write.parquet(f"{folder}/genres")
+    spark.range(5000).selectExpr(
+        "id AS customer_id", "'a' AS first_name", "'b' AS last_name"
+    ).write.parquet(f"{folder}/customer")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("rental", "genres", "customer")}
+
+
+def test_hot_item_is_split_over_tasks(spark, hot_store):
+    """With tables too large to broadcast, the join on the hot item is split."""
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="64KB",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="64KB",
+        spark__sql__shuffle__partitions="32",
+    ):
+        rented = hot_store["rental"].join(hot_store["genres"], "inventory_id")
+        frame = preferences.top_category_per_customer(hot_store["customer"], rented)
+        text = final_plan(frame)
+    assert "SortMergeJoin(skew=true)" in text
+
+
+def test_bucketed_tables_join_without_shuffling_rows(spark):
+    """Facts stored in buckets of the rental key need no shuffle for their join."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS buckets")
+    try:
+        for name, frame in (
+            ("rental", standins.order_rentals(spark, FOLDER)),
+            ("payment", standins.payments(spark, FOLDER)),
+        ):
+            writer = frame.write.bucketBy(8, "rental_id").sortBy("rental_id")
+            writer.mode("overwrite").saveAsTable(f"buckets.{name}")
+        with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+            frame = revenue.monthly_volume_revenue(
+                spark.table("buckets.rental"), spark.table("buckets.payment")
+            )
+            text = plan(frame)
+            assert "hashpartitioning(rental_id" not in text
+            plain = revenue.monthly_volume_revenue(
+                standins.order_rentals(spark, FOLDER), standins.payments(spark, FOLDER)
+            )
+            assert frame.collect() == plain.collect()
+    finally:
+        spark.sql("DROP DATABASE buckets CASCADE")
+
+
+def test_hot_slot_shuffles_one_row_per_task(spark):
+    """Ten million rows in one hour leave each map task as a single row."""
+    hot = spark.range(0, 10_000_000, 1, 8).select(
+        F.lit("2006-02-14 15:16:03").cast("timestamp_ntz").alias("rental_date")
+    )
+    text = plan(counts.hourly_counts(hot))
+    before = text.index("Exchange hashpartitioning")
+    assert "partial_count" in text[before:]
+    assert [tuple(row) for row in counts.hourly_counts(hot).collect()] == [(15, 10_000_000)]
