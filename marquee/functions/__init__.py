@@ -9,6 +9,7 @@ from marquee.functions.calendar import (
     month_text,
     parse_date,
     parse_month,
+    parse_timestamp,
     weekday_name,
     weekday_number,
 )
@@ -43,6 +44,7 @@ __all__ = [
     "one_place",
     "parse_date",
     "parse_month",
+    "parse_timestamp",
     "percentage",
     "two_places",
     "weekday_name",

@@ -69,6 +69,11 @@ def parse_date(text: Column) -> Column:
     return F.try_to_date(text, "yyyy-MM-dd")
 
 
+def parse_timestamp(text: Column) -> Column:
+    """Timestamp without zone from text; text that is none raises an error."""
+    return text.cast("timestamp_ntz")
+
+
 def parse_month(text: Column) -> Column:
     """First day of a ``yyyy-MM`` text month, NULL where the text is no month."""
     return parse_date(F.concat(text, F.lit("-01")))

@@ -1,4 +1,5 @@
 from marquee.plans.catalogue import QUERIES
 from marquee.plans.checks import ORACLES
+from marquee.plans.store_queries import STORE_QUERIES, Choices, run_report
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "STORE_QUERIES", "Choices", "run_report"]

@@ -1,4 +1,8 @@
-"""Every query by name, over the test tables of one folder."""
+"""Every query by name, over the test tables of one folder.
+
+A query is a report of ``store_queries`` on one of three stand-in stores, or one
+of the few at the end that need tables in another shape.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +11,22 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.operators import (
-    counts,
-    matrices,
-    overdue,
-    peaks,
-    periods,
-    preferences,
-    revenue,
-    scans,
-)
+from marquee.operators import overdue, preferences, scans
+from marquee.plans.store_queries import STORE_QUERIES, Choices
 from marquee.sources import read_table, run_sql, standins, stream_table
 from marquee.streaming import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-
-# The test events cover January 2024 and the test orders 1995 to 2001.
-OUTLIER_DAY = "2024-01-14"
-OUTLIER_MONTH = "1998-02"
-OUTLIER_YEAR = "1998"
+# The test events cover January 2024, the test orders 1995 to 2001.
+EVENT_CHOICES = Choices(
+    single_day="2024-01-14",
+    hour_outlier="2024-01-14",
+    weekday_outlier="2024-01-14",
+    first_day="2024-01-05",
+    last_day="2024-01-20",
+)
+ORDER_CHOICES = Choices(hour_outlier="1998-02", weekday_outlier="1998")
 
 
 def plain_types(frame: DataFrame) -> DataFrame:
@@ -40,67 +39,79 @@ def plain_types(frame: DataFrame) -> DataFrame:
     return frame.selectExpr(*columns)
 
 
-def query(build: Query) -> Query:
-    @wraps(build)
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return plain_types(build(spark, folder))
-
-    QUERIES[build.__name__] = run
-    return run
-
-
-def without_outlier_day(spark: SparkSession, folder: str) -> DataFrame:
-    events = standins.event_rentals(spark, folder)
-    return events.where(periods.outside("rental_date", OUTLIER_DAY))
-
-
-def without_outlier_year(spark: SparkSession, folder: str) -> DataFrame:
-    orders = standins.order_rentals(spark, folder)
-    return orders.where(periods.outside("rental_date", OUTLIER_YEAR))
-
-
-# Volume and revenue
-
-
-@query
-def monthly_volume_revenue(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.monthly_volume_revenue(
-        standins.order_rentals(spark, folder), standins.payments(spark, folder)
-    )
+def on_store(name: str, store: Callable, report: str, choices: Choices) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return plain_types(STORE_QUERIES[report](store(spark, folder), choices))
+
+    query.__name__ = name
+    return query
+
+
+# Reports that need a time of day.
+ON_EVENTS = (
+    "daily_counts",
+    "hourly_counts",
+    "single_day_hours",
+    "spike_slot_by_month",
+    "weekday_counts",
+    "weekday_hour_counts",
+    "weekday_hour_counts_excluding",
+    "date_hour_counts",
+    "heat_hour_day",
+    "heat_hour_day_excluding",
+    "heat_weekday_hour",
+    "heat_weekday_hour_excluding",
+    "heat_date_hour",
+    "hourly_peak",
+    "weekday_peak",
+    "top_slots",
+    "top_slots_positional",
+    "slot_outliers",
+    "rental_scan",
+)
 
+# Reports over several years or with payments: query name and report.
+ON_ORDERS = {
+    "monthly_volume_revenue": "monthly_volume_revenue",
+    "store_month_operating_days": "store_month_operating_days",
+    "store_month_revenue": "store_month_revenue",
+    "month_labels": "month_labels",
+    "heat_month_day": "heat_month_day",
+    "heat_hour_day_excluding_month": "heat_hour_day_excluding",
+    "heat_weekday_hour_excluding_year": "heat_weekday_hour_excluding",
+    "weekday_hour_counts_excluding_year": "weekday_hour_counts_excluding",
+}
+
+# Reports on items, with the supplier as item and the region as genre.
+ON_ITEMS = {
+    "top_region_per_customer": "top_category_per_customer",
+    "monthly_overdue_rate_by_nation": "monthly_overdue_rate",
+    "rental_return_dates": "rental_return_dates",
+}
 
-@query
-def store_month_operating_days(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.store_month_operating_days(
-        standins.staff(spark, folder), standins.payments(spark, folder)
-    )
 
-
-@query
-def store_month_revenue(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.store_month_revenue(
-        standins.stores(spark, folder),
-        standins.staff(spark, folder),
-        standins.payments(spark, folder),
+def top_category_per_customer(spark: SparkSession, folder: str) -> DataFrame:
+    """The part type as genre: one table stands for the whole catalogue."""
+    rented = standins.rented_items(spark, folder, "l_partkey")
+    genres = standins.part_genres(spark, folder)
+    return preferences.top_category_per_customer(
+        standins.customers(spark, folder), rented.join(genres, "inventory_id")
     )
 
 
-@query
-def month_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.month_labels(standins.order_rentals(spark, folder))
-
-
-# Counts per calendar part
+def monthly_overdue_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """The part size as allowed days."""
+    rented = standins.rented_items(spark, folder, "l_partkey")
+    durations = standins.part_durations(spark, folder)
+    return overdue.monthly_overdue_rate(rented.join(durations, "inventory_id"))
 
 
-@query
-def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.daily_counts(standins.event_rentals(spark, folder))
+def table_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.whole_table(read_table(spark, folder, "customer"))
 
 
-@query
 def daily_counts_sql(spark: SparkSession, folder: str) -> DataFrame:
-    """The same as SQL text, with Korean names and grouping by an alias."""
+    """SQL text with Korean names, grouping and ordering by an alias."""
     return run_sql(
         spark,
         "SELECT to_date(rental_date) AS `날짜`, count(*) AS `대여건수` "
@@ -109,181 +120,6 @@ def daily_counts_sql(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
-def hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.hourly_counts(
-        standins.event_rentals(spark, folder), counted="rental_id"
-    )
-
-
-@query
-def single_day_hours(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.single_day_hours(standins.event_rentals(spark, folder), OUTLIER_DAY)
-
-
-@query
-def weekday_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.weekday_counts(standins.event_rentals(spark, folder))
-
-
-@query
-def weekday_hour_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.weekday_hour_counts(standins.event_rentals(spark, folder))
-
-
-@query
-def weekday_hour_counts_excluding(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.weekday_hour_counts(without_outlier_day(spark, folder))
-
-
-@query
-def weekday_hour_counts_excluding_year(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.weekday_hour_counts(without_outlier_year(spark, folder))
-
-
-@query
-def date_hour_counts(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = periods.between_texts("rental_date", "2024-01-05", "2024-01-20")
-    return counts.date_hour_counts(standins.event_rentals(spark, folder).where(chosen))
-
-
-@query
-def spike_slot_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.slot_by_month(standins.event_rentals(spark, folder), day=14, hour=15)
-
-
-# Matrices
-
-
-@query
-def heat_month_day(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.month_by_day(standins.order_rentals(spark, folder))
-
-
-@query
-def heat_hour_day(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.hour_by_day(standins.event_rentals(spark, folder))
-
-
-@query
-def heat_hour_day_excluding(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.hour_by_day(without_outlier_day(spark, folder))
-
-
-@query
-def heat_hour_day_excluding_month(spark: SparkSession, folder: str) -> DataFrame:
-    kept = periods.outside("rental_date", OUTLIER_MONTH, keep_missing=True)
-    return matrices.hour_by_day(standins.order_rentals(spark, folder).where(kept))
-
-
-@query
-def heat_weekday_hour(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.weekday_by_hour(standins.event_rentals(spark, folder))
-
-
-@query
-def heat_weekday_hour_excluding(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.weekday_by_hour(without_outlier_day(spark, folder))
-
-
-@query
-def heat_weekday_hour_excluding_year(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.weekday_by_hour(without_outlier_year(spark, folder))
-
-
-@query
-def heat_date_hour(spark: SparkSession, folder: str) -> DataFrame:
-    return matrices.date_by_hour(standins.event_rentals(spark, folder))
-
-
-# Peaks
-
-
-@query
-def hourly_peak(spark: SparkSession, folder: str) -> DataFrame:
-    return peaks.hourly_peak(standins.event_rentals(spark, folder))
-
-
-@query
-def weekday_peak(spark: SparkSession, folder: str) -> DataFrame:
-    return peaks.weekday_peak(standins.event_rentals(spark, folder))
-
-
-@query
-def top_slots(spark: SparkSession, folder: str) -> DataFrame:
-    return peaks.top_slots(
-        standins.event_rentals(spark, folder),
-        periods.outside("rental_date", OUTLIER_DAY),
-    )
-
-
-@query
-def top_slots_positional(spark: SparkSession, folder: str) -> DataFrame:
-    return peaks.top_slots_positional(
-        standins.event_rentals(spark, folder),
-        periods.outside("rental_date", OUTLIER_DAY),
-    )
-
-
-@query
-def slot_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return peaks.slot_outliers(standins.event_rentals(spark, folder))
-
-
-# Customers and items
-
-
-@query
-def top_category_per_customer(spark: SparkSession, folder: str) -> DataFrame:
-    genres = standins.film_genres(spark, folder)
-    return preferences.top_category_per_customer(
-        standins.customers(spark, folder),
-        standins.rented_items(spark, folder).join(genres, "inventory_id"),
-    )
-
-
-@query
-def top_region_per_customer(spark: SparkSession, folder: str) -> DataFrame:
-    """The same over four separate catalogue tables, with the region as genre."""
-    rented = preferences.rented_genres(
-        standins.rented_items(spark, folder, item="l_suppkey"),
-        **standins.region_catalogue(spark, folder),
-    )
-    return preferences.top_category_per_customer(
-        standins.customers(spark, folder), rented
-    )
-
-
-@query
-def monthly_overdue_rate(spark: SparkSession, folder: str) -> DataFrame:
-    durations = standins.film_durations(spark, folder)
-    return overdue.monthly_overdue_rate(
-        standins.rented_items(spark, folder).join(durations, "inventory_id")
-    )
-
-
-# Scans
-
-
-@query
-def table_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.whole_table(read_table(spark, folder, "customer"))
-
-
-@query
-def rental_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.whole_table(standins.event_rentals(spark, folder))
-
-
-@query
-def rental_return_dates(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.rental_return_dates(standins.rented_items(spark, folder))
-
-
-# Streams
-
-
-@query
 def stream_hourly_revenue(spark: SparkSession, folder: str) -> DataFrame:
     stream = hourly.hourly_revenue(
         stream_table(spark, folder, "events"), "ts", "value", "event_type"
@@ -291,8 +127,42 @@ def stream_hourly_revenue(spark: SparkSession, folder: str) -> DataFrame:
     return hourly.run_available(spark, stream, "hourly-revenue")
 
 
-@query
 def stream_surge(spark: SparkSession, folder: str) -> DataFrame:
     usual = hourly.usual_slot_counts(read_table(spark, folder, "events"), "ts")
     stream = hourly.surging_hours(stream_table(spark, folder, "events"), usual, "ts")
     return hourly.run_available(spark, stream, "surge")
+
+
+def plain(build: Query) -> Query:
+    @wraps(build)
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return plain_types(build(spark, folder))
+
+    return query
+
+
+QUERIES: dict[str, Query] = {
+    **{
+        name: on_store(name, standins.order_store, report, ORDER_CHOICES)
+        for name, report in ON_ORDERS.items()
+    },
+    **{
+        name: on_store(name, standins.event_store, name, EVENT_CHOICES)
+        for name in ON_EVENTS
+    },
+    **{
+        name: on_store(name, standins.item_store, report, Choices())
+        for name, report in ON_ITEMS.items()
+    },
+    **{
+        build.__name__: plain(build)
+        for build in (
+            top_category_per_customer,
+            monthly_overdue_rate,
+            table_scan,
+            daily_counts_sql,
+            stream_hourly_revenue,
+            stream_surge,
+        )
+    },
+}

@@ -56,6 +56,18 @@ def favourites(items: str) -> str:
     )
 
 
+def overdue_rates(catalogue: str, allowed: str) -> str:
+    return (
+        "WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, "
+        f"datediff('day', o_orderdate, l_shipdate) > {allowed} AS late "
+        f"FROM orders JOIN lineitem ON l_orderkey = o_orderkey {catalogue} "
+        "WHERE l_shipdate IS NOT NULL) "
+        "SELECT month, count(*) AS rentals, count(*) FILTER (late) AS overdue, "
+        "CAST(count(*) FILTER (late) AS DOUBLE) * 100 / count(*) AS overdue_percent "
+        "FROM r GROUP BY 1"
+    )
+
+
 SLOT_PAIRS = (
     "SELECT strftime(ts, '%A') AS weekday, hour(ts) AS hour, count(*) AS n_all, "
     f"count(*) FILTER ({NOT_OUTLIER_DAY}) AS n_kept FROM events GROUP BY 1, 2"
@@ -184,16 +196,14 @@ ORACLES: dict[str, str] = {
         "JOIN nation ON n_nationkey = s_nationkey "
         "JOIN region ON r_regionkey = n_regionkey"
     ),
-    "monthly_overdue_rate": """
-        WITH r AS (
-          SELECT strftime(o_orderdate, '%Y-%m') AS month,
-                 datediff('day', o_orderdate, l_shipdate) > p_size AS late
-          FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-               JOIN part ON p_partkey = l_partkey WHERE l_shipdate IS NOT NULL)
-        SELECT month, count(*) AS rentals, count(*) FILTER (late) AS overdue,
-               CAST(count(*) FILTER (late) AS DOUBLE) * 100 / count(*)
-                 AS overdue_percent
-        FROM r GROUP BY 1""",
+    "monthly_overdue_rate": overdue_rates(
+        "JOIN part ON p_partkey = l_partkey", "p_size"
+    ),
+    "monthly_overdue_rate_by_nation": overdue_rates(
+        "JOIN supplier ON s_suppkey = l_suppkey "
+        "JOIN nation ON n_nationkey = s_nationkey",
+        "n_nationkey",
+    ),
     "table_scan": "SELECT * FROM customer",
     "rental_scan": """
         SELECT event_id AS rental_id, ts AS rental_date, user_id AS customer_id
