@@ -1,7 +1,8 @@
 """Counts per calendar part.
 
 The facts are combined in the map tasks, so what is shuffled is one row per
-task and calendar slot however many rows a slot holds.
+task and calendar slot however many rows a slot holds. All reports here also
+take an hour cube in place of the facts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,26 @@ from marquee.functions import PARTS, date_text, month_text, weekday_name
 from marquee.operators.periods import in_slot, within
 
 
+def number_of(
+    facts: DataFrame, counted: str | None = None, kept: Column | None = None
+) -> Column:
+    """Aggregate: number of rows, or of rows with a value in ``counted``, among the
+    ``kept`` ones.
+
+    A frame with ``row_count`` is an hour cube and brings its numbers along.
+    """
+    cube = "row_count" in facts.columns
+    if cube:
+        value = F.col("row_count" if counted is None else "id_count")
+    else:
+        value = F.lit(1) if counted is None else F.col(counted)
+    if kept is not None:
+        value = F.when(kept, value)
+    if cube:
+        return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
+    return F.count(value)
+
+
 def count_by(
     facts: DataFrame,
     when: str,
@@ -24,8 +45,26 @@ def count_by(
 ) -> DataFrame:
     """Rows (or non-NULL ``counted`` values) per combination of calendar parts."""
     keys = [PARTS[part](F.col(when)).alias(part) for part in parts]
-    counted_column: Column = F.lit(1) if counted is None else F.col(counted)
-    return facts.groupBy(*keys).agg(F.count(counted_column).alias(name))
+    return facts.groupBy(*keys).agg(number_of(facts, counted).alias(name))
+
+
+def hour_cube(
+    facts: DataFrame, when: str = "rental_date", counted: str = "rental_id"
+) -> DataFrame:
+    """Facts shrunk to one row per hour of the history: the hour in the place of
+    the timestamp, ``row_count`` and ``id_count``.
+
+    Written to a table once, it serves every report on whole hours, so that many
+    reports cost one scan of the facts instead of one each. ``date_hour_counts``
+    with text bounds needs the facts, as its upper bound cuts into an hour.
+    """
+    hours = facts.groupBy(
+        F.to_date(when).alias("rental_day"), F.hour(when).alias("hour")
+    ).agg(F.count(F.lit(1)).alias("row_count"), F.count(counted).alias("id_count"))
+    day = "year(rental_day), month(rental_day), day(rental_day)"
+    return hours.selectExpr(
+        f"make_timestamp_ntz({day}, hour, 0, 0) AS {when}", "row_count", "id_count"
+    )
 
 
 def daily_counts(facts: DataFrame, when: str = "rental_date") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import PARTS, date_text, month_label, weekday_name
+from marquee.operators.counts import number_of
 
 DAYS = range(1, 32)
 HOURS = range(24)
@@ -27,11 +28,17 @@ def spread(
 
 
 def by_parts(
-    facts: DataFrame, when: str, row: str, column: str, values: range, measure: Column
+    facts: DataFrame,
+    when: str,
+    row: str,
+    column: str,
+    values: range,
+    counted: str | None = None,
 ) -> DataFrame:
     """Two calendar parts of one timestamp against each other."""
     stamp = F.col(when)
     known = facts.where(stamp.isNotNull())
+    measure = number_of(facts, counted)
     return spread(known, PARTS[row](stamp), PARTS[column](stamp), values, measure)
 
 
@@ -53,7 +60,7 @@ def every_row(spark: SparkSession, matrix: DataFrame, rows: range) -> DataFrame:
 
 def month_by_day(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     """Months in time order × days 1 to 31; a month without rows has no row."""
-    matrix = by_parts(facts, when, "month", "day", DAYS, F.count(F.lit(1)))
+    matrix = by_parts(facts, when, "month", "day", DAYS)
     labelled = matrix.withColumn("month_label", month_label(F.col("row_key")))
     return labelled.orderBy("row_key").selectExpr("month_label", *cells(DAYS, "d"))
 
@@ -62,14 +69,14 @@ def hour_by_day(
     facts: DataFrame, when: str = "rental_date", counted: str = "rental_id"
 ) -> DataFrame:
     """Hours 0 to 23 × days 1 to 31, all months together."""
-    matrix = by_parts(facts, when, "hour", "day", DAYS, F.count(counted))
+    matrix = by_parts(facts, when, "hour", "day", DAYS, counted)
     dense = every_row(facts.sparkSession, matrix, HOURS)
     return dense.selectExpr("row_key AS hour", *cells(DAYS, "d"))
 
 
 def weekday_by_hour(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     """Monday to Sunday × hours 0 to 23."""
-    matrix = by_parts(facts, when, "weekday_no", "hour", HOURS, F.count(F.lit(1)))
+    matrix = by_parts(facts, when, "weekday_no", "hour", HOURS)
     dense = every_row(facts.sparkSession, matrix, range(7))
     labelled = dense.withColumn("weekday", weekday_name(F.col("row_key")))
     return labelled.selectExpr("weekday", *cells(HOURS, "h"))
@@ -77,7 +84,7 @@ def weekday_by_hour(facts: DataFrame, when: str = "rental_date") -> DataFrame:
 
 def date_by_hour(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     """Dates that occur × hours 0 to 23."""
-    matrix = by_parts(facts, when, "rental_day", "hour", HOURS, F.count(F.lit(1)))
+    matrix = by_parts(facts, when, "rental_day", "hour", HOURS)
     dated = matrix.withColumn("rental_day", date_text(F.col("row_key"), "%Y-%m-%d"))
     return dated.orderBy("row_key").selectExpr("rental_day", *cells(HOURS, "h"))
 

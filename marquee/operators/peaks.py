@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marquee.functions import one_place, weekday_name, with_thousands
-from marquee.operators.counts import count_by
+from marquee.operators.counts import count_by, number_of
 
 def all_slots() -> WindowSpec:
     return Window.partitionBy()
@@ -53,16 +53,12 @@ def weekday_peak(facts: DataFrame, when: str = "rental_date") -> DataFrame:
 
 def slot_pairs(facts: DataFrame, kept: Column, when: str) -> DataFrame:
     """Weekday-hours counted over all rows and over the ``kept`` ones, in one scan."""
-    slots = facts.select(
-        F.weekday(F.to_date(when)).alias("weekday_no"),
-        F.hour(when).alias("hour"),
-        kept.alias("kept"),
-    )
-    return (
-        slots.groupBy("weekday_no", "hour")
-        .agg(F.count(F.lit(1)).alias("all_rows"), F.count_if("kept").alias("kept_rows"))
-        .withColumn("weekday", weekday_name(F.col("weekday_no")))
+    slots = facts.groupBy(
+        F.weekday(F.to_date(when)).alias("weekday_no"), F.hour(when).alias("hour")
     )
+    return slots.agg(
+        number_of(facts).alias("all_rows"), number_of(facts, kept=kept).alias("kept_rows")
+    ).withColumn("weekday", weekday_name(F.col("weekday_no")))
 
 
 def with_cutoff(slots: DataFrame, value: str, share: float) -> DataFrame:

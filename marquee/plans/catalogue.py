@@ -11,7 +11,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.operators import overdue, preferences, scans
+from marquee.operators import counts, overdue, preferences, scans
 from marquee.plans.store_queries import STORE_QUERIES, Choices
 from marquee.sources import read_table, run_sql, standins, stream_table
 from marquee.streaming import hourly
@@ -50,6 +50,7 @@ def on_store(name: str, store: Callable, report: str, choices: Choices) -> Query
 # Reports that need a time of day.
 ON_EVENTS = (
     "daily_counts",
+    "hour_cube",
     "hourly_counts",
     "single_day_hours",
     "spike_slot_by_month",
@@ -106,6 +107,12 @@ def monthly_overdue_rate(spark: SparkSession, folder: str) -> DataFrame:
     return overdue.monthly_overdue_rate(rented.join(durations, "inventory_id"))
 
 
+def weekday_hour_counts_from_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """A report on the hour cube instead of the rentals."""
+    cube = counts.hour_cube(standins.event_rentals(spark, folder))
+    return STORE_QUERIES["weekday_hour_counts"]({"rental": cube}, EVENT_CHOICES)
+
+
 def table_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scans.whole_table(read_table(spark, folder, "customer"))
 
@@ -159,6 +166,7 @@ QUERIES: dict[str, Query] = {
         for build in (
             top_category_per_customer,
             monthly_overdue_rate,
+            weekday_hour_counts_from_cube,
             table_scan,
             daily_counts_sql,
             stream_hourly_revenue,

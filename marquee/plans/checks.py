@@ -110,6 +110,10 @@ ORACLES: dict[str, str] = {
     "daily_counts_sql": f"""
         SELECT strftime(ts, '{DAY}') AS "날짜", count(*) AS "대여건수"
         FROM events GROUP BY 1""",
+    "hour_cube": """
+        SELECT date_trunc('hour', ts) AS rental_date, count(*) AS row_count,
+               count(event_id) AS id_count FROM events GROUP BY 1""",
+    "weekday_hour_counts_from_cube": weekday_hours("events", "ts"),
     "hourly_counts": """
         SELECT hour(ts) AS hour, count(event_id) AS rentals FROM events GROUP BY 1""",
     "single_day_hours": """

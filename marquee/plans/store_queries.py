@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from marquee.operators import (
     counts,
@@ -22,6 +22,7 @@ from marquee.operators import (
     revenue,
     scans,
 )
+from marquee.session import shared_folder
 
 Tables = Mapping[str, DataFrame]
 
@@ -86,6 +87,11 @@ def daily_counts(tables: Tables, choices: Choices) -> DataFrame:
     return counts.daily_counts(tables["rental"])
 
 
+@report
+def hour_cube(tables: Tables, choices: Choices) -> DataFrame:
+    return counts.hour_cube(tables["rental"])
+
+
 @report
 def hourly_counts(tables: Tables, choices: Choices) -> DataFrame:
     return counts.hourly_counts(tables["rental"], counted="rental_id")
@@ -226,5 +232,46 @@ def rental_return_dates(tables: Tables, choices: Choices) -> DataFrame:
     return scans.rental_return_dates(tables["rental"])
 
 
+# Reports that an hour cube in the place of ``rental`` can answer.
+FROM_CUBE = (
+    "month_labels",
+    "daily_counts",
+    "hourly_counts",
+    "single_day_hours",
+    "spike_slot_by_month",
+    "weekday_counts",
+    "weekday_hour_counts",
+    "weekday_hour_counts_excluding",
+    "heat_month_day",
+    "heat_hour_day",
+    "heat_hour_day_excluding",
+    "heat_weekday_hour",
+    "heat_weekday_hour_excluding",
+    "heat_date_hour",
+    "hourly_peak",
+    "weekday_peak",
+    "top_slots",
+    "top_slots_positional",
+    "slot_outliers",
+)
+
+
+def calendar_reports(
+    spark: SparkSession,
+    rental: DataFrame,
+    choices: Choices = Choices(),
+    folder: str | None = None,
+) -> dict[str, DataFrame]:
+    """All calendar reports from one scan of the rentals.
+
+    The hour cube is written to ``folder``, by default below the shared folder,
+    so a lost executor costs a re-read of it and not another scan.
+    """
+    folder = folder or shared_folder(spark, "hour-cube")
+    counts.hour_cube(rental).write.parquet(folder)
+    tables = {"rental": spark.read.parquet(folder)}
+    return {name: STORE_QUERIES[name](tables, choices) for name in FROM_CUBE}
+
+
 def run_report(name: str, tables: Tables, choices: Choices = Choices()) -> DataFrame:
     return STORE_QUERIES[name](tables, choices)
