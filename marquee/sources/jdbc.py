@@ -7,14 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def connection_from_env(environ: dict[str, str] | None = None) -> dict[str, str]:
+def connection_from_env(
+    database: str, environ: dict[str, str] | None = None
+) -> dict[str, str]:
     """Connection options from ``MYSQL_*`` variables; the password has no default."""
     env = os.environ if environ is None else environ
     if "MYSQL_PASSWORD" not in env:
         raise KeyError("MYSQL_PASSWORD is not set")
     host = env.get("MYSQL_HOST", "127.0.0.1")
     port = env.get("MYSQL_PORT", "3306")
-    database = env.get("MYSQL_DATABASE", "sakila")
     return {
         "url": f"jdbc:mysql://{host}:{port}/{database}",
         "user": env.get("MYSQL_USER", "root"),

@@ -57,20 +57,22 @@ def test_databases_and_their_tables(spark, rental):
 
 def test_connection_needs_a_password():
     with pytest.raises(KeyError):
-        sources.connection_from_env({})
-    found = sources.connection_from_env({"MYSQL_PASSWORD": "x", "MYSQL_HOST": "db"})
+        sources.connection_from_env("shop", {})
+    found = sources.connection_from_env(
+        "shop", {"MYSQL_PASSWORD": "x", "MYSQL_HOST": "db"}
+    )
     assert found == {
-        "url": "jdbc:mysql://db:3306/sakila",
+        "url": "jdbc:mysql://db:3306/shop",
         "user": "root",
         "password": "x",
     }
 
 
 def test_range_read_options():
-    connection = {"url": "jdbc:mysql://db:3306/sakila"}
+    connection = {"url": "jdbc:mysql://db:3306/shop"}
     options = sources.jdbc_options(connection, "payment", "payment_id", (1, 16049), 8)
     assert options == {
-        "url": "jdbc:mysql://db:3306/sakila",
+        "url": "jdbc:mysql://db:3306/shop",
         "dbtable": "payment",
         "fetchsize": "10000",
         "partitionColumn": "payment_id",
