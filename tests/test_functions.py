@@ -106,6 +106,19 @@ def test_field(spark):
     assert [row[0] for row in found] == [1, 7, 0, 0]
 
 
+def test_order_by_field(spark):
+    frame = spark.createDataFrame([(d,) for d in sorted(f.WEEKDAYS)], "d STRING")
+    found = frame.orderBy(f.field(F.col("d"), *f.WEEKDAYS)).collect()
+    assert [row.d for row in found] == list(f.WEEKDAYS)
+
+
+def test_timestamps_from_text(spark):
+    found = one(
+        spark, "t STRING", ("2005-05-24 22:53:30",), f.parse_timestamp(F.col("t"))
+    )
+    assert found == (datetime(2005, 5, 24, 22, 53, 30),)
+
+
 def test_cents_and_back(spark):
     found = one(
         spark,

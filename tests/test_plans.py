@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from marquee.operators import counts, periods, preferences, revenue
+from marquee.operators import counts, overdue, periods, preferences, revenue
 from marquee.sources import standins
 
 FOLDER = "/root/testdata/sf0.01"
@@ -130,60 +130,125 @@ def test_small_catalogue_is_never_shuffled(spark):
 
 @pytest.fixture(scope="module")
 def hot_store(spark, tmp_path_factory):
-    """Rentals of which a third share an item, in files, as a cluster has them."""
+    """A third of all rows on one item, order and staff member, in files."""
     folder = str(tmp_path_factory.mktemp("hot"))
-    spark.range(0, 400_000, 1, 16).selectExpr(
-        "id AS rental_id",
-        "id % 5000 AS customer_id",
-        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20000 END AS inventory_id",
-    ).write.parquet(f"{folder}/rental")
-    spark.range(20_000).selectExpr(
-        "id AS inventory_id", "concat('genre ', id % 16) AS genre"
-    ).write.parquet(f"{folder}/genres")
-    spark.range(5000).selectExpr(
-        "id AS customer_id", "'a' AS first_name", "'b' AS last_name"
-    ).write.parquet(f"{folder}/customer")
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("rental", "genres", "customer")}
-
-
-def test_hot_item_is_split_over_tasks(spark, hot_store):
-    """With tables too large to broadcast, the join on the hot item is split."""
+    made = {
+        "rental": spark.range(0, 400_000, 1, 16).selectExpr(
+            "id AS rental_id",
+            "id % 5000 AS customer_id",
+            "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20000 END AS inventory_id",
+            "TIMESTAMP_NTZ '2005-05-24 10:00:00' AS rental_date",
+            "TIMESTAMP_NTZ '2005-05-28 10:00:00' AS return_date",
+        ),
+        "genres": spark.range(20_000).selectExpr(
+            "id AS inventory_id",
+            "concat('genre ', id % 16) AS genre",
+            "CAST(id % 7 AS INT) AS rental_duration",
+        ),
+        "customer": spark.range(5000).selectExpr(
+            "id AS customer_id", "'a' AS first_name", "'b' AS last_name"
+        ),
+        "payment": spark.range(0, 400_000, 1, 16).selectExpr(
+            "id AS payment_id",
+            "CASE WHEN id % 3 = 1 THEN 9 ELSE id % 90000 END AS rental_id",
+            "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20000 END AS staff_id",
+            "CAST(1.25 AS DECIMAL(5,2)) AS amount",
+            "TIMESTAMP_NTZ '2005-05-24 10:00:00' AS payment_date",
+        ),
+        "staff": spark.range(20_000).selectExpr("id AS staff_id", "id % 20 AS store_id"),
+    }
+    for name, frame in made.items():
+        frame.write.parquet(f"{folder}/{name}")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in made}
+
+
+def favourites(tables):
+    rented = tables["rental"].join(tables["genres"], "inventory_id")
+    return preferences.top_category_per_customer(tables["customer"], rented)
+
+
+def overdue_rate(tables):
+    rented = tables["rental"].join(tables["genres"], "inventory_id")
+    return overdue.monthly_overdue_rate(rented)
+
+
+def operating_days(tables):
+    return revenue.store_month_operating_days(tables["staff"], tables["payment"])
+
+
+def rental_payments(tables):
+    return tables["rental"].join(tables["payment"], "rental_id")
+
+
+NO_BROADCAST = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.mark.parametrize(
+    "build", [favourites, overdue_rate, operating_days, rental_payments]
+)
+def test_hot_key_of_a_join_is_split_over_tasks(spark, hot_store, build):
+    """With tables too large to broadcast, the joins on the hot key are split."""
     with settings(
         spark,
-        spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        **NO_BROADCAST,
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="64KB",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="64KB",
         spark__sql__shuffle__partitions="32",
     ):
-        rented = hot_store["rental"].join(hot_store["genres"], "inventory_id")
-        frame = preferences.top_category_per_customer(hot_store["customer"], rented)
-        text = final_plan(frame)
+        text = final_plan(build(hot_store))
     assert "SortMergeJoin(skew=true)" in text
 
 
-def test_bucketed_tables_join_without_shuffling_rows(spark):
-    """Facts stored in buckets of the rental key need no shuffle for their join."""
-    spark.sql("CREATE DATABASE IF NOT EXISTS buckets")
-    try:
-        for name, frame in (
-            ("rental", standins.order_rentals(spark, FOLDER)),
-            ("payment", standins.payments(spark, FOLDER)),
-        ):
-            writer = frame.write.bucketBy(8, "rental_id").sortBy("rental_id")
-            writer.mode("overwrite").saveAsTable(f"buckets.{name}")
-        with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-            frame = revenue.monthly_volume_revenue(
-                spark.table("buckets.rental"), spark.table("buckets.payment")
-            )
-            text = plan(frame)
-            assert "hashpartitioning(rental_id" not in text
-            plain = revenue.monthly_volume_revenue(
-                standins.order_rentals(spark, FOLDER), standins.payments(spark, FOLDER)
-            )
-            assert frame.collect() == plain.collect()
-    finally:
-        spark.sql("DROP DATABASE buckets CASCADE")
+def test_hot_rental_is_one_row_per_task_before_the_revenue_join(spark, hot_store):
+    with settings(spark, **NO_BROADCAST):
+        frame = revenue.monthly_volume_revenue(hot_store["rental"], hot_store["payment"])
+        text = plan(frame)
+    payment_side = text[text.index("keys=[rental_id") :]
+    assert "partial_count(1)" in payment_side
+    paid = 400_000
+    assert [row.rentals for row in frame.collect()] == [paid]
+
+
+@pytest.fixture
+def bucketed(spark, hot_store):
+    """Saves tables of the hot store in buckets of one of their columns."""
+    spark.sql("CREATE DATABASE buckets")
+
+    def save(name, key):
+        writer = hot_store[name].write.bucketBy(8, key).sortBy(key)
+        writer.saveAsTable(f"buckets.{name}")
+        return spark.table(f"buckets.{name}")
+
+    yield save
+    spark.sql("DROP DATABASE buckets CASCADE")
+
+
+def test_buckets_of_the_rental_key_save_the_revenue_shuffle(spark, hot_store, bucketed):
+    rental, payment = bucketed("rental", "rental_id"), bucketed("payment", "rental_id")
+    with settings(spark, **NO_BROADCAST):
+        frame = revenue.monthly_volume_revenue(rental, payment)
+        assert "hashpartitioning(rental_id" not in plan(frame)
+        other = revenue.monthly_volume_revenue(hot_store["rental"], hot_store["payment"])
+        assert frame.collect() == other.collect()
+
+
+def test_buckets_of_the_rental_key_save_the_distinct_shuffle(spark, hot_store, bucketed):
+    payment = bucketed("payment", "rental_id")
+    frame = revenue.store_month_operating_days(hot_store["staff"], payment)
+    assert not re.search(r"hashpartitioning\(.*rental_id", plan(frame))
+    assert frame.collect() == operating_days(hot_store).collect()
+
+
+def test_buckets_of_the_customer_save_all_shuffles_but_the_last_sort(
+    spark, hot_store, bucketed
+):
+    tables = {**hot_store, "rental": bucketed("rental", "customer_id")}
+    frame = favourites(tables)
+    assert "hashpartitioning" not in plan(frame)
+    assert frame.collect() == favourites(hot_store).collect()
 
 
 def test_hot_slot_shuffles_one_row_per_task(spark):
