@@ -121,8 +121,9 @@ def daily_counts_sql(spark: SparkSession, folder: str) -> DataFrame:
     """SQL text with Korean names, grouping and ordering by an alias."""
     return run_sql(
         spark,
-        "SELECT to_date(rental_date) AS `날짜`, count(*) AS `대여건수` "
-        "FROM {rental} GROUP BY `날짜` ORDER BY `날짜`",
+        "SELECT r.rental_day AS `날짜`, count(*) AS `건수` "
+        "FROM (SELECT to_date(rental_date) AS rental_day FROM {rental}) AS r "
+        "GROUP BY `날짜` ORDER BY `날짜`",
         {"rental": standins.event_rentals(spark, folder)},
     )
 

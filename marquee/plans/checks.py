@@ -108,7 +108,7 @@ ORACLES: dict[str, str] = {
         SELECT strftime(ts, '{DAY}') AS rental_day, count(*) AS rentals
         FROM events GROUP BY 1""",
     "daily_counts_sql": f"""
-        SELECT strftime(ts, '{DAY}') AS "날짜", count(*) AS "대여건수"
+        SELECT strftime(ts, '{DAY}') AS "날짜", count(*) AS "건수"
         FROM events GROUP BY 1""",
     "hour_cube": """
         SELECT date_trunc('hour', ts) AS rental_date, count(*) AS row_count,

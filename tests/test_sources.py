@@ -25,11 +25,11 @@ def test_sql_text_over_views(spark, rental):
     sources.register_views(spark, {"rental": rental})
     found = sources.run_sql(
         spark,
-        "SELECT r.hour_of_day AS `시간대`, count(*) AS `대여_건수` "
+        "SELECT r.hour_of_day AS `시각`, count(*) AS `횟수` "
         "FROM (SELECT hour(rental_date) AS hour_of_day FROM rental) r "
-        "GROUP BY `시간대` ORDER BY `시간대`",
+        "GROUP BY `시각` ORDER BY `시각`",
     )
-    assert found.columns == ["시간대", "대여_건수"]
+    assert found.columns == ["시각", "횟수"]
     assert sum(row[1] for row in found.collect()) == 50
 
 
