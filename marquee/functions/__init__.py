@@ -1,10 +1,12 @@
 from marquee.functions.calendar import (
     PARTS,
     WEEKDAYS,
+    as_utc,
     date_text,
     days_in_month,
     day_of,
     field,
+    hour_from_utc,
     month_start,
     month_text,
     parse_date,
@@ -30,6 +32,7 @@ from marquee.functions.text import (
 __all__ = [
     "PARTS",
     "WEEKDAYS",
+    "as_utc",
     "cents",
     "date_text",
     "day_of",
@@ -37,6 +40,7 @@ __all__ = [
     "days_in_month",
     "field",
     "from_cents",
+    "hour_from_utc",
     "month_label",
     "month_label_from_text",
     "month_start",

@@ -83,6 +83,28 @@ def days_in_month(month: Column) -> Column:
     return F.dayofmonth(F.last_day(month))
 
 
+def as_utc(naive: Column) -> Column:
+    """TIMESTAMP of a naive timestamp read as UTC, whatever the session zone is."""
+    hours = F.unix_date(F.to_date(naive)).cast("bigint") * 24 + F.hour(naive)
+    minutes = hours * 60 + F.minute(naive)
+    in_minute = (F.date_part(F.lit("SECOND"), naive) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(minutes * 60_000_000 + in_minute)
+
+
+def hour_from_utc(instant: Column) -> Column:
+    """Naive timestamp of the full hour an instant lies in, read as UTC."""
+    hours = F.floor(F.unix_seconds(instant) / 3600)
+    day = F.date_from_unix_date(F.floor(hours / 24).cast("int"))
+    return F.make_timestamp_ntz(
+        F.year(day),
+        F.month(day),
+        F.dayofmonth(day),
+        F.pmod(hours, F.lit(24)).cast("int"),
+        F.lit(0),
+        F.lit(0).cast("decimal(16,6)"),
+    )
+
+
 def field(value: Column, *options: str) -> Column:
     """1-based place of ``value`` among ``options``; 0 if absent or NULL."""
     listed = F.array(*[F.lit(option) for option in options])

@@ -13,9 +13,9 @@ def rented_durations(
 ) -> DataFrame:
     """Rentals with the allowed days of their film, one table joined at a time so
     that each is broadcast or shuffled by its own size."""
-    return rental.join(inventory.select("inventory_id", "film_id"), "inventory_id").join(
-        film.select("film_id", "rental_duration"), "film_id"
-    )
+    items = inventory.select("inventory_id", "film_id")
+    films = film.select("film_id", "rental_duration")
+    return rental.join(items, "inventory_id").join(films, "film_id")
 
 
 def monthly_overdue_rate(rented: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marquee.functions import one_place, weekday_name, with_thousands
 from marquee.operators.counts import count_by, number_of
 
+
 def all_slots() -> WindowSpec:
     return Window.partitionBy()
 
@@ -57,7 +58,8 @@ def slot_pairs(facts: DataFrame, kept: Column, when: str) -> DataFrame:
         F.weekday(F.to_date(when)).alias("weekday_no"), F.hour(when).alias("hour")
     )
     return slots.agg(
-        number_of(facts).alias("all_rows"), number_of(facts, kept=kept).alias("kept_rows")
+        number_of(facts).alias("all_rows"),
+        number_of(facts, kept=kept).alias("kept_rows"),
     ).withColumn("weekday", weekday_name(F.col("weekday_no")))
 
 

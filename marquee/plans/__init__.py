@@ -7,4 +7,11 @@ from marquee.plans.store_queries import (
     run_report,
 )
 
-__all__ = ["ORACLES", "QUERIES", "STORE_QUERIES", "Choices", "calendar_reports", "run_report"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "STORE_QUERIES",
+    "Choices",
+    "calendar_reports",
+    "run_report",
+]

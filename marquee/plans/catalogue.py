@@ -34,8 +34,8 @@ def plain_types(frame: DataFrame) -> DataFrame:
     plain = {"int": "bigint", "decimal": "double", "date": "string"}
     columns = []
     for name, kind in frame.dtypes:
-        target = plain.get(kind.split("(")[0])
-        columns.append(f"CAST(`{name}` AS {target}) AS `{name}`" if target else f"`{name}`")
+        target = plain.get(kind.split("(")[0], kind)
+        columns.append(f"CAST(`{name}` AS {target}) AS `{name}`")
     return frame.selectExpr(*columns)
 
 

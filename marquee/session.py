@@ -17,15 +17,29 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+# For some 100 TB of facts: reduce tasks of a few hundred MB before AQE merges the
+# small ones, larger scan tasks (fewer partial rows per slot), state off the heap.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
+
 
 def build_session(
-    app: str = "marquee", master: str | None = None, **extra: str
+    app: str = "marquee",
+    master: str | None = None,
+    cluster: bool = False,
+    **extra: str,
 ) -> SparkSession:
     """Session with the settings above; ``extra`` uses ``__`` for dots in names."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in SETTINGS.items():
+    settings = SETTINGS | CLUSTER_SETTINGS if cluster else SETTINGS
+    for name, value in settings.items():
         builder = builder.config(name, value)
     for name, value in extra.items():
         builder = builder.config(name.replace("__", "."), value)

@@ -18,7 +18,8 @@ def use_database(spark: SparkSession, name: str) -> None:
 
 def list_tables(spark: SparkSession, pattern: str | None = None) -> DataFrame:
     listing = "SHOW TABLES" if pattern is None else f"SHOW TABLES LIKE '{pattern}'"
-    return spark.sql(listing).selectExpr("tableName AS table_name").orderBy("table_name")
+    tables = spark.sql(listing).selectExpr("tableName AS table_name")
+    return tables.orderBy("table_name")
 
 
 def run_sql(

@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+# Schemas by path and format, so that a table opened by many reports has its file
+# footers read once and not by one more Spark job per report.
+SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def table_schema(
+    spark: SparkSession, path: str, fmt: str, refresh: bool = False
+) -> StructType:
+    if refresh or (path, fmt) not in SCHEMAS:
+        SCHEMAS[path, fmt] = spark.read.format(fmt).load(path).schema
+    return SCHEMAS[path, fmt]
 
 
 def read_table(
-    spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    fmt: str = "parquet",
+    refresh: bool = False,
 ) -> DataFrame:
-    return spark.read.format(fmt).load(f"{folder.rstrip('/')}/{name}.{fmt}")
+    """The table ``name``; ``refresh`` after its columns have changed."""
+    path = f"{folder.rstrip('/')}/{name}.{fmt}"
+    schema = table_schema(spark, path, fmt, refresh)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
 ) -> DataFrame:
     """The same Parquet table as a stream of its files."""
-    schema = read_table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema)
+    base = f"{folder.rstrip('/')}/{name}"
+    reader = spark.readStream.schema(table_schema(spark, f"{base}.parquet", "parquet"))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # A stream takes a single file only through a glob, a folder either way.
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
+    return reader.parquet(f"{base}.parque[t]")

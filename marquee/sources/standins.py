@@ -92,7 +92,9 @@ def rented_items(
     several tasks at run time.
     """
     lines = read_table(spark, folder, "lineitem").selectExpr(
-        "l_orderkey AS rental_id", f"{item} AS inventory_id", "l_shipdate AS return_date"
+        "l_orderkey AS rental_id",
+        f"{item} AS inventory_id",
+        "l_shipdate AS return_date",
     )
     return order_rentals(spark, folder).join(lines, "rental_id")
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import cents, from_cents
+from marquee.functions import as_utc, cents, from_cents, hour_from_utc
 from marquee.operators.counts import count_by
 from marquee.session import shared_folder
 
 
 def with_event_time(stream: DataFrame, when: str, delay: str) -> DataFrame:
-    """Watermarks need a TIMESTAMP; a naive column is read in the session zone."""
-    timed = stream.withColumn("event_time", F.col(when).cast("timestamp"))
+    """Watermarks need a TIMESTAMP: the wall-clock time is read as UTC for them, so
+    that windows are full hours of the clock in every session zone."""
+    clock = F.col(when).cast("timestamp_ntz")
+    timed = stream.withColumn("event_time", as_utc(clock))
     return timed.withWatermark("event_time", delay)
 
 
@@ -36,7 +38,7 @@ def hourly_revenue(
             F.sum(cents(F.col(amount))).alias("cents"),
         )
         .select(
-            F.col("window.start").cast("timestamp_ntz").alias("hour_start"),
+            hour_from_utc(F.col("window.start")).alias("hour_start"),
             "kind",
             "rentals",
             from_cents(F.col("cents")).alias("revenue"),
@@ -70,7 +72,7 @@ def surging_hours(
         .groupBy(F.window("event_time", "1 hour"))
         .agg(F.count(F.lit(1)).alias("rentals"))
         .select(
-            F.col("window.start").cast("timestamp_ntz").alias("hour_start"), "rentals"
+            hour_from_utc(F.col("window.start")).alias("hour_start"), "rentals"
         )
         .withColumn("weekday_no", F.weekday(F.to_date("hour_start")))
         .withColumn("hour", F.hour("hour_start"))

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -64,6 +64,25 @@ def test_month_parts_do_not_depend_on_the_session_zone(spark):
     assert found == (2, "2005-04", "2005-04-03")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_naive_time_as_utc_and_back(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for text in ("2005-04-03 02:30:59.123456", "1969-12-31 23:59:59", "2006-02-14 00:00:00"):
+            clock = F.col("s").cast("timestamp_ntz")
+            instant = f.as_utc(clock)
+            micros, hour = one(
+                spark, "s STRING", (text,), F.unix_micros(instant), f.hour_from_utc(instant)
+            )
+            expected = datetime.fromisoformat(text)
+            since = expected - datetime(1970, 1, 1)
+            assert micros == since // timedelta(microseconds=1)
+            assert hour == expected.replace(minute=0, second=0, microsecond=0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_date_text(spark):
     found = one(
         spark,

@@ -21,6 +21,15 @@ def test_tables_as_files(spark, rental, tmp_path, fmt):
     )
 
 
+def test_changed_columns_show_after_a_refresh(spark, rental, tmp_path):
+    rental.select("rental_id").write.parquet(f"{tmp_path}/rental.parquet")
+    assert sources.read_table(spark, str(tmp_path), "rental").columns == ["rental_id"]
+    rental.write.mode("overwrite").parquet(f"{tmp_path}/rental.parquet")
+    again = sources.read_table(spark, str(tmp_path), "rental", refresh=True)
+    assert again.columns == rental.columns
+    assert again.count() == 50
+
+
 def test_sql_text_over_views(spark, rental):
     sources.register_views(spark, {"rental": rental})
     found = sources.run_sql(
