@@ -34,6 +34,7 @@ class Choices:
     An outlier is a day, a month or a year: ``2006-02-14``, ``2006-02``, ``2006``.
     """
 
+    # What the store's own reports choose.
     single_day: str = "2006-02-14"
     slot_day: int = 14
     slot_hour: int = 15

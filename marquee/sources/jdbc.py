@@ -17,7 +17,8 @@ def connection_from_env(
     host = env.get("MYSQL_HOST", "127.0.0.1")
     port = env.get("MYSQL_PORT", "3306")
     return {
-        "url": f"jdbc:mysql://{host}:{port}/{database}",
+        # Without a cursor the driver loads the whole answer before the first row.
+        "url": f"jdbc:mysql://{host}:{port}/{database}?useCursorFetch=true",
         "user": env.get("MYSQL_USER", "root"),
         "password": env["MYSQL_PASSWORD"],
     }
@@ -32,7 +33,12 @@ def jdbc_options(
     fetch_rows: int = 10_000,
 ) -> dict[str, str]:
     """Reader options. ``bounds`` only place the cuts; no row is left out."""
-    options = {**connection, "dbtable": table, "fetchsize": str(fetch_rows)}
+    options = {
+        **connection,
+        "dbtable": table,
+        "fetchsize": str(fetch_rows),
+        "preferTimestampNTZ": "true",
+    }
     if key is not None:
         if bounds is None:
             raise ValueError("a range read needs the bounds of the key")

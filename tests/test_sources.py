@@ -71,7 +71,7 @@ def test_connection_needs_a_password():
         "shop", {"MYSQL_PASSWORD": "x", "MYSQL_HOST": "db"}
     )
     assert found == {
-        "url": "jdbc:mysql://db:3306/shop",
+        "url": "jdbc:mysql://db:3306/shop?useCursorFetch=true",
         "user": "root",
         "password": "x",
     }
@@ -84,6 +84,7 @@ def test_range_read_options():
         "url": "jdbc:mysql://db:3306/shop",
         "dbtable": "payment",
         "fetchsize": "10000",
+        "preferTimestampNTZ": "true",
         "partitionColumn": "payment_id",
         "lowerBound": "1",
         "upperBound": "16049",

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from marquee.session import shared_folder
+from marquee.session import CLUSTER_SETTINGS, shared_folder
 from marquee.sources import read_table, stream_table
 from marquee.streaming import hourly
 
@@ -111,3 +111,15 @@ def test_a_cluster_needs_a_shared_folder(master):
     Session.sparkContext.master = master
     with pytest.raises(ValueError):
         shared_folder(Session(), "x")
+
+
+def test_state_store_of_the_cluster_settings(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    write(spark, tmp_path, made(0, 90))
+    spark.conf.set(name, CLUSTER_SETTINGS[name])
+    try:
+        found = run(spark, str(tmp_path), shared_folder(spark, "stream"))
+    finally:
+        spark.conf.set(name, before)
+    assert set(found) == closed_hours(made(0, 90))
