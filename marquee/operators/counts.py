@@ -78,9 +78,12 @@ def hourly_counts(
 
 
 def single_day_hours(
-    facts: DataFrame, day: str, when: str = "rental_date"
+    facts: DataFrame,
+    day: str,
+    when: str = "rental_date",
+    month_column: str | None = None,
 ) -> DataFrame:
-    return hourly_counts(facts.where(within(when, day)), when)
+    return hourly_counts(facts.where(within(when, day, month_column)), when)
 
 
 def weekday_counts(facts: DataFrame, when: str = "rental_date") -> DataFrame:

@@ -8,7 +8,7 @@ source; a report asks only for the tables it needs.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +43,8 @@ class Choices:
     first_day: str = "2005-01-01"
     last_day: str = "2007-12-31"
     top_share: float = 0.95
+    # Partition column of ``rental``, if it has one: see ``operators/periods.py``.
+    month_column: str | None = None
 
 
 Report = Callable[[Tables, Choices], DataFrame]
@@ -55,6 +57,13 @@ def report(build: Report) -> Report:
     return build
 
 
+def without_outlier(tables: Tables, choices: Choices) -> DataFrame:
+    kept = periods.outside(
+        "rental_date", choices.weekday_outlier, month_column=choices.month_column
+    )
+    return tables["rental"].where(kept)
+
+
 # Volume and revenue
 
 
@@ -100,14 +109,14 @@ def hourly_counts(tables: Tables, choices: Choices) -> DataFrame:
 
 @report
 def single_day_hours(tables: Tables, choices: Choices) -> DataFrame:
-    return counts.single_day_hours(tables["rental"], choices.single_day)
+    return counts.single_day_hours(
+        tables["rental"], choices.single_day, month_column=choices.month_column
+    )
 
 
 @report
 def spike_slot_by_month(tables: Tables, choices: Choices) -> DataFrame:
-    return counts.slot_by_month(
-        tables["rental"], choices.slot_day, choices.slot_hour
-    )
+    return counts.slot_by_month(tables["rental"], choices.slot_day, choices.slot_hour)
 
 
 @report
@@ -122,13 +131,14 @@ def weekday_hour_counts(tables: Tables, choices: Choices) -> DataFrame:
 
 @report
 def weekday_hour_counts_excluding(tables: Tables, choices: Choices) -> DataFrame:
-    kept = periods.outside("rental_date", choices.weekday_outlier)
-    return counts.weekday_hour_counts(tables["rental"].where(kept))
+    return counts.weekday_hour_counts(without_outlier(tables, choices))
 
 
 @report
 def date_hour_counts(tables: Tables, choices: Choices) -> DataFrame:
-    chosen = periods.between_texts("rental_date", choices.first_day, choices.last_day)
+    chosen = periods.between_texts(
+        "rental_date", choices.first_day, choices.last_day, choices.month_column
+    )
     return counts.date_hour_counts(tables["rental"].where(chosen))
 
 
@@ -147,7 +157,9 @@ def heat_hour_day(tables: Tables, choices: Choices) -> DataFrame:
 
 @report
 def heat_hour_day_excluding(tables: Tables, choices: Choices) -> DataFrame:
-    kept = periods.outside("rental_date", choices.hour_outlier, keep_missing=True)
+    kept = periods.outside(
+        "rental_date", choices.hour_outlier, True, choices.month_column
+    )
     return matrices.hour_by_day(tables["rental"].where(kept))
 
 
@@ -158,8 +170,7 @@ def heat_weekday_hour(tables: Tables, choices: Choices) -> DataFrame:
 
 @report
 def heat_weekday_hour_excluding(tables: Tables, choices: Choices) -> DataFrame:
-    kept = periods.outside("rental_date", choices.weekday_outlier)
-    return matrices.weekday_by_hour(tables["rental"].where(kept))
+    return matrices.weekday_by_hour(without_outlier(tables, choices))
 
 
 @report
@@ -271,7 +282,8 @@ def calendar_reports(
     folder = folder or shared_folder(spark, "hour-cube")
     counts.hour_cube(rental).write.parquet(folder)
     tables = {"rental": spark.read.parquet(folder)}
-    return {name: STORE_QUERIES[name](tables, choices) for name in FROM_CUBE}
+    on_cube = replace(choices, month_column=None)
+    return {name: STORE_QUERIES[name](tables, on_cube) for name in FROM_CUBE}
 
 
 def run_report(name: str, tables: Tables, choices: Choices = Choices()) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from contextlib import contextmanager
+from dataclasses import replace
 
 import pytest
+from handmade import RENTAL, random_rentals
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marquee.operators import counts, overdue, periods, preferences, revenue
+from marquee.plans import Choices, run_report
 from marquee.sources import standins
 
 FOLDER = "/root/testdata/sf0.01"
@@ -99,6 +102,55 @@ def test_period_conditions_reach_the_scan(spark, condition, pushed):
         assert piece in filters
 
 
+@pytest.fixture(scope="module")
+def by_month(spark, tmp_path_factory):
+    """Random rentals in one folder per month, and the same rows without folders."""
+    folder = str(tmp_path_factory.mktemp("months"))
+    rows = random_rentals(seed=10, size=800)
+    plain = spark.createDataFrame(rows, RENTAL).cache()
+    months = plain.withColumn("rental_month", F.trunc(F.to_date("rental_date"), "MM"))
+    months.write.partitionBy("rental_month").parquet(f"{folder}/rental")
+    return plain, spark.read.parquet(f"{folder}/rental")
+
+
+@pytest.mark.parametrize(
+    "name, months",
+    [
+        ("single_day_hours", ["2006-02-01"]),
+        ("date_hour_counts", ["2005-06-01", "2005-08-01"]),
+        ("weekday_hour_counts_excluding", ["2005-05-01", "2005-06-01", "2005-08-01"]),
+        (
+            "heat_hour_day_excluding",
+            [None, "2005-05-01", "2005-06-01", "2005-08-01"],
+        ),
+    ],
+)
+def test_only_the_months_of_a_period_are_read(spark, by_month, name, months):
+    plain, partitioned = by_month
+    choices = Choices(first_day="2005-06-20", last_day="2005-08-03")
+    pruning = replace(choices, month_column="rental_month")
+    frame = run_report(name, {"rental": partitioned}, pruning)
+    assert frame.collect() == run_report(name, {"rental": plain}, choices).collect()
+    # The months among the files that the partition filters let through.
+    filters = plan(frame).split("PartitionFilters: [")[1]
+    assert "rental_month" in filters.split("]")[0]
+    condition = {
+        "single_day_hours": periods.within("rental_date", "2006-02-14", "rental_month"),
+        "date_hour_counts": periods.between_texts(
+            "rental_date", "2005-06-20", "2005-08-03", "rental_month"
+        ),
+        "weekday_hour_counts_excluding": periods.outside(
+            "rental_date", "2006", False, "rental_month"
+        ),
+        "heat_hour_day_excluding": periods.outside(
+            "rental_date", "2006-02", True, "rental_month"
+        ),
+    }[name]
+    read = partitioned.where(condition).select("rental_month").distinct().collect()
+    found = sorted((row[0] and row[0].isoformat() for row in read), key=str)
+    assert found == sorted(months, key=str)
+
+
 def test_top_one_is_limited_before_the_shuffle(spark):
     text = plan(entry.queries()["top_category_per_customer"](spark, FOLDER))
     assert len(re.findall(r"WindowGroupLimit .*Partial", text)) == 1
