@@ -1,8 +1,8 @@
 """The store's reports by name, over tables with the store's own names.
 
 ``tables`` maps ``rental``, ``payment``, ``staff``, ``store``, ``customer``,
-``inventory``, ``film``, ``film_category`` and ``category`` to frames from any
-source; a report asks only for the tables it needs.
+``inventory``, ``film``, ``film_category``, ``category`` and ``actor`` to frames
+from any source; a report asks only for the tables it needs.
 """
 
 from __future__ import annotations
@@ -239,6 +239,16 @@ def rental_scan(tables: Tables, choices: Choices) -> DataFrame:
     return scans.whole_table(tables["rental"])
 
 
+@report
+def customer_scan(tables: Tables, choices: Choices) -> DataFrame:
+    return scans.whole_table(tables["customer"])
+
+
+@report
+def actor_scan(tables: Tables, choices: Choices) -> DataFrame:
+    return scans.whole_table(tables["actor"])
+
+
 @report
 def rental_return_dates(tables: Tables, choices: Choices) -> DataFrame:
     return scans.rental_return_dates(tables["rental"])

@@ -34,7 +34,11 @@ def read_table(
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """The same Parquet table as a stream of its files."""
+    """The same Parquet table as a stream of its files.
+
+    Set ``files_per_batch`` only where the files arrive in time order: rows more
+    than the watermark's delay behind an earlier batch are late, and left out.
+    """
     base = f"{folder.rstrip('/')}/{name}"
     reader = spark.readStream.schema(table_schema(spark, f"{base}.parquet", "parquet"))
     if files_per_batch:

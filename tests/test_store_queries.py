@@ -48,6 +48,7 @@ def tables(spark):
         "film_category": spark.createDataFrame(
             [(1, 1), (2, 2)], "film_id BIGINT, category_id BIGINT"
         ),
+        "actor": spark.createDataFrame([(1, "PENELOPE")], "actor_id INT, name STRING"),
         "category": spark.createDataFrame(
             [(1, "Action"), (2, "Drama")], "category_id BIGINT, name STRING"
         ),
