@@ -76,8 +76,10 @@ def between_texts(
     when: str, low: str, high: str, month_column: str | None = None
 ) -> Column:
     """``BETWEEN`` with text bounds: of the day ``high`` only midnight is inside."""
-    first, after = period_bounds(low[:10])[0], period_bounds(high[:10])[1]
     condition = F.col(when).between(F.lit(low), F.lit(high))
+    if month_column is None:
+        return condition
+    first, after = period_bounds(low[:10])[0], period_bounds(high[:10])[1]
     return within_days(condition, first, after, month_column)
 
 

@@ -69,11 +69,19 @@ def test_naive_time_as_utc_and_back(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        for text in ("2005-04-03 02:30:59.123456", "1969-12-31 23:59:59", "2006-02-14 00:00:00"):
+        for text in (
+            "2005-04-03 02:30:59.123456",
+            "1969-12-31 23:59:59",
+            "2006-02-14 00:00:00",
+        ):
             clock = F.col("s").cast("timestamp_ntz")
             instant = f.as_utc(clock)
             micros, hour = one(
-                spark, "s STRING", (text,), F.unix_micros(instant), f.hour_from_utc(instant)
+                spark,
+                "s STRING",
+                (text,),
+                F.unix_micros(instant),
+                f.hour_from_utc(instant),
             )
             expected = datetime.fromisoformat(text)
             since = expected - datetime(1970, 1, 1)

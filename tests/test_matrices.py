@@ -107,4 +107,6 @@ def test_inline_sample(spark):
     days, cells = grid(matrices.counted_dates_by_hour(counts))
     assert days == ["2007-01-01", "2007-01-02", "2007-01-03"]
     expected = {(day, hour): n for day, hour, n in SAMPLE}
-    assert cells == [[expected.get((day, hour), 0) for hour in range(24)] for day in days]
+    assert cells == [
+        [expected.get((day, hour), 0) for hour in range(24)] for day in days
+    ]

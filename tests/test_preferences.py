@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from handmade import rentals
+from pyspark.sql import functions as F
 
 from marquee.operators import preferences
 
@@ -23,7 +24,8 @@ def catalogue(spark):
             "film_id BIGINT, category_id BIGINT",
         ),
         "category": spark.createDataFrame(
-            [(1, "Action"), (2, "Drama"), (3, "Comedy")], "category_id BIGINT, name STRING"
+            [(1, "Action"), (2, "Drama"), (3, "Comedy")],
+            "category_id BIGINT, name STRING",
         ),
     }
 
@@ -34,7 +36,8 @@ GENRES = {1: ["Action"], 2: ["Action"], 3: ["Drama", "Comedy"], 5: ["Comedy"]}
 @pytest.fixture(scope="module")
 def customer(spark):
     rows = [(1, "MARY", "SMITH"), (2, "PATRICIA", "JOHNSON"), (3, "LINDA", "WILLIAMS")]
-    return spark.createDataFrame(rows, "customer_id BIGINT, first_name STRING, last_name STRING")
+    schema = "customer_id BIGINT, first_name STRING, last_name STRING"
+    return spark.createDataFrame(rows, schema)
 
 
 def favourites(customer, rental, catalogue):
@@ -44,8 +47,9 @@ def favourites(customer, rental, catalogue):
 
 
 def rented(spark, pairs):
+    when = "2005-05-24T10:00"
     return rentals(
-        spark, [(i, "2005-05-24T10:00", None, who, what) for i, (who, what) in enumerate(pairs)]
+        spark, [(i, when, None, who, what) for i, (who, what) in enumerate(pairs)]
     )
 
 
@@ -72,6 +76,15 @@ def test_category_names_tell_genres_apart_by_case(spark, customer):
     assert [tuple(row)[3:] for row in found] == [("drama", 2)]
 
 
+def test_category_names_without_case_by_collation(spark, customer):
+    genres = spark.createDataFrame(
+        [(1, 1, "drama"), (1, 2, "Drama"), (1, 3, "Action"), (1, 4, "DRAMA")],
+        "customer_id BIGINT, rental_id BIGINT, genre STRING",
+    ).withColumn("genre", F.collate("genre", "UTF8_LCASE"))
+    found = preferences.top_category_per_customer(customer, genres).collect()
+    assert [(row[3].lower(), row[4]) for row in found] == [("drama", 3)]
+
+
 def test_one_customer_with_a_third_of_all_rentals(spark, customer, catalogue):
     pick = random.Random(3)
     pairs = [

@@ -80,7 +80,8 @@ def test_store_months(spark, staff, payment):
         (20, "2005-06", Decimal("6.98"), 2),
     ]
     only = spark.createDataFrame([(20,)], "store_id BIGINT")
-    assert [row[0] for row in rows(revenue.store_month_revenue(only, staff, payment))] == [20]
+    found = rows(revenue.store_month_revenue(only, staff, payment))
+    assert [row[0] for row in found] == [20]
 
 
 def test_operating_days_and_calendar_days(staff, payment):
@@ -98,8 +99,8 @@ def test_operating_days_against_plain_sets(spark, staff):
         "(id * 7919) % 4000 AS rental_id",
         "1 + id % 4 AS staff_id",
         "CAST((id * 31) % 1200 AS DECIMAL(10,2)) / 100 AS amount",
-        "TIMESTAMP_NTZ '2004-01-31 23:59:59' + make_dt_interval(CAST(id * 17 % 400 AS INT))"
-        " AS payment_date",
+        "TIMESTAMP_NTZ '2004-01-31 23:59:59'"
+        " + make_dt_interval(CAST(id * 17 % 400 AS INT)) AS payment_date",
     )
     by_store = {1: 10, 2: 20, 3: 10, 4: 30}
     groups = defaultdict(list)
@@ -128,7 +129,8 @@ def test_operating_days_against_plain_sets(spark, staff):
 )
 def test_half_cents_per_day(spark, staff, month, amount, expected):
     frame = payments(spark, [(1, 1, 1, amount, f"{month}-03T10:00")])
-    assert rows(revenue.store_month_operating_days(staff, frame))[0][-1] == Decimal(expected)
+    found = rows(revenue.store_month_operating_days(staff, frame))
+    assert found[0][-1] == Decimal(expected)
 
 
 def test_month_labels(rental):
@@ -153,7 +155,9 @@ def test_overdue_by_calendar_days(spark):
     inventory = spark.createDataFrame(
         [(1, 100), (2, 200)], "inventory_id BIGINT, film_id BIGINT"
     )
-    film = spark.createDataFrame([(100, 3), (200, 5)], "film_id BIGINT, rental_duration INT")
+    film = spark.createDataFrame(
+        [(100, 3), (200, 5)], "film_id BIGINT, rental_duration INT"
+    )
     rented = overdue.rented_durations(rental, inventory, film)
     assert rows(overdue.monthly_overdue_rate(rented)) == [
         (None, 1, 0, 0.0),

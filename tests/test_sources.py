@@ -43,8 +43,8 @@ def test_sql_text_over_views(spark, rental):
 
 
 def test_sql_text_over_frames(spark, rental):
-    found = sources.run_sql(spark, "SELECT count(*) AS n FROM {facts}", {"facts": rental})
-    assert found.first().n == 50
+    text = "SELECT count(*) AS n FROM {facts}"
+    assert sources.run_sql(spark, text, {"facts": rental}).first().n == 50
 
 
 def test_databases_and_their_tables(spark, rental):
