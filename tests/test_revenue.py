@@ -72,6 +72,20 @@ def test_one_rental_with_very_many_payments(spark):
     assert rows(revenue.monthly_volume_revenue(rental, many)) == [expected]
 
 
+@pytest.mark.parametrize("unique_rentals", [True, False])
+def test_copies_of_a_rental(spark, payment, unique_rentals):
+    copies = [(1, "2005-05-24T22:53", None, 1, 1)] * 1000
+    copies += [(1, "2005-06-24T22:53", None, 1, 1)] * 3 + [(2, None, None, 1, 1)]
+    frame = revenue.monthly_volume_revenue(
+        rentals(spark, copies), payment, unique_rentals
+    )
+    assert rows(frame) == [
+        (None, 1, Decimal("4.99")),
+        ("2005-05", 2000, Decimal("3980.00")),
+        ("2005-06", 6, Decimal("11.94")),
+    ]
+
+
 def test_store_months(spark, staff, payment):
     store = spark.createDataFrame([(10,), (20,)], "store_id BIGINT")
     assert rows(revenue.store_month_revenue(store, staff, payment)) == [
