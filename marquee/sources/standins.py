@@ -89,14 +89,15 @@ def rented_items(
     """One row per rented item: an order line with the date of its order.
 
     Both sides are scans, so Spark can split an order with very many lines over
-    several tasks at run time.
+    several tasks at run time. The lines come first: a sort-merge join streams its
+    first side and holds the rows of one key of the second, here one order.
     """
     lines = read_table(spark, folder, "lineitem").selectExpr(
         "l_orderkey AS rental_id",
         f"{item} AS inventory_id",
         "l_shipdate AS return_date",
     )
-    return order_rentals(spark, folder).join(lines, "rental_id")
+    return lines.join(order_rentals(spark, folder), "rental_id")
 
 
 def event_store(spark: SparkSession, folder: str) -> LazyTables:

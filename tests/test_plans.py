@@ -254,6 +254,27 @@ def test_hot_key_of_a_join_is_split_over_tasks(spark, hot_store, build):
     assert "SortMergeJoin(skew=true)" in text
 
 
+@pytest.mark.parametrize(
+    "build, many, one",
+    [
+        (standins.rented_items, "lineitem", "orders"),
+        (
+            lambda spark, folder: revenue.store_payments(
+                standins.staff(spark, folder), standins.payments(spark, folder)
+            ),
+            "lineitem",
+            "supplier",
+        ),
+    ],
+)
+def test_joins_stream_the_side_with_the_hot_key(spark, build, many, one):
+    """The second side of a sort-merge join is held in memory key by key."""
+    with settings(spark, **NO_BROADCAST):
+        text = plan(build(spark, FOLDER))
+    assert text.count("SortMergeJoin") == 1
+    assert text.index(f"{many}.parquet") < text.index(f"{one}.parquet")
+
+
 def test_hot_rental_is_one_row_per_task_before_the_revenue_join(spark, hot_store):
     with settings(spark, **NO_BROADCAST):
         frame = revenue.monthly_volume_revenue(hot_store["rental"], hot_store["payment"])
