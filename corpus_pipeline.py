@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from marquee.llm.common import table, written
 from marquee.llm.near_dedup import near_duplicates
+from marquee.llm.quality import quality_filter
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a bound or lie far from those of their language and source go."""
+    return quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id").select(*docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
 ORACLE_SQL = None
 
 

@@ -101,18 +101,16 @@ def with_columns(
     """
     names = {f.name.lower() for f in added}
     kept = [c for c in frame.columns if c.lower() not in names]
-    source = frame.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("\x00text"))
-    schema = StructType([*source.select(*[f"`{c}`" for c in kept]).schema.fields, *added.fields])
+    source = frame.select(*[f"`{c}`" for c in kept])
+    schema = StructType([*source.schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(added)
-        for part, texts in text_runs(batches, "\x00text"):
+        for part, texts in text_runs(batches, column):
             columns = [pa.array(v, type=f.type) for v, f in zip(make(texts), out, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], *columns], names=[*kept, *out.names]
-            )
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*kept, *out.names])
 
     return source.mapInArrow(run, schema)
 

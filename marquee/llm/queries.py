@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm.common import table
 from marquee.llm.near_dedup import near_duplicates
+from marquee.llm.quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +17,16 @@ def op1_superminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op4_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    verdicts, _ = quality(table(spark, folder, "documents"))
+    return verdicts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "distance", "kept",
+    )
+
+
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup,)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op4_quality_outliers)
 }
 
 ORACLES: dict[str, str] = {}
