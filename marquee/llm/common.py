@@ -41,7 +41,7 @@ def runs(sizes: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
 
 
 def text_runs(
-    batches: Iterator[pa.RecordBatch], column: str
+    batches: Iterator[pa.RecordBatch], column: str, most: int = RUN_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts; a null text is an empty one."""
     for batch in batches:
@@ -49,7 +49,7 @@ def text_runs(
             continue
         at = batch.schema.get_field_index(column)
         lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0)
-        for low, high in runs(np.asarray(lengths, dtype=np.int64) + 64):
+        for low, high in runs(np.asarray(lengths, dtype=np.int64) + 64, most):
             part = batch.slice(low, high - low)
             yield part, [t or "" for t in part.column(at).to_pylist()]
 

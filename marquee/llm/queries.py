@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.llm import bpe
 from marquee.llm.common import table
 from marquee.llm.near_dedup import near_duplicates
 from marquee.llm.quality import quality
@@ -25,8 +27,14 @@ def op4_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_bpe_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", *bpe.digests())
+
+
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op4_quality_outliers)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op4_quality_outliers, op5_bpe_merge_replay)
 }
 
 ORACLES: dict[str, str] = {}
