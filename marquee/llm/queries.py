@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marquee.llm import bpe
 from marquee.llm.common import table
+from marquee.llm.decontaminate import contaminated
 from marquee.llm.near_dedup import near_duplicates
 from marquee.llm.quality import quality
+from marquee.llm.secrets import secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,19 @@ def op1_superminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op2_credential_linking(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.concat_ws(",", "base_spans"), 256).alias("base_sha256"),
+        F.concat_ws(",", "spans").alias("spans"),
+    )
+
+
+def op3_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     verdicts, _ = quality(table(spark, folder, "documents"))
     return verdicts.select(
@@ -34,7 +50,7 @@ def op5_bpe_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op4_quality_outliers, op5_bpe_merge_replay)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay)
 }
 
 ORACLES: dict[str, str] = {}
