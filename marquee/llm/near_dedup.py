@@ -221,7 +221,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Groups of documents whose sets of ``size``-word shingles reach a Jaccard
     similarity of ``percent`` in a hundred: one row per document with ``doc_id``,
-    ``n_shingles``, ``component_id`` and ``kept``.
+    ``text_hash``, ``n_shingles``, ``component_id`` and ``kept``.
 
     Linked documents and what they are linked with form a component, named by its
     smallest id; the document of that id is kept. Null and empty texts and texts of
@@ -308,10 +308,11 @@ def near_duplicates(
         ),
         "components",
     )
-    lonely = sets.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = sets.where("set_key IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(final, "set_key")
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    lonely = sets.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")).select(*columns)
+    joined = sets.where("set_key IS NOT NULL").join(final, "set_key")
     return (
-        joined.select("doc_id", "n_shingles", "component_id")
+        joined.select(*columns)
         .unionByName(lonely)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
@@ -323,3 +324,22 @@ def class_texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFra
     same_id = docs["doc_id"].eqNullSafe(wanted["first_id"])
     found = docs.join(wanted, same_id & (docs["text_hash"] == wanted["text_hash"]))
     return written(found.select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+
+
+def first_of_group(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
+) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    Of rows with the same id and text one stays; a row without an id stays if its
+    component has no id at all, or it has no shingles.
+    """
+    verdicts = near_duplicates(docs, doc_id, text, size, percent)
+    key = [F.col(f"`{doc_id}`").cast("long").alias("\x00id"), F.xxhash64(f"`{text}`").alias("\x00hash")]
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    kept = written(kept, "kept")
+    marked = docs.select("*", *key)
+    same = marked["\x00id"].eqNullSafe(kept["id"]) & (marked["\x00hash"] == kept["hash"])
+    found = marked.join(kept, same, "left_semi")
+    with_id = found.where("`\x00id` IS NOT NULL").dropDuplicates(["\x00id", "\x00hash"])
+    return with_id.unionByName(found.where("`\x00id` IS NULL")).select(*[f"`{c}`" for c in docs.columns])

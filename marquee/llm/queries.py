@@ -19,7 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_superminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+    groups = near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_credential_linking(spark: SparkSession, folder: str) -> DataFrame:

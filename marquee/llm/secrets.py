@@ -128,6 +128,31 @@ def linked(parts: DataFrame) -> DataFrame:
     return both.unionByName(places).where(~F.col("kind").isin(BASE)).drop("scope")
 
 
+def has_signs(text: Column) -> Column:
+    return reduce(or_, [text.rlike(sign) for sign in SIGNS])
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """The documents with ``text_key``, the digest of a text with signs of a secret."""
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.withColumn("text_key", F.when(has_signs(value), F.sha2(value, 256)))
+
+
+def scanned(docs: DataFrame, text: str) -> DataFrame:
+    """``keyed`` documents without their texts, with what the patterns find."""
+    found = F.concat(*[gaps_and_hits(F.col(f"`{text}`"), kind) for kind in KINDS])
+    found = F.when(F.col("text_key").isNotNull(), found)
+    return written(keyed(docs, text).withColumn("found", found).drop(text), "scanned")
+
+
+def spans_of(scan: DataFrame) -> DataFrame:
+    """All finds: ``text_key``, ``kind``, ``start``, ``end`` and whether of a ``base`` kind."""
+    texts = scan.where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("found").alias("found"))
+    parts = written(parts_of(texts), "parts")
+    base = parts.where(F.col("kind").isin(BASE))
+    return base.withColumn("base", F.lit(True)).unionByName(linked(parts).withColumn("base", F.lit(False)))
+
+
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Finds of every document: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``,
     ``base_spans`` and ``spans`` (arrays of ``kind:start:end`` by start, then kind).
@@ -138,27 +163,14 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     co-occur. Null and empty texts hold nothing. Rows that repeat an id get a row
     each, and equal texts equal finds. Other columns are ignored.
     """
-    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    signs = reduce(or_, [F.col("value").rlike(sign) for sign in SIGNS])
-    found = F.concat(*[gaps_and_hits(F.col("value"), kind) for kind in KINDS])
-    # One pass over the texts; what follows reads this table.
-    scanned = written(
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), value.alias("value"))
-        .withColumn("text_key", F.when(signs, F.sha2("value", 256)))
-        .withColumn("found", F.when(F.col("text_key").isNotNull(), found))
-        .drop("value"),
-        "scanned",
-    )
-    several = scanned.where("text_key IS NOT NULL")
-    parts = written(parts_of(several.groupBy("text_key").agg(F.first("found").alias("found"))), "parts")
-    base = parts.where(F.col("kind").isin(BASE))
-    spans = base.withColumn("base", F.lit(True)).unionByName(linked(parts).withColumn("base", F.lit(False)))
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    scan = scanned(plain, "text")
     named = F.struct("start", order_of(F.col("kind")).alias("order"), "end", "kind", "base")
 
     def text_of(items: Column) -> Column:
         return F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
 
-    finds = spans.groupBy("text_key").agg(
+    finds = spans_of(scan).groupBy("text_key").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in BASE],
         F.array_sort(F.collect_list(named)).alias("all"),
     )
@@ -166,7 +178,6 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         "text_key", *[f"n_{k}" for k in BASE],
         text_of(F.filter("all", lambda s: s["base"])).alias("base_spans"), text_of(F.col("all")).alias("spans"),
     )
-    finds = written(finds, "finds")
     empty = F.array().cast("array<string>")
     columns = [
         "doc_id",
@@ -174,8 +185,39 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         F.coalesce("base_spans", empty).alias("base_spans"),
         F.coalesce("spans", empty).alias("spans"),
     ]
-    with_signs = several.select("doc_id", "text_key").join(finds, "text_key", "left").select(*columns)
-    nothing = scanned.where("text_key IS NULL").select(
+    # Documents without signs don't take part in the join: their key is null.
+    with_signs = scan.where("text_key IS NOT NULL").select("doc_id", "text_key")
+    with_signs = with_signs.join(written(finds, "finds"), "text_key", "left").select(*columns)
+    nothing = scan.where("text_key IS NULL").select(
         "doc_id", *[F.lit(0).cast("long").alias(f"n_{k}") for k in BASE], empty.alias("base_spans"), empty.alias("spans")
     )
     return with_signs.unionByName(nothing)
+
+
+def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """The documents with ``mask`` in the place of every find; all columns stay.
+
+    Finds that overlap or touch become one mask. The time for a text grows with its
+    length times its finds.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = plain.columns[docs.columns.index(text)]
+    spans = written(spans_of(scanned(plain.select(at), at)), "spans")
+    order = Window.partitionBy("text_key").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reached >= F.col("start"), 0).otherwise(1)
+    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = runs.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+
+    marked = keyed(plain, at)
+    found = marked.where("text_key IS NOT NULL").join(written(cuts, "cuts"), "text_key", "left")
+    lows = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda s: s["end"]))
+    highs = F.concat(F.transform("cuts", lambda s: s["start"]), F.array(F.length(at).cast("long")))
+    kept = F.transform(
+        F.arrays_zip(lows.alias("low"), highs.alias("high")),
+        lambda s: F.substr(F.col(at), (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")),
+    )
+    found = found.withColumn(at, F.when(F.col("cuts").isNull(), F.col(at)).otherwise(F.array_join(kept, mask)))
+    clean = marked.where("text_key IS NULL")
+    return found.select(*plain.columns).unionByName(clean.select(*plain.columns)).toDF(*docs.columns)
