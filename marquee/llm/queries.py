@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import bpe
-from marquee.llm.common import table
+from marquee.llm.common import crc_of_id, table
 from marquee.llm.decontaminate import contaminated
+from marquee.llm.language_id import fit, identify
+from marquee.llm.licenses import licenses
 from marquee.llm.near_dedup import near_duplicates
 from marquee.llm.quality import quality
 from marquee.llm.secrets import secrets
@@ -50,8 +52,20 @@ def op5_bpe_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests())
 
 
+def op6_license_expressions(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses(table(spark, folder, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op7_naive_bayes_language(spark: SparkSession, folder: str) -> DataFrame:
+    rest = F.coalesce(F.pmod(crc_of_id(), F.lit(3)), F.lit(0))
+    docs = table(spark, folder, "documents").withColumn("held_out", rest == 1)
+    model = fit(docs.where("NOT held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language)
 }
 
 ORACLES: dict[str, str] = {}
