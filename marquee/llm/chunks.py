@@ -9,8 +9,10 @@ from collections.abc import Callable
 # ``…| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+``: white space before it is
 # taken by ``\s+(?!\S)`` without that blank, at the end of a chunk as within a text.
 CUT = re.compile(r" (?=\S)")
+# Where this is not found, all blanks but one at the end are cuts.
+NO_CUT = re.compile(r" \s")
 
-# Distinct chunks that a task remembers.
+# Distinct chunks that a worker remembers.
 REMEMBERED = 300_000
 
 
@@ -23,24 +25,36 @@ class ChunkEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
         self.encode = encode
+        # By chunk without its leading blank, and for texts' first chunks, which have none.
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) for t in texts]
+        heads = {chunks[0] for chunks in cut}
         new: set[str] = set()
         for chunks in cut:
             new.update(chunks)
-        if len(self.known) > REMEMBERED:
-            self.known = {c: self.known[c] for c in new.intersection(self.known)}
-        known = self.known
-        fresh = sorted(new.difference(known))
-        known.update(zip(fresh, self.encode(fresh), strict=True))
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        for name, seen in (("known", new), ("heads", heads)):
+            old = getattr(self, name)
+            if len(old) > REMEMBERED:
+                setattr(self, name, {c: old[c] for c in seen.intersection(old)})
+        # A text's first chunk may be looked up as a later one too; that does no harm.
+        fresh, first = list(new.difference(self.known)), list(heads.difference(self.heads))
+        coded = self.encode([" " + c for c in fresh] + first)
+        self.known.update(zip(fresh, coded))
+        self.heads.update(zip(first, coded[len(fresh) :]))
+        known, of_head = self.known.__getitem__, self.heads
+        out = []
+        for chunks in cut:
+            ids = list(map(known, chunks))
+            ids[0] = of_head[chunks[0]]
+            out.append(b"".join(ids))
+        return out
 
     @staticmethod
     def split(text: str) -> list[str]:
-        if not text:
-            return []
-        first, *rest = CUT.split(text)
-        chunks = [" " + c for c in rest]
-        return [first, *chunks] if first else chunks
+        """Chunks, all but the first without their leading blank."""
+        if text[-1:] == " " or NO_CUT.search(text):
+            return CUT.split(text)
+        return text.split(" ")

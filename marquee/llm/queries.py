@@ -15,6 +15,7 @@ from marquee.llm.language_id import fit, identify
 from marquee.llm.licenses import licenses
 from marquee.llm.near_dedup import near_duplicates
 from marquee.llm.quality import quality
+from marquee.llm.repair import token_files
 from marquee.llm.secrets import secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +65,12 @@ def op7_naive_bayes_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op8_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files)
 }
 
 ORACLES: dict[str, str] = {}
