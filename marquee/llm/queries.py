@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import bpe
+from marquee.llm.chat import formatted, read_back
 from marquee.llm.common import crc_of_id, table
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.language_id import fit, identify
@@ -69,8 +70,17 @@ def op8_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_chat_templates(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, folder, "conversations").select(*own.columns)
+    return read_back(formatted(turns.unionByName(own)))
+
+
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files, op9_chat_templates)
 }
 
 ORACLES: dict[str, str] = {}
