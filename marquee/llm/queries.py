@@ -14,6 +14,7 @@ from marquee.llm.common import crc_of_id, table
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.language_id import fit, identify
 from marquee.llm.licenses import licenses
+from marquee.llm.lm_scores import lm_scores
 from marquee.llm.near_dedup import near_duplicates
 from marquee.llm.quality import quality
 from marquee.llm.repair import token_files
@@ -79,8 +80,14 @@ def op9_chat_templates(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(formatted(turns.unionByName(own)))
 
 
+def op10_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rest = F.coalesce(F.pmod(crc_of_id(), F.lit(10)), F.lit(1))
+    scores = lm_scores(table(spark, folder, "documents"), rest != 0)
+    return scores.select("doc_id", (rest == 0).alias("held_out"), *scores.columns[1:])
+
+
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files, op9_chat_templates)
+    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files, op9_chat_templates, op10_pitman_yor_scores)
 }
 
 ORACLES: dict[str, str] = {}
