@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import bpe
 from marquee.llm.chat import formatted, read_back
+from marquee.llm.checks import ORACLES  # noqa: F401
 from marquee.llm.common import crc_of_id, table
 from marquee.llm.decontaminate import contaminated
 from marquee.llm.language_id import fit, identify
@@ -89,5 +90,3 @@ def op10_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files, op9_chat_templates, op10_pitman_yor_scores)
 }
-
-ORACLES: dict[str, str] = {}

@@ -27,7 +27,7 @@ def text_stats(texts: list[str]) -> dict[str, np.ndarray]:
     data, counts = words.data, np.diff(words.first)
     ends = np.flatnonzero(data == 10)  # a line feed ends every line, and every text
     sizes = np.array([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
-    begins = np.concatenate([[0], np.cumsum(sizes)])
+    begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     chars = np.concatenate([[0], np.cumsum(lead[words.end] - lead[words.start])])

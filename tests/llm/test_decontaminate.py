@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from marquee.llm import decontaminate as d
+from marquee.llm.queries import op3_pigeonhole_decontamination
+from tests.llm.rows import FOLDER, documents, odd_rows
+
+
+def distance_to_part(pattern: str, text: str) -> int:
+    """The textbook table; a match may begin and end anywhere in the text."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i, p in enumerate(pattern):
+            new.append(min(row[i] + (p != c), row[i + 1] + 1, new[-1] + 1))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+def masks(pattern: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def test_myers():
+    rng = random.Random(1)
+    for _ in range(300):
+        pattern = "".join(rng.choice("abé日") for _ in range(rng.randint(1, 140)))
+        text = "".join(rng.choice("abé日") for _ in range(rng.randint(0, 160)))
+        assert d.myers(masks(pattern), len(pattern), text) == distance_to_part(pattern, text)
+
+
+def edited(rng: random.Random, text: str, edits: int) -> str:
+    out = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(1, len(out) - 1), rng.randrange(3)
+        if kind == 0:
+            out[at] = rng.choice("xyzéq")
+        elif kind == 1:
+            out.insert(at, rng.choice("xyzéq"))
+        else:
+            del out[at]
+    return "".join(out)
+
+
+def test_all_passages_within_the_bound_are_found(spark):
+    """Against the edit distance of every pair, with edits up to and beyond the bound."""
+    rng = random.Random(2)
+    vocabulary = ["the", "was", "and", "ation", "ing", "été", "ciónes", "großer", "日本", "her", "thing", "on"]
+    items = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 50))) for i in range(25)}
+    docs = {}
+    for k in range(120):
+        filler = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(2)]
+        item = rng.choice(list(items.values()))
+        passage = edited(rng, item, rng.randint(0, len(item) // 10))
+        passage = passage.upper() if rng.random() < 0.2 else passage.replace(" ", rng.choice([" ", "\n", ", "]))
+        docs[k] = f"{filler[0]} {passage} {filler[1]}"
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["allowed"]) for r in d.contaminated(frame, bench).collect()}
+    wanted = {}
+    for k, text in docs.items():
+        normal = d.normal(text).decode()
+        for i, item in items.items():
+            plain = d.normal(item).decode().strip(" ")
+            allowed = len(plain) * d.ERROR_PERCENT // 100
+            if len(plain) >= d.LEAST_CHARS and (n := distance_to_part(plain, normal)) <= allowed:
+                wanted[k, i] = (n, allowed)
+    assert got == wanted and len(wanted) > 40
+
+
+def test_query_finds_what_is_there_as_it_is(spark):
+    texts = {k: d.normal(t) for k, t in documents(spark).items()}
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
+    wanted = {(k, r["item_id"]) for r in bench for k, t in texts.items() if d.normal(r["text"]) in t}
+    rows = op3_pigeonhole_decontamination(spark, FOLDER).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["distance"] == 0} >= wanted and wanted
+    assert all(r["distance"] <= r["allowed"] for r in rows)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_blocks_and_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_CHARS", block)
+    docs = odd_rows(spark)
+    bench = spark.createDataFrame(
+        [(1, None), (2, ""), (3, "one two"), (4, "QUICK brown, fox jumps over the lazy dog"), (4, "nobody minds at all THE quick"), (None, "word1 and1 word2 and2 word3 and3")],
+        "item_id long, text string",
+    )
+    rows = d.contaminated(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(None, 4), (7, 4), (8, None), (10, None)}
+    clean = d.decontaminated(docs, bench)
+    assert clean.schema == docs.schema
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["1", "11", "2", "3", "4", "5", "6", "9", "None"]
+    assert d.contaminated(odd_rows(spark, empty=True), bench).collect() == []
+    assert d.contaminated(docs, bench.limit(0)).collect() == []
+    assert d.decontaminated(docs, bench.limit(0)).count() == 15

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from marquee.llm import words as w
+from marquee.llm.common import groups, runs
+from marquee.llm.superminhash import bands, draws, signature
+from tests.llm.rows import words_of
+
+TEXT = st.text(alphabet=st.sampled_from(list("abAB \n\t\x0b\x1c,.é日😀")), max_size=40)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXT, max_size=6))
+def test_words_and_hashes(texts):
+    found = w.find_words(texts)
+    raw = found.data.tobytes()
+    got = [[] for _ in texts]
+    for s, e, t in zip(found.start, found.end, found.text, strict=True):
+        got[t].append(raw[s:e].decode())
+    assert got == [words_of(t) for t in texts]
+    hashes = w.word_hashes(found).tolist()
+    flat = [x for words in got for x in words]
+    assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+
+
+def test_hash_does_not_depend_on_place():
+    one = w.word_hashes(w.find_words(["abc"]))[0]
+    far = "x" * (1 << 20) + " abc " + "y " * 700_000 + "abc"
+    hashes = w.word_hashes(w.find_words([far]))
+    assert hashes[1] == hashes[-1] == one
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, max_size=5), st.integers(1, 4))
+def test_windows(texts, size):
+    found = w.find_words(texts)
+    hashes, of = w.windows(found, w.word_hashes(found), size)
+    names, all_windows = {}, []
+    for t, text in enumerate(texts):
+        words = words_of(text)
+        if len(words) >= size:
+            parts = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+        else:
+            parts = [tuple(words)] if words else []
+        all_windows += [(t, p) for p in parts]
+    assert of.tolist() == [t for t, _ in all_windows]
+    for (_, part), h in zip(all_windows, hashes.tolist(), strict=True):
+        assert names.setdefault(part, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def one_by_one(elements: list[int], slots: int) -> list[int]:
+    """SuperMinHash as it is defined: element by element."""
+    out = [2**64 - 1] * slots
+    for element in elements:
+        place = list(range(slots))
+        for step in range(slots):
+            random = int(draws(np.array([element], dtype=np.uint64), step)[0])
+            other = step + (random & 0xFFFFFFFF) % (slots - step)
+            place[step], place[other] = place[other], place[step]
+            out[place[step]] = min(out[place[step]], step << 48 | random >> 16)
+    return out
+
+
+def test_signature_is_the_defined_one():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 100):
+        elements = rng.integers(0, 2**63, n).astype(np.uint64)
+        assert signature(elements, 24, block=7).tolist() == one_by_one(elements.tolist(), 24)
+
+
+def test_signature_estimates_similarity():
+    rng = np.random.default_rng(2)
+    both = rng.integers(0, 2**63, 600).astype(np.uint64)
+    a, b = signature(both[:500], 2000), signature(both[100:], 2000)
+    assert abs((a == b).mean() - 400 / 600) < 0.04
+    assert len(bands(a[:180], 6)) == 30
+
+
+def test_runs_and_groups():
+    assert list(runs(np.array([5, 1, 1, 9, 1]), 3)) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 30, 200))
+    batches, low = [], 0
+    for high in [1, 2, 2, 50, 51, 120, 200]:
+        batches.append(pa.RecordBatch.from_arrays([pa.array(keys[low:high])], names=["k"]))
+        low = high
+    seen = []
+    for part, edges in groups(iter(batches), ["k"]):
+        values = part.column("k").to_numpy()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            assert len(set(values[a:b])) == 1
+            seen.append((values[a], b - a))
+    assert seen == [(k, int((keys == k).sum())) for k in np.unique(keys)]
