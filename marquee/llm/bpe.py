@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from marquee.llm.chunks import REMEMBERED, ChunkEncoder
+from marquee.llm.chunks import ChunkEncoder
 from marquee.llm.common import text_runs
 
-# Texts whose words are replayed together.
-CORPUS_BYTES = 8 << 20
+# Texts whose words are replayed together, and how many words at most.
+CORPUS_BYTES = 4 << 20
+CORPUS_WORDS = 40_000
+# Distinct pieces that a worker remembers.
+REMEMBERED_PIECES = 300_000
 
 
 class Ranks:
@@ -151,10 +154,12 @@ def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
     table, pieces = ranks(path), regex.compile(pattern)
     known: dict[str, bytes] = {}
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        cut = [pieces.findall(c) for c in chunks]
+    def encode(raw: list[bytes]) -> list[bytes]:
+        chunks = [c.decode("utf-8") for c in raw]
+        # Letters behind a blank are one piece; the pattern is needed for the rest.
+        cut = [(c,) if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else pieces.findall(c) for c in chunks]
         new = {p for parts in cut for p in parts}
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED_PIECES:
             kept = {p: known[p] for p in new.intersection(known)}
             known.clear()
             known.update(kept)
@@ -167,8 +172,10 @@ def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
             else:  # a piece that is a token itself needs no merges
                 known[piece] = own.to_bytes(4, "little")
         rest.sort()  # words alike lie near each other, which the cache rewards
-        coded = replay([raw for _, raw in rest], table)
-        known.update((piece, ids) for (piece, _), ids in zip(rest, coded, strict=True))
+        for low in range(0, len(rest), CORPUS_WORDS):
+            part = rest[low : low + CORPUS_WORDS]
+            coded = replay([raw for _, raw in part], table)
+            known.update((piece, ids) for (piece, _), ids in zip(part, coded, strict=True))
         return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in cut]
 
     return ChunkEncoder(encode)
