@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from marquee.plans import QUERIES
@@ -29,8 +30,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = sys.argv[1:] or list(QUERIES)
+    # Streams and shared tables keep their files here, until the end of the run.
+    shared = tempfile.TemporaryDirectory(prefix="bench-")
     spark = build_session(
         "bench",
+        spark__checkpoint__dir=shared.name,
         master=f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="8g",
@@ -44,6 +48,7 @@ def main() -> None:
         times = [run_once(spark, name, folder) for _ in range(repeats)]
         warm[name] = round(statistics.median(times), 4)
     spark.stop()
+    shared.cleanup()
     print(
         json.dumps(
             {

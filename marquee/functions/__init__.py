@@ -16,9 +16,8 @@ from marquee.functions.calendar import (
     weekday_number,
 )
 from marquee.functions.numbers import (
-    cents,
+    Money,
     days_between,
-    from_cents,
     percentage,
     two_places,
 )
@@ -32,14 +31,13 @@ from marquee.functions.text import (
 __all__ = [
     "PARTS",
     "WEEKDAYS",
+    "Money",
     "as_utc",
-    "cents",
     "date_text",
     "day_of",
     "days_between",
     "days_in_month",
     "field",
-    "from_cents",
     "hour_from_utc",
     "month_label",
     "month_label_from_text",

@@ -70,8 +70,8 @@ def parse_date(text: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Timestamp without zone from text; text that is none raises an error."""
-    return text.cast("timestamp_ntz")
+    """Timestamp without zone from text, NULL where the text is none."""
+    return text.try_cast("timestamp_ntz")
 
 
 def parse_month(text: Column) -> Column:

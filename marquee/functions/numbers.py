@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
-def cents(amount: Column) -> Column:
-    """Whole cents as BIGINT.
+@dataclass(frozen=True)
+class Money:
+    """An amount to be summed exactly, in any order, and rounded after the sum.
 
-    Integer sums are exact in any order, and narrower and faster than DECIMAL
-    ones. They reach to 92 quadrillion; beyond that ANSI mode raises an error.
+    Columns typed DECIMAL with two places at most are summed as BIGINT cents, which
+    is narrower and faster; they reach to 92 quadrillion. All others are summed as
+    DECIMAL with six places, to which a DOUBLE is rounded once. Beyond its range a
+    sum is an error in ANSI mode, and NULL (DECIMAL) or wrong (BIGINT) without it.
     """
-    return F.rint(amount * 100).cast("bigint")
 
+    column: str
+    in_cents: bool
+
+    @classmethod
+    def of(cls, frame: DataFrame, column: str) -> Money:
+        kind = frame.schema[column].dataType
+        return cls(column, isinstance(kind, DecimalType) and kind.scale <= 2)
+
+    def summand(self) -> Column:
+        amount = F.col(self.column)
+        if self.in_cents:
+            return (amount * 100).cast("bigint")
+        return amount.cast("decimal(24,6)")
+
+    def times(self, total: Column, copies: Column) -> Column:
+        """A sum taken several times."""
+        product = total * copies
+        return product if self.in_cents else product.cast("decimal(38,6)")
+
+    def exact(self, total: Column) -> Column:
+        """A sum of ``summand`` as DECIMAL."""
+        if self.in_cents:
+            return (total.cast("decimal(20,0)") / 100).cast("decimal(20,2)")
+        return total
 
-def from_cents(total: Column) -> Column:
-    """Amount as DECIMAL with two places."""
-    return (total.cast("decimal(20,0)") / 100).cast("decimal(20,2)")
+    def rounded(self, total: Column) -> Column:
+        """The same with two places, halves away from zero."""
+        return F.round(self.exact(total), 2).cast("decimal(20,2)")
 
 
 def two_places(amount: Column) -> Column:

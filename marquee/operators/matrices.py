@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import PARTS, date_text, month_label, weekday_name
-from marquee.operators.counts import number_of
+from marquee.operators.counts import Facts, number_of
 
 DAYS = range(1, 32)
 HOURS = range(24)
 
 
 def spread(
-    facts: DataFrame, row: Column, column: Column, values: range, measure: Column
+    facts: Facts, row: Column, column: Column, values: range, measure: Column
 ) -> DataFrame:
     """``row_key`` and one column per value, NULL where nothing was found.
 
@@ -28,7 +28,7 @@ def spread(
 
 
 def by_parts(
-    facts: DataFrame,
+    facts: Facts,
     when: str,
     row: str,
     column: str,
@@ -58,7 +58,7 @@ def every_row(spark: SparkSession, matrix: DataFrame, rows: range) -> DataFrame:
     return spine.join(F.broadcast(matrix), "row_key", "left").orderBy("row_key")
 
 
-def month_by_day(facts: DataFrame, when: str = "rental_date") -> DataFrame:
+def month_by_day(facts: Facts, when: str = "rental_date") -> DataFrame:
     """Months in time order × days 1 to 31; a month without rows has no row."""
     matrix = by_parts(facts, when, "month", "day", DAYS)
     labelled = matrix.withColumn("month_label", month_label(F.col("row_key")))
@@ -66,7 +66,7 @@ def month_by_day(facts: DataFrame, when: str = "rental_date") -> DataFrame:
 
 
 def hour_by_day(
-    facts: DataFrame, when: str = "rental_date", counted: str = "rental_id"
+    facts: Facts, when: str = "rental_date", counted: str = "rental_id"
 ) -> DataFrame:
     """Hours 0 to 23 × days 1 to 31, all months together."""
     matrix = by_parts(facts, when, "hour", "day", DAYS, counted)
@@ -74,7 +74,7 @@ def hour_by_day(
     return dense.selectExpr("row_key AS hour", *cells(DAYS, "d"))
 
 
-def weekday_by_hour(facts: DataFrame, when: str = "rental_date") -> DataFrame:
+def weekday_by_hour(facts: Facts, when: str = "rental_date") -> DataFrame:
     """Monday to Sunday × hours 0 to 23."""
     matrix = by_parts(facts, when, "weekday_no", "hour", HOURS)
     dense = every_row(facts.sparkSession, matrix, range(7))
@@ -82,7 +82,7 @@ def weekday_by_hour(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     return labelled.selectExpr("weekday", *cells(HOURS, "h"))
 
 
-def date_by_hour(facts: DataFrame, when: str = "rental_date") -> DataFrame:
+def date_by_hour(facts: Facts, when: str = "rental_date") -> DataFrame:
     """Dates that occur × hours 0 to 23."""
     matrix = by_parts(facts, when, "rental_day", "hour", HOURS)
     dated = matrix.withColumn("rental_day", date_text(F.col("row_key"), "%Y-%m-%d"))

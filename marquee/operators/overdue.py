@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import days_between, month_start, month_text, percentage
+from marquee.session import written
 
 
 def rented_durations(
     rental: DataFrame, inventory: DataFrame, film: DataFrame
 ) -> DataFrame:
-    """Rentals with the allowed days of their film, one table joined at a time so
-    that each is broadcast or shuffled by its own size."""
-    items = inventory.select("inventory_id", "film_id")
+    """Rentals with the allowed days of their film.
+
+    The items are joined with their films first and written, so that their size is
+    known and the rentals meet one plain table, by item.
+    """
     films = film.select("film_id", "rental_duration")
-    return rental.join(items, "inventory_id").join(films, "film_id")
+    items = inventory.select("inventory_id", "film_id").join(films, "film_id")
+    return rental.join(written(items, "item-durations"), "inventory_id")
 
 
 def monthly_overdue_rate(rented: DataFrame) -> DataFrame:

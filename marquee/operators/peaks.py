@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marquee.functions import one_place, weekday_name, with_thousands
-from marquee.operators.counts import count_by, number_of
+from marquee.operators.counts import Facts, count_by, number_of
 
 
 def all_slots() -> WindowSpec:
@@ -23,7 +23,7 @@ def is_first(value: str, *ties: str) -> Column:
     return place == 1
 
 
-def hourly_peak(facts: DataFrame, when: str = "rental_date") -> DataFrame:
+def hourly_peak(facts: Facts, when: str = "rental_date") -> DataFrame:
     """Counts per hour, their mean over the hours that occur, and the peak hour."""
     counts = count_by(facts, when, ["hour"])
     return (
@@ -34,7 +34,7 @@ def hourly_peak(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     )
 
 
-def weekday_peak(facts: DataFrame, when: str = "rental_date") -> DataFrame:
+def weekday_peak(facts: Facts, when: str = "rental_date") -> DataFrame:
     """Counts per weekday with label, overall maximum and peak mark, Monday first."""
     counts = count_by(facts, when, ["weekday_no"])
     return (
@@ -52,7 +52,7 @@ def weekday_peak(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     )
 
 
-def slot_pairs(facts: DataFrame, kept: Column, when: str) -> DataFrame:
+def slot_pairs(facts: Facts, kept: Column, when: str) -> DataFrame:
     """Weekday-hours counted over all rows and over the ``kept`` ones, in one scan."""
     slots = facts.groupBy(
         F.weekday(F.to_date(when)).alias("weekday_no"), F.hour(when).alias("hour")
@@ -70,7 +70,7 @@ def with_cutoff(slots: DataFrame, value: str, share: float) -> DataFrame:
 
 
 def top_slots(
-    facts: DataFrame, kept: Column, share: float = 0.95, when: str = "rental_date"
+    facts: Facts, kept: Column, share: float = 0.95, when: str = "rental_date"
 ) -> DataFrame:
     """Slots of the kept rows that reach the quantile of the slots of all rows."""
     return (
@@ -82,7 +82,7 @@ def top_slots(
 
 
 def top_slots_positional(
-    facts: DataFrame, kept: Column, share: float = 0.95, when: str = "rental_date"
+    facts: Facts, kept: Column, share: float = 0.95, when: str = "rental_date"
 ) -> DataFrame:
     """First K slots of all rows, K = number of kept slots that reach the quantile.
 
@@ -102,21 +102,27 @@ def top_slots_positional(
 
 
 def slot_outliers(
-    facts: DataFrame, factor: float = 3.0, when: str = "rental_date"
+    facts: Facts,
+    factor: float = 3.0,
+    when: str = "rental_date",
+    least_spread: float = 0.5,
 ) -> DataFrame:
     """Hours of a date far above the usual count of that hour of day (an addition).
 
     Far is more than ``factor`` median absolute deviations above the median of
-    the dates on which the hour occurs. The windows hold one row per date.
+    the dates on which the hour occurs; a deviation below ``least_spread`` counts as
+    that, or one rental more would be far where all other dates are equal. The
+    windows hold one row per date.
     """
     same_hour = Window.partitionBy("hour")
     half = F.lit(0.5)
+    bar = F.greatest(F.col("spread"), F.lit(least_spread))
     return (
         count_by(facts.where(F.col(when).isNotNull()), when, ["rental_day", "hour"])
         .withColumn("usual", F.percentile("rentals", half).over(same_hour))
         .withColumn("distance", F.abs(F.col("rentals") - F.col("usual")))
         .withColumn("spread", F.percentile("distance", half).over(same_hour))
-        .where(F.col("rentals") - F.col("usual") > F.lit(factor) * F.col("spread"))
+        .where(F.col("rentals") - F.col("usual") > factor * bar)
         .select("rental_day", "hour", "rentals", "usual", "spread")
         .orderBy(F.desc("rentals"), "rental_day", "hour")
     )

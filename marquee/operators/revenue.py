@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import (
-    cents,
+    Money,
     days_in_month,
-    from_cents,
     month_label,
     month_label_from_text,
     month_start,
@@ -19,39 +18,39 @@ from marquee.functions import (
 from marquee.operators.counts import count_by
 
 
-def monthly_volume_revenue(
-    rental: DataFrame, payment: DataFrame, unique_rentals: bool = True
-) -> DataFrame:
+def monthly_volume_revenue(rental: DataFrame, payment: DataFrame) -> DataFrame:
     """Rental-payment pairs and revenue per month of the rental.
 
     Payments are first summed per rental, on the join key: the join then reuses
     that shuffle, and a rental with very many payments reaches it as one row per
-    map task. Where ``rental_id`` is not the key of ``rental``, copies of a rental
-    are counted before the join too, for one more shuffle of the rentals; the
-    result is the same either way.
+    map task. Rentals are counted per id and month before the join, so an id that
+    repeats any number of times is few rows too.
     """
+    money = Money.of(payment, "amount")
     paid = (
         payment.where("rental_id IS NOT NULL")
         .groupBy("rental_id")
-        .agg(
-            F.count(F.lit(1)).alias("payments"),
-            F.sum(cents(F.col("amount"))).alias("cents"),
-        )
+        .agg(F.count(F.lit(1)).alias("payments"), F.sum(money.summand()).alias("total"))
+    )
+    dated = (
+        rental.where("rental_id IS NOT NULL")
+        .select("rental_id", month_start(F.col("rental_date")).alias("month"))
+        .groupBy("rental_id", "month")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
-    dated = rental.select("rental_id", month_start(F.col("rental_date")).alias("month"))
-    rentals, total = F.col("payments"), F.col("cents")
-    if not unique_rentals:
-        dated = dated.groupBy("rental_id", "month").agg(F.count("*").alias("copies"))
-        rentals, total = rentals * F.col("copies"), total * F.col("copies")
+    copies = F.col("copies")
     return (
         dated.join(paid, "rental_id")
         .groupBy("month")
-        .agg(F.sum(rentals).alias("rentals"), F.sum(total).alias("cents"))
+        .agg(
+            F.sum(F.col("payments") * copies).alias("rentals"),
+            F.sum(money.times(F.col("total"), copies)).alias("total"),
+        )
         .orderBy("month")
         .select(
             month_text(F.col("month")).alias("month"),
             "rentals",
-            from_cents(F.col("cents")).alias("revenue"),
+            money.rounded(F.col("total")).alias("revenue"),
         )
     )
 
@@ -69,11 +68,12 @@ def store_month_revenue(
     The store table only confirms that a store exists, so it meets one row per
     store and month instead of the payments.
     """
+    money = Money.of(payment, "amount")
     totals = (
         store_payments(staff, payment)
         .groupBy("store_id", month_start(F.col("payment_date")).alias("month"))
         .agg(
-            F.sum(cents(F.col("amount"))).alias("cents"),
+            F.sum(money.summand()).alias("total"),
             F.count("payment_id").alias("payments"),
         )
     )
@@ -83,7 +83,7 @@ def store_month_revenue(
         .select(
             "store_id",
             month_text(F.col("month")).alias("month"),
-            from_cents(F.col("cents")).alias("revenue"),
+            money.rounded(F.col("total")).alias("revenue"),
             "payments",
         )
     )
@@ -97,30 +97,35 @@ def store_month_operating_days(staff: DataFrame, payment: DataFrame) -> DataFram
     shuffles one row per store, month and rental instead of expanding each
     payment into one row per distinct aggregate.
     """
+    money = Money.of(payment, "amount")
     paid = store_payments(staff, payment).select(
         "store_id",
         month_start(F.col("payment_date")).alias("month"),
         F.expr("shiftleft(1, dayofmonth(payment_date) - 1)").alias("day_bit"),
         "rental_id",
-        cents(F.col("amount")).alias("cents"),
+        money.summand().alias("amount"),
     )
     totals = paid.groupBy("store_id", "month").agg(
-        F.sum("cents").alias("cents"),
+        F.sum("amount").alias("total"),
         F.count_distinct("rental_id").alias("rentals"),
         F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)).alias("operating_days"),
     )
-    revenue = from_cents(F.col("cents"))
-    per_day = two_places(revenue / days_in_month(F.col("month")))
+    # Divided before anything is rounded, with two places more than a cent needs.
+    per_day = money.exact(F.col("total")) / days_in_month(F.col("month"))
     return totals.orderBy("store_id", "month").select(
         "store_id",
         month_text(F.col("month")).alias("month"),
-        revenue.alias("revenue"),
+        money.rounded(F.col("total")).alias("revenue"),
         "rentals",
         "operating_days",
-        per_day.alias("revenue_per_day"),
+        two_places(per_day).alias("revenue_per_day"),
     )
 
 
+# Fixed value: the counter word of the labels.
+COUNTER = "건"
+
+
 def month_labels(facts: DataFrame, when: str = "rental_date") -> DataFrame:
     """Months with their count, as display labels."""
     months = count_by(facts, when, ["month"]).orderBy("month")
@@ -130,5 +135,5 @@ def month_labels(facts: DataFrame, when: str = "rental_date") -> DataFrame:
         month_label(F.col("month")).alias("label"),
         month_label_from_text(text).alias("label_from_text"),
         "rentals",
-        with_thousands(F.col("rentals"), "건").alias("rentals_label"),
+        with_thousands(F.col("rentals"), COUNTER).alias("rentals_label"),
     )

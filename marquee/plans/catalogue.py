@@ -10,9 +10,20 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from marquee.functions import (
+    WEEKDAYS,
+    date_text,
+    days_in_month,
+    field,
+    parse_date,
+    parse_month,
+    parse_timestamp,
+    weekday_name,
+)
 from marquee.operators import counts, overdue, preferences, scans
-from marquee.plans.store_queries import STORE_QUERIES, Choices
+from marquee.plans.store_queries import STORE_QUERIES, Choices, calendar_reports
 from marquee.sources import read_table, run_sql, standins, stream_table
 from marquee.streaming import hourly
 
@@ -109,7 +120,7 @@ def monthly_overdue_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def weekday_hour_counts_from_cube(spark: SparkSession, folder: str) -> DataFrame:
     """A report on the hour cube instead of the rentals."""
-    cube = counts.hour_cube(standins.event_rentals(spark, folder))
+    cube = counts.HourCube(counts.hour_cube(standins.event_rentals(spark, folder)))
     return STORE_QUERIES["weekday_hour_counts"]({"rental": cube}, EVENT_CHOICES)
 
 
@@ -118,27 +129,74 @@ def table_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_counts_sql(spark: SparkSession, folder: str) -> DataFrame:
-    """SQL text with Korean names, grouping and ordering by an alias."""
+    """SQL text with names in another language, grouping and ordering by an alias."""
     return run_sql(
         spark,
-        "SELECT r.rental_day AS `날짜`, count(*) AS `건수` "
-        "FROM (SELECT to_date(rental_date) AS rental_day FROM {rental}) AS r "
-        "GROUP BY `날짜` ORDER BY `날짜`",
+        "SELECT trunc(d.day, 'WEEK') AS `주`, count(DISTINCT d.day) AS `일수`, "
+        "sum(d.n) AS `대여` FROM ("
+        "SELECT CAST(rental_date AS DATE) AS day, count(rental_id) AS n "
+        "FROM {rental} GROUP BY ALL) AS d "
+        "GROUP BY `주` ORDER BY `주`",
         {"rental": standins.event_rentals(spark, folder)},
     )
 
 
-def stream_hourly_revenue(spark: SparkSession, folder: str) -> DataFrame:
+def stream_hourly_revenue(
+    spark: SparkSession, folder: str, target: str | None = None
+) -> DataFrame:
+    """With a ``target`` folder the stream goes on where it stopped there."""
     stream = hourly.hourly_revenue(
         stream_table(spark, folder, "events"), "ts", "value", "event_type"
     )
-    return hourly.run_available(spark, stream, "hourly-revenue")
+    keys = ["hour_start", "kind"]
+    return hourly.run_available(spark, stream, "hourly-revenue", keys, target)
+
+
+def stream_surge(
+    spark: SparkSession, folder: str, target: str | None = None
+) -> DataFrame:
+    stream = hourly.hourly_rentals(stream_table(spark, folder, "events"), "ts")
+    hours = hourly.run_available(spark, stream, "surge", ["hour_start"], target)
+    return hourly.surging_hours(hours)
+
+
+def weekday_counts_by_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekdays put in order by their place in a list of names."""
+    facts = standins.event_rentals(spark, folder)
+    named = counts.count_by(facts, "rental_date", ["weekday_no"]).select(
+        weekday_name(F.col("weekday_no")).alias("weekday"), "rentals"
+    )
+    place = field(F.col("weekday"), *WEEKDAYS).alias("place")
+    return named.select(place, "weekday", "rentals").orderBy("place")
+
+
+def parsed_order_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per month text, with the days of the month that the text names, and what
+    becomes of texts that name none."""
+    text = date_text(F.col("rental_date"), "%Y-%m")
+    months = standins.order_rentals(spark, folder).groupBy(text.alias("month"))
+    return months.agg(F.count(F.lit(1)).alias("rentals")).select(
+        "month",
+        "rentals",
+        days_in_month(parse_month(F.col("month"))).alias("days"),
+        parse_date(F.col("month")).alias("no_date"),
+    )
+
+
+def parsed_event_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per hour of their timestamps read back from text, every seventh of
+    which is spoilt and has none."""
+    facts = standins.event_rentals(spark, folder)
+    text = F.col("rental_date").cast("string")
+    spoilt = F.when(F.col("rental_id") % 7 == 0, F.concat(text, F.lit("?"))).otherwise(text)
+    stamps = facts.select(parse_timestamp(spoilt).alias("rental_date"))
+    return counts.hourly_counts(stamps)
 
 
-def stream_surge(spark: SparkSession, folder: str) -> DataFrame:
-    usual = hourly.usual_slot_counts(read_table(spark, folder, "events"), "ts")
-    stream = hourly.surging_hours(stream_table(spark, folder, "events"), usual, "ts")
-    return hourly.run_available(spark, stream, "surge")
+def weekday_matrix_from_written_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """One of the reports that share one scan of the rentals."""
+    reports = calendar_reports(spark, standins.event_rentals(spark, folder))
+    return reports["heat_weekday_hour"]
 
 
 def plain(build: Query) -> Query:
@@ -172,6 +230,10 @@ QUERIES: dict[str, Query] = {
             daily_counts_sql,
             stream_hourly_revenue,
             stream_surge,
+            weekday_counts_by_field,
+            parsed_order_months,
+            parsed_event_times,
+            weekday_matrix_from_written_cube,
         )
     },
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 DAY = "%Y-%m-%d"
-PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
-CENTS = f"sum(CAST({PRICE} * 100 AS BIGINT))"
+# Exact sums, rounded after them, halves away from zero.
+TOTAL = "sum(CAST(l_extendedprice AS DECIMAL(24,6)))"
+REVENUE = f"CAST(round({TOTAL}, 2) AS DOUBLE)"
 NOT_OUTLIER_DAY = "CAST(ts AS DATE) <> DATE '2024-01-14'"
 
 
@@ -72,28 +73,30 @@ SLOT_PAIRS = (
     "SELECT strftime(ts, '%A') AS weekday, hour(ts) AS hour, count(*) AS n_all, "
     f"count(*) FILTER ({NOT_OUTLIER_DAY}) AS n_kept FROM events GROUP BY 1, 2"
 )
-CLOSED = "date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)"
 
 ORACLES: dict[str, str] = {
     "monthly_volume_revenue": f"""
         SELECT strftime(o_orderdate, '%Y-%m') AS month, count(o_orderkey) AS rentals,
-               CAST(sum({PRICE}) AS DOUBLE) AS revenue
+               {REVENUE} AS revenue
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""",
     "store_month_operating_days": f"""
         WITH t AS (
-          SELECT s_nationkey, date_trunc('month', l_shipdate) AS m, {CENTS} AS cents,
+          SELECT s_nationkey, date_trunc('month', l_shipdate) AS m,
+                 CAST({TOTAL} * 1000000 AS HUGEINT) AS millionths,
                  count(DISTINCT l_orderkey) AS rentals,
                  count(DISTINCT CAST(l_shipdate AS DATE)) AS operating_days,
                  day(last_day(date_trunc('month', l_shipdate))) AS d
           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
         SELECT CAST(s_nationkey AS BIGINT) AS store_id, strftime(m, '%Y-%m') AS month,
-               CAST(cents AS DOUBLE) / 100 AS revenue, rentals, operating_days,
-               CAST((2 * cents + d) // (2 * d) AS DOUBLE) / 100 AS revenue_per_day
+               CAST((millionths + 5000) // 10000 AS DOUBLE) / 100 AS revenue,
+               rentals, operating_days,
+               CAST((millionths + 5000 * d) // (10000 * d) AS DOUBLE) / 100
+                 AS revenue_per_day
         FROM t""",
     "store_month_revenue": f"""
         SELECT CAST(n_nationkey AS BIGINT) AS store_id,
                strftime(l_shipdate, '%Y-%m') AS month,
-               CAST(sum({PRICE}) AS DOUBLE) AS revenue,
+               {REVENUE} AS revenue,
                count(l_linenumber) AS payments
         FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
              JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2""",
@@ -108,8 +111,9 @@ ORACLES: dict[str, str] = {
         SELECT strftime(ts, '{DAY}') AS rental_day, count(*) AS rentals
         FROM events GROUP BY 1""",
     "daily_counts_sql": f"""
-        SELECT strftime(ts, '{DAY}') AS "날짜", count(*) AS "건수"
-        FROM events GROUP BY 1""",
+        SELECT strftime(date_trunc('week', ts), '{DAY}') AS "주",
+               count(DISTINCT CAST(ts AS DATE)) AS "일수",
+               count(event_id) AS "대여" FROM events GROUP BY 1""",
     "hour_cube": """
         SELECT date_trunc('hour', ts) AS rental_date, count(*) AS row_count,
                count(event_id) AS id_count FROM events GROUP BY 1""",
@@ -188,7 +192,7 @@ ORACLES: dict[str, str] = {
              m AS (SELECT *, median(abs(rentals - usual)) OVER (PARTITION BY hour)
                      AS spread FROM u)
         SELECT strftime(d, '{DAY}') AS rental_day, hour, rentals, usual, spread
-        FROM m WHERE rentals - usual > 3 * spread""",
+        FROM m WHERE rentals - usual > 3 * greatest(spread, 0.5)""",
     "top_category_per_customer": favourites(
         "SELECT o_custkey, p_type AS genre FROM orders "
         "JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
@@ -210,24 +214,34 @@ ORACLES: dict[str, str] = {
     ),
     "table_scan": "SELECT * FROM customer",
     "rental_scan": """
-        SELECT event_id AS rental_id, ts AS rental_date, user_id AS customer_id
-        FROM events""",
+        SELECT event_id AS rental_id, ts AS rental_date, user_id AS customer_id,
+               event_type, value, props FROM events""",
     "rental_return_dates": """
         SELECT o_orderdate AS rental_date, l_shipdate AS return_date
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "stream_hourly_revenue": f"""
         SELECT date_trunc('hour', ts) AS hour_start, event_type AS kind,
                count(*) AS rentals,
-               CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS revenue
-        FROM events WHERE {CLOSED} GROUP BY 1, 2""",
-    "stream_surge": f"""
+               CAST(round(sum(CAST(value AS DECIMAL(24,6))), 2) AS DOUBLE) AS revenue
+        FROM events GROUP BY 1, 2""",
+    "stream_surge": """
         WITH n AS (SELECT date_trunc('hour', ts) AS hour_start, count(*) AS rentals
                    FROM events GROUP BY 1),
              u AS (SELECT *, avg(rentals) OVER (
-                     PARTITION BY isodow(hour_start), hour(hour_start)) AS usual
+                     PARTITION BY isodow(hour_start), hour(hour_start)
+                     ORDER BY hour_start
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usual
                    FROM n)
-        SELECT hour_start, rentals, usual FROM u
-        WHERE rentals > 1.5 * usual
-          AND hour_start IN (SELECT date_trunc('hour', ts) FROM events WHERE {CLOSED})
-        """,
+        SELECT hour_start, rentals, usual FROM u WHERE rentals > 1.5 * usual""",
+    "weekday_counts_by_field": """
+        SELECT isodow(ts) AS place, strftime(ts, '%A') AS weekday, count(*) AS rentals
+        FROM events GROUP BY 1, 2""",
+    "parsed_order_months": """
+        SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rentals,
+               day(last_day(min(o_orderdate))) AS days, CAST(NULL AS VARCHAR) AS no_date
+        FROM orders GROUP BY 1""",
+    "parsed_event_times": """
+        SELECT CASE WHEN event_id % 7 <> 0 THEN hour(ts) END AS hour,
+               count(*) AS rentals FROM events GROUP BY 1""",
+    "weekday_matrix_from_written_cube": weekday_by_hour("events", "ts"),
 }

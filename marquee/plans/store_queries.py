@@ -24,7 +24,7 @@ from marquee.operators import (
 )
 from marquee.session import shared_folder
 
-Tables = Mapping[str, DataFrame]
+Tables = Mapping[str, counts.Facts]
 
 
 @dataclass(frozen=True)
@@ -291,7 +291,7 @@ def calendar_reports(
     """
     folder = folder or shared_folder(spark, "hour-cube")
     counts.hour_cube(rental).write.parquet(folder)
-    tables = {"rental": spark.read.parquet(folder)}
+    tables = {"rental": counts.HourCube(spark.read.parquet(folder))}
     on_cube = replace(choices, month_column=None)
     return {name: STORE_QUERIES[name](tables, on_cube) for name in FROM_CUBE}
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Values the results depend on (time zone, ANSI) or the physical plans count on (AQE).
 SETTINGS = {
@@ -46,15 +49,43 @@ def build_session(
     return builder.getOrCreate()
 
 
+# The folder of a local session without a checkpoint folder; it goes with the process.
+OWN_FOLDERS: list[str] = []
+
+
+def own_folder() -> str:
+    if not OWN_FOLDERS:
+        OWN_FOLDERS.append(tempfile.mkdtemp(prefix="marquee-"))
+        atexit.register(shutil.rmtree, OWN_FOLDERS[0], ignore_errors=True)
+    return OWN_FOLDERS[0]
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to the machine's temporary folder: on a
-    cluster a folder that one machine sees is lost together with that machine.
+    Only a session within one process may fall back to the machine's temporary
+    folder, or take a path without a scheme: on a cluster a folder that one machine
+    sees is lost together with that machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="marquee-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not root or not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", root):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that all executors share, "
+                "with its scheme"
+            )
+    return f"{(root or own_folder()).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder: its size is then known, and a lost
+    executor costs a re-read of it."""
+    path = shared_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this package, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -17,9 +17,10 @@ def use_database(spark: SparkSession, name: str) -> None:
 
 
 def list_tables(spark: SparkSession, pattern: str | None = None) -> DataFrame:
-    listing = "SHOW TABLES" if pattern is None else f"SHOW TABLES LIKE '{pattern}'"
-    tables = spark.sql(listing).selectExpr("tableName AS table_name")
-    return tables.orderBy("table_name")
+    """Names of the current database's tables and the session's views, in order; a
+    ``*`` in the pattern stands for any characters."""
+    names = sorted(table.name for table in spark.catalog.listTables(pattern=pattern))
+    return spark.createDataFrame([(name,) for name in names], "table_name STRING")
 
 
 def run_sql(

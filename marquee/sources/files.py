@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-# Schemas by path and format, so that a table opened by many reports has its file
-# footers read once and not by one more Spark job per report.
-SCHEMAS: dict[tuple[str, str], StructType] = {}
+# Formats that carry their schema; reading one takes the file footers, not the data.
+FORMATS = ("parquet", "orc")
+# Files of a micro-batch, so that a table of any size is taken in bounded steps.
+FILES_PER_BATCH = 1000
 
 
-def table_schema(
-    spark: SparkSession, path: str, fmt: str, refresh: bool = False
-) -> StructType:
-    if refresh or (path, fmt) not in SCHEMAS:
-        SCHEMAS[path, fmt] = spark.read.format(fmt).load(path).schema
-    return SCHEMAS[path, fmt]
+def table_path(folder: str, name: str, fmt: str) -> str:
+    if fmt not in FORMATS:
+        raise ValueError(f"tables are {' or '.join(FORMATS)}, not {fmt!r}")
+    return f"{folder.rstrip('/')}/{name}.{fmt}"
 
 
 def read_table(
@@ -23,25 +22,25 @@ def read_table(
     folder: str,
     name: str,
     fmt: str = "parquet",
-    refresh: bool = False,
+    schema: StructType | None = None,
 ) -> DataFrame:
-    """The table ``name``; ``refresh`` after its columns have changed."""
-    path = f"{folder.rstrip('/')}/{name}.{fmt}"
-    schema = table_schema(spark, path, fmt, refresh)
-    return spark.read.schema(schema).format(fmt).load(path)
+    """The table ``name`` as it is now; a ``schema`` of the caller saves the look at
+    the file footers."""
+    path = table_path(folder, name, fmt)
+    reader = spark.read.format(fmt)
+    return (reader if schema is None else reader.schema(schema)).load(path)
 
 
 def stream_table(
-    spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    files_per_batch: int = FILES_PER_BATCH,
+    schema: StructType | None = None,
 ) -> DataFrame:
-    """The same Parquet table as a stream of its files.
-
-    Set ``files_per_batch`` only where the files arrive in time order: rows more
-    than the watermark's delay behind an earlier batch are late, and left out.
-    """
-    base = f"{folder.rstrip('/')}/{name}"
-    reader = spark.readStream.schema(table_schema(spark, f"{base}.parquet", "parquet"))
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    """The same Parquet table as a stream of its files, some at a time."""
+    schema = schema or read_table(spark, folder, name).schema
+    path = table_path(folder, name, "parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     # A stream takes a single file only through a glob, a folder either way.
-    return reader.parquet(f"{base}.parque[t]")
+    return reader.parquet(path.removesuffix("t") + "[t]")

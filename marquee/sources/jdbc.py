@@ -57,18 +57,24 @@ def jdbc_table(
     table: str,
     key: str | None = None,
     ranges: int = 64,
+    one_connection: bool = False,
 ) -> DataFrame:
-    """A table as a frame; with ``key`` it is read over ``ranges`` connections.
+    """A table as a frame, read over ``ranges`` connections by ranges of ``key``.
 
-    Without a key one connection reads everything, which suits staff and store
-    tables only.
+    Where ``one_connection`` is asked for, as suits staff and store tables, a single
+    one reads everything; a table without a key, or with none but NULL keys, is not
+    read in any other way.
     """
     reader = spark.read.format("jdbc")
+    if key is None and not one_connection:
+        raise ValueError("a table is read by ranges of a key, or over one_connection")
     if key is None:
         return reader.options(**jdbc_options(connection, table)).load()
     edges = f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) edges"
     found = spark.read.format("jdbc").options(**jdbc_options(connection, edges))
     lo, hi = found.load().first()
+    if lo is None and not one_connection:
+        raise ValueError(f"{table} has no {key} to cut it by; ask for one_connection")
     if lo is None:
         return reader.options(**jdbc_options(connection, table)).load()
     options = jdbc_options(connection, table, key, (lo, hi), ranges)

@@ -38,9 +38,15 @@ def projection(table: str, *columns: str) -> Callable[[SparkSession, str], DataF
     return open_table
 
 
-# Rentals with a time of day.
+# Rentals with a time of day; all columns of the table.
 event_rentals = projection(
-    "events", "event_id AS rental_id", "ts AS rental_date", "user_id AS customer_id"
+    "events",
+    "event_id AS rental_id",
+    "ts AS rental_date",
+    "user_id AS customer_id",
+    "event_type",
+    "value",
+    "props",
 )
 # Rentals that join with payments, always at midnight.
 order_rentals = projection(

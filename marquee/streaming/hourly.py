@@ -1,105 +1,100 @@
 """Hourly revenue and surges on a stream (additions of this package).
 
-The batch queries report a month when it is over; these report an hour as soon
-as the watermark has passed it.
+Hours are counted as their rows come, in any order: there is no watermark, so no row
+is ever late, and an hour's latest numbers replace its earlier ones. The state is one
+row per hour and kind, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.functions import as_utc, cents, from_cents, hour_from_utc
-from marquee.operators.counts import count_by
-from marquee.session import shared_folder
+from marquee.functions import Money, as_utc, hour_from_utc
+from marquee.session import remove_folder, shared_folder
 
 
-def with_event_time(stream: DataFrame, when: str, delay: str) -> DataFrame:
-    """Watermarks need a TIMESTAMP: the wall-clock time is read as UTC for them, so
-    that windows are full hours of the clock in every session zone."""
-    clock = F.col(when).cast("timestamp_ntz")
-    timed = stream.withColumn("event_time", as_utc(clock))
-    return timed.withWatermark("event_time", delay)
+def hour_of(when: str) -> Column:
+    """The full hour of a naive timestamp."""
+    return hour_from_utc(as_utc(F.col(when).cast("timestamp_ntz")))
 
 
-def hourly_revenue(
-    stream: DataFrame,
-    when: str,
-    amount: str,
-    kind: str,
-    delay: str = "1 hour",
-) -> DataFrame:
-    """Rows and revenue per hour and kind."""
+def hourly_revenue(stream: DataFrame, when: str, amount: str, kind: str) -> DataFrame:
+    """Rows and revenue per hour and kind; rows without a time are left out."""
+    money = Money.of(stream, amount)
     return (
-        with_event_time(stream, when, delay)
-        .groupBy(F.window("event_time", "1 hour"), F.col(kind).alias("kind"))
+        stream.where(F.col(when).isNotNull())
+        .groupBy(hour_of(when).alias("hour_start"), F.col(kind).alias("kind"))
         .agg(
             F.count(F.lit(1)).alias("rentals"),
-            F.sum(cents(F.col(amount))).alias("cents"),
-        )
-        .select(
-            hour_from_utc(F.col("window.start")).alias("hour_start"),
-            "kind",
-            "rentals",
-            from_cents(F.col("cents")).alias("revenue"),
+            money.rounded(F.sum(money.summand())).alias("revenue"),
         )
     )
 
 
-def usual_slot_counts(history: DataFrame, when: str) -> DataFrame:
-    """Mean count of every weekday-hour over the dates on which it occurs."""
-    dated = count_by(
-        history.where(F.col(when).isNotNull()), when, ["rental_day", "hour"]
-    )
-    return dated.groupBy(F.weekday("rental_day").alias("weekday_no"), "hour").agg(
-        F.avg("rentals").alias("usual")
+def hourly_rentals(stream: DataFrame, when: str) -> DataFrame:
+    """Rows per hour; rows without a time are left out."""
+    return (
+        stream.where(F.col(when).isNotNull())
+        .groupBy(hour_of(when).alias("hour_start"))
+        .agg(F.count(F.lit(1)).alias("rentals"))
     )
 
 
-def surging_hours(
-    stream: DataFrame,
-    usual: DataFrame,
-    when: str,
-    factor: float = 1.5,
-    delay: str = "1 hour",
-) -> DataFrame:
-    """Hours with more than ``factor`` times the usual count of their slot.
+def surging_hours(hours: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Hours with more than ``factor`` times the usual count of their weekday and hour.
 
-    ``usual`` has at most 7 × 24 rows, which is what bounds the broadcast.
+    ``hours`` has one row per hour (``hour_start``, ``rentals``). Usual is the mean of
+    the earlier ones of the same slot, so that neither the hour itself nor what
+    comes after it has a say; an hour without earlier ones surges never.
     """
-    hours = (
-        with_event_time(stream, when, delay)
-        .groupBy(F.window("event_time", "1 hour"))
-        .agg(F.count(F.lit(1)).alias("rentals"))
-        .select(
-            hour_from_utc(F.col("window.start")).alias("hour_start"), "rentals"
-        )
-        .withColumn("weekday_no", F.weekday(F.to_date("hour_start")))
-        .withColumn("hour", F.hour("hour_start"))
+    slot = [F.weekday(F.to_date("hour_start")), F.hour("hour_start")]
+    earlier = (
+        Window.partitionBy(*slot)
+        .orderBy("hour_start")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        hours.join(F.broadcast(usual), ["weekday_no", "hour"])
+        hours.withColumn("usual", F.avg("rentals").over(earlier))
         .where(F.col("rentals") > F.lit(factor) * F.col("usual"))
         .select("hour_start", "rentals", "usual")
     )
 
 
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several rows of the same keys the one of the last batch."""
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*values), "batch").alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+
+
 def run_available(
-    spark: SparkSession, stream: DataFrame, name: str, folder: str | None = None
+    spark: SparkSession,
+    stream: DataFrame,
+    name: str,
+    keys: list[str],
+    folder: str | None = None,
 ) -> DataFrame:
-    """Runs the stream over the input at hand and returns what it has written.
+    """Runs an aggregating stream over the input at hand and returns its groups.
 
-    Progress and rows lie in ``folder``; a later run with the same folder goes
-    on from there. Hours the watermark has not passed yet are not in the result.
+    Every batch writes the groups it has changed to a folder of its own, over what a
+    broken-off attempt may have left there. With a ``folder`` of the caller progress is
+    kept, and a later run goes on from there; without one it is deleted after the run.
     """
-    folder = folder or shared_folder(spark, name)
+    own = folder or shared_folder(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{own}/rows/batch={number}")
+
     query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/progress")
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{own}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    if folder is None:
+        remove_folder(spark, f"{own}/progress")
+    schema = stream.schema.add("batch", "long")
+    return latest(spark.read.schema(schema).parquet(f"{own}/rows"), keys)

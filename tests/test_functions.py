@@ -146,15 +146,33 @@ def test_timestamps_from_text(spark):
     assert found == (datetime(2005, 5, 24, 22, 53, 30),)
 
 
-def test_cents_and_back(spark):
-    found = one(
-        spark,
-        "a DECIMAL(5,2), b DOUBLE, c DOUBLE",
-        (Decimal("4.99"), 1.15, -68423.46),
-        *[f.cents(F.col(name)) for name in "abc"],
-        f.from_cents(f.cents(F.col("c"))),
-    )
-    assert found == (499, 115, -6842346, Decimal("-68423.46"))
+@pytest.mark.parametrize("text", ["", "2005-13-01", "soon", None])
+def test_what_is_no_timestamp_is_null(spark, text):
+    assert one(spark, "t STRING", (text,), f.parse_timestamp(F.col("t"))) == (None,)
+
+
+@pytest.mark.parametrize(
+    "kind, amounts, total",
+    [
+        ("DOUBLE", [0.004] * 1000, "4.00"),
+        ("DOUBLE", [0.125] * 8, "1.00"),
+        ("DOUBLE", [1.005], "1.01"),
+        ("DOUBLE", [-1.005], "-1.01"),
+        ("DOUBLE", [0.1, 0.2, -68423.46], "-68423.16"),
+        ("DECIMAL(10,3)", [Decimal("0.004")] * 1000, "4.00"),
+        ("DECIMAL(12,4)", [Decimal("0.1250")] * 8, "1.00"),
+        ("DECIMAL(5,2)", [Decimal("4.99"), Decimal("-0.01")], "4.98"),
+        ("DECIMAL(3,0)", [Decimal("7")] * 3, "21.00"),
+        ("INT", [7, 8], "15.00"),
+        ("DOUBLE", [None, 2.5], "2.50"),
+    ],
+)
+def test_money_is_rounded_after_the_sum(spark, kind, amounts, total):
+    frame = spark.createDataFrame([(a,) for a in amounts], f"a {kind}").repartition(3)
+    money = f.Money.of(frame, "a")
+    found = frame.agg(money.rounded(F.sum(money.summand())).alias("t"))
+    assert found.first().t == Decimal(total)
+    assert found.schema["t"].dataType.simpleString() == "decimal(20,2)"
 
 
 def test_percentage(spark):

@@ -29,6 +29,24 @@ def test_same_report(rental, reports, name):
     assert reports[name].collect() == expected.collect()
 
 
+def test_a_column_named_like_the_cubes(spark):
+    """Facts are counted as facts, whatever their columns are called."""
+    facts = spark.range(3).selectExpr(
+        "id AS rental_id",
+        "TIMESTAMP_NTZ '2005-05-24 10:00:00' AS rental_date",
+        "7 AS row_count",
+        "9 AS id_count",
+    )
+    assert [tuple(row) for row in counts.hourly_counts(facts).collect()] == [(10, 3)]
+    assert counts.weekday_counts(facts).first().rentals == 3
+
+
+def test_a_cube_counts_one_column(rental):
+    cube = counts.HourCube(counts.hour_cube(rental))
+    with pytest.raises(ValueError):
+        counts.hourly_counts(cube, counted="customer_id")
+
+
 def test_one_row_per_hour(rental):
     cube = counts.hour_cube(rental)
     assert cube.select("rental_date").distinct().count() == cube.count()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from datetime import datetime
 from statistics import median
 
 import numpy as np
@@ -94,6 +95,18 @@ def test_fewer_kept_slots_than_slots(spark):
     assert rows(peaks.top_slots_positional(facts, none)) == []
 
 
+def test_one_rental_more_is_no_outlier(spark):
+    """Nine dates with five rentals and one with six: the deviation has a floor."""
+    stamps = [
+        (datetime(2006, 2, day, 10, minute),)
+        for day in range(1, 11)
+        for minute in range(6 if day == 10 else 5)
+    ]
+    frame = spark.createDataFrame(stamps, "rental_date TIMESTAMP_NTZ")
+    assert rows(peaks.slot_outliers(frame)) == []
+    assert len(rows(peaks.slot_outliers(frame, least_spread=0.0))) == 1
+
+
 def test_outliers_find_the_spike(facts, made):
     tally = Counter((out.date(), out.hour) for _, out, *_ in made)
     expected = []
@@ -101,7 +114,7 @@ def test_outliers_find_the_spike(facts, made):
         same = [m for (_, other), m in tally.items() if other == hour]
         usual = median(same)
         spread = median(abs(m - usual) for m in same)
-        if n - usual > 3 * spread:
+        if n - usual > 3 * max(spread, 0.5):
             expected.append((day, hour, n, usual, spread))
     expected.sort(key=lambda row: (-row[2], row[0], row[1]))
     found = rows(peaks.slot_outliers(facts))

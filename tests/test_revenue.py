@@ -72,13 +72,10 @@ def test_one_rental_with_very_many_payments(spark):
     assert rows(revenue.monthly_volume_revenue(rental, many)) == [expected]
 
 
-@pytest.mark.parametrize("unique_rentals", [True, False])
-def test_copies_of_a_rental(spark, payment, unique_rentals):
+def test_copies_of_a_rental(spark, payment):
     copies = [(1, "2005-05-24T22:53", None, 1, 1)] * 1000
     copies += [(1, "2005-06-24T22:53", None, 1, 1)] * 3 + [(2, None, None, 1, 1)]
-    frame = revenue.monthly_volume_revenue(
-        rentals(spark, copies), payment, unique_rentals
-    )
+    frame = revenue.monthly_volume_revenue(rentals(spark, copies), payment)
     assert rows(frame) == [
         (None, 1, Decimal("4.99")),
         ("2005-05", 2000, Decimal("3980.00")),
@@ -147,6 +144,28 @@ def test_half_cents_per_day(spark, staff, month, amount, expected):
     assert found[0][-1] == Decimal(expected)
 
 
+@pytest.mark.parametrize("kind", ["DOUBLE", "DECIMAL(10,4)"])
+def test_parts_of_cents_add_up(spark, staff, kind):
+    """Amounts below a cent count in every revenue report."""
+    rental = rentals(spark, [(i, "2005-05-24T22:53", None, 1, 1) for i in range(1000)])
+    store = spark.createDataFrame([(10,)], "store_id BIGINT")
+    paid = spark.range(1000).selectExpr(
+        "id AS payment_id",
+        "id AS rental_id",
+        "CAST(1 AS BIGINT) AS staff_id",
+        f"CAST(0.004 AS {kind}) AS amount",
+        "TIMESTAMP_NTZ '2005-05-25 10:00:00' AS payment_date",
+    )
+    total = Decimal("4.00")
+    assert rows(revenue.monthly_volume_revenue(rental, paid)) == [("2005-05", 1000, total)]
+    assert rows(revenue.store_month_revenue(store, staff, paid)) == [
+        (10, "2005-05", total, 1000)
+    ]
+    assert rows(revenue.store_month_operating_days(staff, paid)) == [
+        (10, "2005-05", total, 1000, 1, Decimal("0.13"))
+    ]
+
+
 def test_month_labels(rental):
     assert rows(revenue.month_labels(rental.where("rental_date IS NOT NULL"))) == [
         ("2005-05", "2005년 5월", "2005년 5월", 2, "2건"),

@@ -21,13 +21,45 @@ def test_tables_as_files(spark, rental, tmp_path, fmt):
     )
 
 
-def test_changed_columns_show_after_a_refresh(spark, rental, tmp_path):
+def test_changed_columns_show(spark, rental, tmp_path):
+    """A column added and one renamed, for tables and streams alike."""
+
+    def columns():
+        table = sources.read_table(spark, str(tmp_path), "rental")
+        stream = sources.stream_table(spark, str(tmp_path), "rental")
+        assert stream.columns == table.columns
+        return table
+
     rental.select("rental_id").write.parquet(f"{tmp_path}/rental.parquet")
-    assert sources.read_table(spark, str(tmp_path), "rental").columns == ["rental_id"]
+    assert columns().columns == ["rental_id"]
     rental.write.mode("overwrite").parquet(f"{tmp_path}/rental.parquet")
-    again = sources.read_table(spark, str(tmp_path), "rental", refresh=True)
-    assert again.columns == rental.columns
-    assert again.count() == 50
+    assert columns().columns == rental.columns
+    renamed = rental.withColumnRenamed("rental_id", "number")
+    renamed.write.mode("overwrite").parquet(f"{tmp_path}/rental.parquet")
+    again = columns()
+    assert again.columns == renamed.columns
+    assert again.where("number IS NOT NULL").count() == 50
+
+
+def test_own_schema(spark, rental, tmp_path):
+    rental.write.parquet(f"{tmp_path}/rental.parquet")
+    schema = rental.select("rental_id").schema
+    table = sources.read_table(spark, str(tmp_path), "rental", schema=schema)
+    assert table.schema == schema
+    assert sources.stream_table(spark, str(tmp_path), "rental", schema=schema).columns == [
+        "rental_id"
+    ]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "text"])
+def test_formats_without_a_schema_are_refused(spark, tmp_path, fmt):
+    with pytest.raises(ValueError):
+        sources.read_table(spark, str(tmp_path), "rental", fmt)
+
+
+def test_one_connection_only_on_request(spark):
+    with pytest.raises(ValueError):
+        sources.jdbc_table(spark, {"url": "jdbc:none"}, "payment")
 
 
 def test_sql_text_over_views(spark, rental):
