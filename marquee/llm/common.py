@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from marquee.session import shared_folder
+from marquee.session import remove_folder, shared_folder
 
 # Texts are handled in runs of about so many bytes: arrays stay in the cache.
 RUN_BYTES = 1 << 19
@@ -21,12 +21,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+class Tables:
+    """Tables of one operator in the shared folder, to be deleted when it has ended."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, frame: DataFrame, purpose: str) -> DataFrame:
+        """The frame as a table: an end to its lineage that survives lost executors,
+        and a size that Spark knows."""
+        spark = frame.sparkSession
+        path = shared_folder(spark, purpose)
+        self.paths.append((spark, path))
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    def delete(self) -> None:
+        for spark, path in self.paths:
+            remove_folder(spark, path)
+        self.paths.clear()
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
-    """The frame as a table in the shared folder: an end to its lineage that
-    survives lost executors, and a size that Spark knows."""
-    path = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """A table that stays, as a result is made of it."""
+    return Tables().written(frame, purpose)
 
 
 def runs(sizes: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
@@ -89,6 +107,23 @@ def groups(
         yield rest, np.array([0, rest.num_rows])
 
 
+# A text may have any length, so what goes to Python at once is bounded by bytes.
+BATCH_BYTES = 4 << 20
+
+
+def by_arrow(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
+) -> Callable[[DataFrame], DataFrame]:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES`` (one row at least), for
+    ``DataFrame.transform``. The bound is an option of the session."""
+
+    def apply(frame: DataFrame) -> DataFrame:
+        frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return frame.mapInArrow(run, schema)
+
+    return apply
+
+
 def with_columns(
     frame: DataFrame,
     column: str,
@@ -112,7 +147,7 @@ def with_columns(
             columns = [pa.array(v, type=f.type) for v, f in zip(make(texts), out, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*kept, *out.names])
 
-    return source.mapInArrow(run, schema)
+    return source.transform(by_arrow(run, schema))
 
 
 def long_fields(*names: str) -> list[StructField]:
