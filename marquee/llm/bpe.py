@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from marquee.llm.chunks import ChunkEncoder
-from marquee.llm.common import text_runs
+from marquee.llm.common import by_arrow, text_runs
 
 # Texts whose words are replayed together, and how many words at most.
-CORPUS_BYTES = 4 << 20
+CORPUS_BYTES = 2 << 20
 CORPUS_WORDS = 40_000
 # Distinct pieces that a worker remembers.
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 200_000
 
 
 class Ranks:
@@ -208,7 +208,7 @@ def encode_decode(
                 [*part.columns[:-1], pa.array(coded, pa.binary()), pa.array(again, pa.binary())], names=[*kept, ids, back]
             )
 
-    return source.mapInArrow(run, schema)
+    return source.transform(by_arrow(run, schema))
 
 
 def digests(ids: str = "ids", back: str = "decoded") -> list[Column]:

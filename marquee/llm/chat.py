@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import written
+from marquee.llm.common import by_arrow, written
 from marquee.llm.templates import Template, unescape
 
 # A turn's role and text are escaped, so control strings stand for themselves only.
@@ -91,7 +91,7 @@ def formatted(
 
         return batches_of(pieces(), kind)
 
-    return rows.mapInArrow(run, PIECE)
+    return rows.transform(by_arrow(run, PIECE))
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -142,6 +142,6 @@ def read_back(pieces: DataFrame) -> DataFrame:
         return batches_of(conversations(), kind)
 
     ordered = written(pieces, "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "piece")
-    return ordered.mapInArrow(
+    return ordered.transform(by_arrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    ))

@@ -31,8 +31,8 @@ PUNCTUATION[0x30:0x3A] = False
 PUNCTUATION[0x27] = False
 
 # Distinct chunks that a worker remembers, and the places of the table for them.
-REMEMBERED = 2_000_000
-PLACES = 1 << 22
+REMEMBERED = 1_400_000
+PLACES = 1 << 21
 
 
 @contextmanager

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from marquee.llm.common import text_runs, written
+from marquee.llm.common import by_arrow, text_runs, written
 from marquee.llm.words import U64
 
 # Edits allowed, in percent of an item's characters.
@@ -202,7 +202,7 @@ def with_matches(docs: DataFrame, rows: list[tuple[int, str]], text: str, name:
             found = found_in(items, texts) if items.ids else [[] for _ in texts]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*kept, name])
 
-    return source.mapInArrow(run, schema)
+    return source.transform(by_arrow(run, schema))
 
 
 def contaminated(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from marquee.llm.common import text_runs, with_columns
+from marquee.llm.common import by_arrow, text_runs, with_columns
 from marquee.llm.words import U64
 
 SIZES = (1, 2, 3)
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     reaches the driver is one number per language and bucket, for at most
     ``MOST_LANGUAGES`` languages (more are an error). Null texts count as empty."""
     plain = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    rows = plain.where("lang IS NOT NULL").mapInArrow(gram_counts, "lang string, bucket long, count long")
+    rows = plain.where("lang IS NOT NULL").transform(by_arrow(gram_counts, "lang string, bucket long, count long"))
     sums = rows.groupBy("lang", "bucket").agg(F.sum("count").alias("count"))
     head = sums.where("bucket = -1").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(head) > MOST_LANGUAGES:

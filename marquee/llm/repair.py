@@ -9,6 +9,7 @@ stretch of ids are found by a search in running sums, and only they are expanded
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.chunks import ChunkEncoder
-from marquee.llm.common import text_runs, written
+from marquee.llm.common import by_arrow, text_runs, written
 
 MAGIC = b"RPR1"
 # Pairs that occur less often in a shard stay.
@@ -29,8 +30,10 @@ LEAST_PAIRS = 24
 # A round that shortens the shard by less than this share is the last one.
 LEAST_GAIN = 0.01
 # Ids of a shard; a longer document has a shard of its own.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 HASH_BITS = 18
+# Chunks that the library encodes in one text.
+JOINED = 4096
 U32, U64 = np.uint32, np.uint64
 
 
@@ -118,18 +121,41 @@ class Shard:
         made = self.symbols >= self.first
         own[made] = self.lengths[self.symbols[made] - self.first]
         self.ends = np.cumsum(own)
+        # What each rule stands for, one after the other; rules use earlier ones only.
+        self.rule_ends = np.cumsum(self.lengths, dtype=np.int64)
+        self.full = np.zeros(int(self.rule_ends[-1]) if n_rules else 0, U32)
+        low = 0
+        for (a, b), high in zip(self.rules.tolist(), self.rule_ends.tolist(), strict=True):
+            middle = low + self._put(low, a)
+            self._put(middle, b)
+            low = high
+
+    def _put(self, at: int, symbol: int) -> int:
+        """Writes what a symbol stands for, and returns how much that is."""
+        if symbol < self.first:
+            self.full[at] = symbol
+            return 1
+        rule = symbol - self.first
+        size, end = int(self.lengths[rule]), int(self.rule_ends[rule])
+        self.full[at : at + size] = self.full[end - size : end]
+        return size
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for: rules are undone until none is left."""
-        while len(made := np.flatnonzero(symbols >= self.first)):
-            times = np.ones(len(symbols), np.int64)
-            times[made] = 2
-            out = np.repeat(symbols, times)
-            at = np.cumsum(times)[made] - 2
-            pair = self.rules[symbols[made] - self.first]
-            out[at], out[at + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        """The ids that symbols stand for."""
+        made = symbols >= self.first
+        if not made.any():
+            return symbols
+        rule = symbols[made] - self.first
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[made] = self.lengths[rule]
+        out = np.repeat(symbols, sizes)
+        ends = np.cumsum(sizes)
+        inner = np.repeat(made, sizes)
+        shift = np.zeros(len(symbols), np.int64)
+        shift[made] = self.rule_ends[rule] - ends[made]
+        places = np.flatnonzero(inner)
+        out[places] = self.full[places + np.repeat(shift[made], sizes[made])]
+        return out
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids from ``start`` to ``stop`` of the shard; only their symbols are expanded."""
@@ -160,9 +186,33 @@ def library_encoder(path: str) -> ChunkEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        coded = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+    separator = tokenizer.encode("\n", add_special_tokens=False).ids
+    inner_space = re.compile(rb"[\x00-\x20\x7f]|[\xc2\xe1-\xe3]|<\|")
+
+    def encode(chunks: list[bytes]) -> list[bytes]:
+        # A chunk without white space, behind its blank, keeps its ids in a text of many
+        # chunks with line feeds between them: these are pieces, and tokens, of their own.
+        out: list[bytes] = [b""] * len(chunks)
+        plain, rest = [], []
+        for i, chunk in enumerate(chunks):
+            joins = len(separator) == 1 and chunk[:1] == b" " and len(chunk) < 200 and not inner_space.search(chunk, 1)
+            (plain if joins else rest).append(i)
+        for low in range(0, len(plain), JOINED):
+            part = plain[low : low + JOINED]
+            text = b"\n".join([chunks[i] for i in part]).decode("utf-8")
+            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(ids == separator[0])
+            if len(stops) != len(part) - 1:
+                rest.extend(part)
+                continue
+            flat, low_id = ids.tobytes(), 0
+            for i, stop in zip(part, [*stops.tolist(), len(ids)], strict=True):
+                out[i] = flat[4 * low_id : 4 * stop]
+                low_id = stop + 1
+        coded = tokenizer.encode_batch([chunks[i].decode("utf-8") for i in rest], add_special_tokens=False)
+        for i, c in zip(rest, coded, strict=True):
+            out[i] = np.array(c.ids, dtype="<u4").tobytes()
+        return out
 
     return ChunkEncoder(encode)
 
@@ -201,7 +251,7 @@ def write_shards(
                 names=["part", "shard", "n_ids", "doc_ids", "file"],
             )
 
-        for rows, texts in text_runs(batches, "text", 4 << 20):
+        for rows, texts in text_runs(batches, "text", 1 << 20):
             for name, coded in zip(rows.column(0).to_pylist(), coder(texts), strict=True):
                 if ids and size + len(coded) // 4 + 1 > SHARD_IDS:
                     yield file()
@@ -212,7 +262,7 @@ def write_shards(
         if ids:
             yield file()
 
-    return written(source.mapInArrow(run, "part long, shard long, n_ids long, doc_ids array<long>, file binary"), "shards")
+    return written(source.transform(by_arrow(run, "part long, shard long, n_ids long, doc_ids array<long>, file binary")), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -234,9 +284,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     names=["part", "shard", "doc_id", "offset", "n_tokens", "ids_crc32"],
                 )
 
-    docs = shards.select("part", "shard", "doc_ids", "file").mapInArrow(
+    docs = shards.select("part", "shard", "doc_ids", "file").transform(by_arrow(
         run, "part long, shard long, doc_id long, offset long, n_tokens long, ids_crc32 long"
-    )
+    ))
     # Ids before a shard: those of earlier parts (one row each), and of earlier shards of its part.
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
