@@ -85,6 +85,26 @@ class NumberOf:
         self.size += len(keys)
 
 
+class Growing:
+    """An array that is added to, with room for more."""
+
+    def __init__(self, dtype: str) -> None:
+        self.room = np.zeros(1 << 16, dtype=dtype)
+        self.size = 0
+
+    def add(self, values: np.ndarray) -> None:
+        needed = self.size + len(values)
+        if needed > len(self.room):
+            room = np.zeros(max(needed, len(self.room) * 3 // 2), dtype=self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : needed] = values
+        self.size = needed
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class ChunkEncoder:
     """Token ids of texts as bytes, each distinct chunk encoded once.
 
@@ -98,8 +118,9 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.table = NumberOf()
-        self.first = np.zeros(1, dtype=np.int64)  # of each chunk's ids in the pool; one more
-        self.pool = np.zeros(0, dtype="<u4")
+        self.first = Growing("<i8")  # of each chunk's ids in the pool; one more
+        self.first.add(np.zeros(1))
+        self.pool = Growing("<u4")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         with no_cycle_search():
@@ -121,8 +142,8 @@ class ChunkEncoder:
             raw = chunks.data.tobytes()
             ids = self.encode([raw[a:b] for a, b in zip(chunks.start[place].tolist(), chunks.end[place].tolist(), strict=True)])
             sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.first.add(self.pool.size + np.cumsum(sizes))
+            self.pool.add(np.frombuffer(b"".join(ids), "<u4"))
             self.table.add(fresh)
             number[missing] = self.table.find(hashes[missing])
         low = self.first[number]

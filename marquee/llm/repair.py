@@ -251,7 +251,7 @@ def write_shards(
                 names=["part", "shard", "n_ids", "doc_ids", "file"],
             )
 
-        for rows, texts in text_runs(batches, "text", 1 << 20):
+        for rows, texts in text_runs(batches, "text", 2 << 20):
             for name, coded in zip(rows.column(0).to_pylist(), coder(texts), strict=True):
                 if ids and size + len(coded) // 4 + 1 > SHARD_IDS:
                     yield file()
