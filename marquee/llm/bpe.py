@@ -148,9 +148,9 @@ def replay(words: list[bytes], table: Ranks) -> list[bytes]:
     return out
 
 
-@lru_cache(maxsize=1)
 def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
-    """One encoder for all tasks of a worker, with what it remembers."""
+    """An encoder for a task. What it remembers is given up with the task: workers go on
+    with other stages, for which the memory is needed."""
     table, pieces = ranks(path), regex.compile(pattern)
     known: dict[str, bytes] = {}
 

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -111,15 +119,48 @@ def groups(
 BATCH_BYTES = 4 << 20
 
 
+SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for a Spark application: they need
+    not find it by a path of their own."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if context.applicationId in SHIPPED or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    SHIPPED.add(context.applicationId)
+
+
+def give_back() -> None:
+    """Returns free memory to the machine: workers stay on after a task, next to others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_arrow(
     run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
 ) -> Callable[[DataFrame], DataFrame]:
     """``mapInArrow`` with batches of at most ``BATCH_BYTES`` (one row at least), for
     ``DataFrame.transform``. The bound is an option of the session."""
 
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     def apply(frame: DataFrame) -> DataFrame:
+        ship_package(frame.sparkSession)
         frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-        return frame.mapInArrow(run, schema)
+        return frame.mapInArrow(to_the_end, schema)
 
     return apply
 

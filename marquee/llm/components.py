@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import written
+from marquee.llm.common import Tables, by_arrow
 
 
 class UnionFind:
@@ -74,33 +74,31 @@ def components(edges: DataFrame) -> DataFrame:
     changes; a node's neighbours are only ever reduced to their minimum, so a node
     with many of them is no large group. Null ends and loops are left out.
     """
-    edges = edges.select("a", "b").where("a <> b").mapInArrow(contract, edges.select("a", "b").schema)
-    edges = written(edges, "links")
+    columns = edges.select("a", "b")
+    kept, old = Tables(), Tables()
+    edges = kept.written(columns.where("a <> b").transform(by_arrow(contract, columns.schema)), "links")
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         # Large star: every larger neighbour of u to the smallest around u.
-        large = (
-            both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).where("a <> b").distinct()
-        large = written(large, "links")
+        large = both.where("b > a").join(least, F.col("a") == F.col("u"))
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = old.written(large, "links")
         # Small star: u and its smaller neighbours to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, F.col("a") == F.col("u")).select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-                    F.struct(F.col("u").alias("a"), F.col("m").alias("b")),
-                )
-            ).alias("e")
-        )
-        edges = written(small.select("e.*").where("a <> b").distinct(), "links")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
-        # Stars: every node has one link, and a second round changed nothing.
-        if tuple(state) == before:
+        link = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        own = F.struct(F.col("u").alias("a"), F.col("m").alias("b"))
+        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(link, own)).alias("e"))
+        old.paths += kept.paths
+        kept = Tables()
+        edges = kept.written(small.select("e.*").where("a <> b").distinct(), "links")
+        old.delete()
+        state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first())
+        # Stars: another round has changed nothing.
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from marquee.llm.common import groups, text_runs, written
+from marquee.llm.common import Tables, by_arrow, groups, text_runs, written
 from marquee.llm.components import components
 from marquee.llm.superminhash import bands, signature
 from marquee.llm.words import U64, find_words, mix, windows, word_hashes
@@ -140,7 +140,7 @@ def similar_sets(
                 names=[*kept, "n_shingles", "set_key", "bands", "sketch"],
             )
 
-    return docs.select(*[f"`{c}`" for c in kept], f"`{text}`").mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept], f"`{text}`").transform(by_arrow(run, schema))
 
 
 def compare(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
@@ -176,7 +176,7 @@ def compare(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return (
         members.repartition("bucket", "block")
         .sortWithinPartitions("bucket", "block", "set_key")
-        .mapInArrow(run, "a binary, b binary")
+        .transform(by_arrow(run, "a binary, b binary"))
         .distinct()
     )
 
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
     return (
         pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        .mapInArrow(run, "a binary, b binary, linked boolean")
+        .transform(by_arrow(run, "a binary, b binary, linked boolean"))
     )
 
 
@@ -240,6 +240,7 @@ def near_duplicates(
         F.col(f"`{text}`").alias("text"),
     )
     sets = written(similar_sets(docs, "text", size, n_bands * rows, rows), "sets")
+    tables = Tables()
 
     with_key = sets.where("set_key IS NOT NULL")
     classes = with_key.groupBy("set_key").agg(
@@ -249,65 +250,60 @@ def near_duplicates(
         F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch"),
     )
-    classes = written(classes, "classes")
+    classes = tables.written(classes, "classes")
     # Positions in buckets, without the wide columns.
     placed = classes.select("set_key", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("set_key").alias("pivot"))
-    buckets = written(buckets.where("members > 1"), "buckets")
+    buckets = tables.written(buckets.where("members > 1"), "buckets")
 
     blocks = blocks_of(F.col("members"))
     placed = placed.join(buckets, "bucket").select(
         "bucket", "set_key", "members", F.pmod(F.xxhash64("set_key"), blocks).alias("block")
     )
-    placed = written(placed, "members")
+    placed = tables.written(placed, "members")
     # Every block of a split bucket also gets the bucket's first member.
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
     pivots = buckets.where(F.col("members") > BLOCK).select(
-        "bucket", F.col("pivot").alias("set_key"), "members",
-        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"),
+        "bucket", F.col("pivot").alias("set_key"), "members", F.explode(every).alias("block")
     )
     wide = classes.select("set_key", "n_shingles", "sketch")
     members = placed.unionByName(pivots).distinct().join(wide, "set_key")
-    pairs = written(compare(members.withColumn("label", F.col("set_key")), percent, True), "pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    texts = class_texts(docs, classes, ends)
-    checked = written(verified(pairs, texts, size, percent), "checked")
-    links = checked.where("linked")
-    roots = written(components(links.select("a", "b")), "roots")
+    pairs = compare(members.withColumn("label", F.col("set_key")), percent, True)
+    pairs = tables.written(pairs, "pairs")
+    texts = tables.written(class_texts(docs, wanted_classes(classes, pairs)), "texts")
+    checked = tables.written(verified(pairs, texts, size, percent), "checked")
+    links = checked.where("linked").select("a", "b")
+    roots = tables.written(components(links), "roots")
 
     # Where buckets still hold several components, a link may have been left out for
     # one that did not hold, or its ends were in different blocks.
     labelled = placed.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "bucket", "set_key", "members", "block", F.coalesce("root", "set_key").alias("label")
     )
-    labelled = written(labelled, "labelled")
+    labelled = tables.written(labelled, "labelled")
     open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_buckets = written(open_buckets.where("low <> high").select("bucket"), "open")
+    open_buckets = tables.written(open_buckets.where("low <> high").select("bucket"), "open")
+    again = labelled.join(open_buckets, "bucket").withColumn("blocks", blocks_of(F.col("members")))
     n = F.col("blocks")
     others = F.sequence(F.lit(0).cast("long"), n - 1)
-    again = labelled.join(open_buckets, "bucket").withColumn("blocks", blocks_of(F.col("members")))
-    again = again.select(
-        "bucket", "set_key", "label",
-        F.explode(F.transform(others, lambda o: F.least("block", o) * n + F.greatest("block", o))).alias("block"),
-    ).join(wide, "set_key")
+    with_each = F.transform(others, lambda o: F.least("block", o) * n + F.greatest("block", o))
+    again = again.select("bucket", "set_key", "label", F.explode(with_each).alias("block")).join(wide, "set_key")
     more = compare(again, percent, False).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(more, "pairs")
+    more = tables.written(more, "pairs")
     if not more.isEmpty():
-        ends = more.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-        texts = class_texts(docs, classes, ends)
-        links = links.unionByName(verified(more, texts, size, percent).where("linked"))
-        roots = written(components(links.select("a", "b")), "roots")
+        # Few as a rule, and written, so that Spark may send them to the documents.
+        wanted = tables.written(wanted_classes(classes, more), "wanted")
+        found = verified(more, tables.written(class_texts(docs, wanted), "texts"), size, percent)
+        roots = tables.written(components(links.unionByName(found.where("linked").select("a", "b"))), "roots")
 
     # Names: the smallest id among all classes of a component.
     rooted = classes.select("set_key", "first_id").join(roots.withColumnRenamed("node", "set_key"), "set_key")
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(rooted.select("set_key", "root").join(names, "root").select("set_key", "component_id"), "named")
-    final = written(
-        classes.select("set_key", "first_id").join(named, "set_key", "left").select(
-            "set_key", F.coalesce("component_id", "first_id").alias("component_id")
-        ),
-        "components",
-    )
+    named = rooted.select("set_key", "root").join(names, "root").select("set_key", "component_id")
+    named = classes.select("set_key", "first_id").join(named, "set_key", "left")
+    final = written(named.select("set_key", F.coalesce("component_id", "first_id").alias("component_id")), "components")
+    tables.delete()
+
     columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
     lonely = sets.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")).select(*columns)
     joined = sets.where("set_key IS NOT NULL").join(final, "set_key")
@@ -318,12 +314,17 @@ def near_duplicates(
     )
 
 
-def class_texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """``set_key`` and one text of each wanted class."""
-    wanted = keys.join(classes.select("set_key", "first_id", "text_hash"), "set_key")
+def wanted_classes(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes in the pairs, with id and hash of their first text."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    return keys.join(classes.select("set_key", "first_id", "text_hash"), "set_key")
+
+
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_key`` and one text of each of the classes."""
     same_id = docs["doc_id"].eqNullSafe(wanted["first_id"])
     found = docs.join(wanted, same_id & (docs["text_hash"] == wanted["text_hash"]))
-    return written(found.select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+    return found.select("set_key", "text").dropDuplicates(["set_key"])
 
 
 def first_of_group(
@@ -334,12 +335,23 @@ def first_of_group(
     Of rows with the same id and text one stays; a row without an id stays if its
     component has no id at all, or it has no shingles.
     """
-    verdicts = near_duplicates(docs, doc_id, text, size, percent)
-    key = [F.col(f"`{doc_id}`").cast("long").alias("\x00id"), F.xxhash64(f"`{text}`").alias("\x00hash")]
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    verdicts = near_duplicates(docs, doc_id, text, size, percent).where("kept")
+    kept = verdicts.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
+        (F.count("*") * F.col("doc_id").isNotNull().cast("int")).alias("rows")
+    )
     kept = written(kept, "kept")
+    key = [F.col(f"`{doc_id}`").cast("long").alias("\x00id"), F.xxhash64(f"`{text}`").alias("\x00hash")]
     marked = docs.select("*", *key)
-    same = marked["\x00id"].eqNullSafe(kept["id"]) & (marked["\x00hash"] == kept["hash"])
-    found = marked.join(kept, same, "left_semi")
-    with_id = found.where("`\x00id` IS NOT NULL").dropDuplicates(["\x00id", "\x00hash"])
-    return with_id.unionByName(found.where("`\x00id` IS NULL")).select(*[f"`{c}`" for c in docs.columns])
+
+    def found(rows: DataFrame) -> DataFrame:
+        same = marked["\x00id"].eqNullSafe(rows["id"]) & (marked["\x00hash"] == rows["hash"])
+        return marked.join(rows, same, "left_semi")
+
+    columns = [f"`{c}`" for c in docs.columns]
+    out = found(kept.where("rows <= 1")).select(*columns)
+    # Only rows that repeat are compared with each other.
+    repeated = kept.where("rows > 1")
+    if not repeated.isEmpty():
+        once = found(repeated).dropDuplicates(["\x00id", "\x00hash"])
+        out = out.unionByName(once.select(*columns))
+    return out

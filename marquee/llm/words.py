@@ -45,7 +45,7 @@ POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` for i < n, modulo 2**64."""
     if len(POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 18, 1 << (n - 1).bit_length())
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, base, dtype=U64)
             steps[0] = 1
@@ -94,7 +94,7 @@ def word_hashes(words: Words) -> np.ndarray:
     if not len(words.start):
         return np.zeros(0, dtype=U64)
     # Powers restart for every block of bytes, so their table stays small.
-    block = 1 << 20
+    block = 1 << 18
     out = np.empty(len(words.start), dtype=U64)
     at = 0
     while at < len(words.start):
