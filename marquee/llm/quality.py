@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marquee.llm.common import long_fields, with_columns, written
+from marquee.llm.common import Tables, by_arrow, long_fields, with_columns, written
 from marquee.llm.text_stats import text_stats
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -136,7 +136,7 @@ def sums() -> list[Column]:
     ]
 
 
-def concentrated(points: DataFrame, model: DataFrame, least: Column) -> DataFrame:
+def concentrated(points: DataFrame, model: DataFrame, least: Column, tables: Tables) -> DataFrame:
     """A concentration step: the model from the ``least`` nearest documents of each cell."""
     # Classes of distance: 32 to a doubling.
     distance_class = F.floor(F.log2(distance(X) + F.lit(1e-6)) * 32)
@@ -150,34 +150,35 @@ def concentrated(points: DataFrame, model: DataFrame, least: Column) -> DataFram
     )
     enough = running.where((F.col("count") >= least) & (F.col("count") - F.col("own") < least))
     edge = F.pow(F.lit(2.0), (F.col("class") + 1) / 32)
-    return written(enough.withColumn("edge", edge).withColumn("scale", F.lit(1.0)).mapInArrow(model_from_sums, MODEL), "mcd")
+    enough = enough.withColumn("edge", edge).withColumn("scale", F.lit(1.0))
+    return tables.written(enough.transform(by_arrow(model_from_sums, MODEL)), "mcd")
 
 
 def fit(points: DataFrame) -> DataFrame:
     """``centre`` and ``inverse`` of every cell of ``points`` (``cell``, ``x0`` to ``x4``)."""
+    tables = Tables()
     whole = points.groupBy("cell").agg(
         *sums(),
-        *[F.percentile_approx(x, F.lit(0.5), F.lit(1000)).alias(f"median{i}") for i, x in enumerate(X)],
-        *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), F.lit(1000)).alias(f"half{i}") for i, x in enumerate(X)],
+        *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"quarters{i}") for i, x in enumerate(X)],
     )
-    whole = written(whole, "mcd").withColumn("n", F.col("count")).withColumn("edge", F.lit(0.0)).withColumn("scale", F.lit(1.0))
+    whole = tables.written(whole, "mcd").withColumn("n", F.col("count"))
+    whole = whole.withColumn("edge", F.lit(0.0)).withColumn("scale", F.lit(1.0))
     # One start is the plain covariance, one the medians and quartile ranges.
     count = F.col("count").cast("double")
-    spread = [(F.col(f"half{i}")[1] - F.col(f"half{i}")[0]) / 1.349 for i in range(DIMS)]
+    median = [F.col(f"quarters{i}")[1] for i in range(DIMS)]
+    spread = [(F.col(f"quarters{i}")[2] - F.col(f"quarters{i}")[0]) / 1.349 for i in range(DIMS)]
+    variance = {(i, j): spread[i] * spread[i] if i == j else F.lit(0.0) for i, j in PAIRS}
     robust = whole.select(
         "cell", "n", "edge", "scale", "count",
-        *[(F.col(f"median{i}") * count).alias(f"s{i}") for i in range(DIMS)],
-        *[
-            (count * (F.col(f"median{i}") * F.col(f"median{j}") + (spread[i] * spread[i] if i == j else F.lit(0.0)))).alias(f"s{i}{j}")
-            for i, j in PAIRS
-        ],
+        *[(median[i] * count).alias(f"s{i}") for i in range(DIMS)],
+        *[(count * (median[i] * median[j] + variance[i, j])).alias(f"s{i}{j}") for i, j in PAIRS],
     )
     columns = robust.columns
     starts = whole.select(*columns).withColumn("start", F.lit(0)).unionByName(robust.withColumn("start", F.lit(1)))
-    model = written(starts.mapInArrow(model_from_sums, MODEL), "mcd")
+    model = tables.written(starts.transform(by_arrow(model_from_sums, MODEL)), "mcd")
     half = F.floor((F.col("n") + DIMS + 1) / 2)
     for _ in range(STEPS):
-        model = concentrated(points, model, half)
+        model = concentrated(points, model, half, tables)
     best = Window.partitionBy("cell").orderBy("logdet", "start")
     model = model.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
     # The half's covariance is too small for all; then all near documents count.
@@ -186,7 +187,10 @@ def fit(points: DataFrame) -> DataFrame:
     near = near.where(F.col("d2") <= chi_square(0.975))
     final = near.groupBy("cell").agg(F.first("n").alias("n"), *sums())
     final = final.withColumn("start", F.lit(0)).withColumn("edge", F.lit(1.0)).withColumn("scale", F.lit(1.0))
-    return written(final.mapInArrow(model_from_sums, MODEL).select("cell", "centre", "inverse"), "mcd")
+    final = final.transform(by_arrow(model_from_sums, MODEL))
+    final = written(final.select("cell", "centre", "inverse"), "mcd")
+    tables.delete()
+    return final
 
 
 def cells(points: DataFrame) -> DataFrame:
@@ -195,13 +199,13 @@ def cells(points: DataFrame) -> DataFrame:
     or none (null) if even those are fewer than ``LEAST``."""
     own = written(points.groupBy("own_cell", "own_lang").agg(F.count("*").alias("n")), "cells")
     pools = own.where(F.col("n") < LEAST).groupBy("own_lang").agg(F.sum("n").alias("pool"))
-    last = pools.where(F.col("pool") < LEAST).agg(F.sum("pool").alias("rest"))
+    rest = pools.where(F.col("pool") < LEAST).agg(F.sum("pool")).first()[0] or 0
     return written(
-        own.join(pools, "own_lang", "left").join(F.broadcast(last)).select(
+        own.join(pools, "own_lang", "left").select(
             "own_cell",
             F.when(F.col("n") >= LEAST, F.col("own_cell"))
             .when(F.col("pool") >= LEAST, F.col("own_lang"))
-            .when(F.col("rest") >= LEAST, F.lit("[]"))
+            .when(F.lit(rest >= LEAST), F.lit("[]"))
             .alias("cell"),
         ),
         "cells",
@@ -234,7 +238,9 @@ def quality(
     good = stats.where("NOT base_failed")
     places = cells(good)
     points = good.select("own_cell", *X).join(places.where("cell IS NOT NULL"), "own_cell")
-    model = fit(written(points.select("cell", *X), "points"))
+    tables = Tables()
+    model = fit(tables.written(points.select("cell", *X), "points"))
+    tables.delete()
     models = written(places.join(model, "cell").select("own_cell", "centre", "inverse"), "models")
     return verdicts(stats, models), models
 

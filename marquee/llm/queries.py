@@ -88,5 +88,17 @@ def op10_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    build.__name__: build for build in (op1_superminhash_near_dedup, op2_credential_linking, op3_pigeonhole_decontamination, op4_quality_outliers, op5_bpe_merge_replay, op6_license_expressions, op7_naive_bayes_language, op8_repair_token_files, op9_chat_templates, op10_pitman_yor_scores)
+    build.__name__: build
+    for build in (
+        op1_superminhash_near_dedup,
+        op2_credential_linking,
+        op3_pigeonhole_decontamination,
+        op4_quality_outliers,
+        op5_bpe_merge_replay,
+        op6_license_expressions,
+        op7_naive_bayes_language,
+        op8_repair_token_files,
+        op9_chat_templates,
+        op10_pitman_yor_scores,
+    )
 }

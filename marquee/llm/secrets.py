@@ -101,9 +101,10 @@ def linked(parts: DataFrame) -> DataFrame:
     )
     weak = ~F.col("kind").isin(BASE)
     # What lies in a base find is that find.
-    placed = placed.where((F.col("kind") != "break") & ~(weak & F.coalesce(F.col("covered") > F.col("start"), F.lit(False))))
-    role = F.when(F.col("kind").isin("access", "identifier"), "id").when(F.col("kind") == "endpoint", "place").otherwise("secret")
-    placed = placed.withColumn("role", role)
+    inside = weak & F.coalesce(F.col("covered") > F.col("start"), F.lit(False))
+    placed = placed.where((F.col("kind") != "break") & ~inside)
+    role = F.when(F.col("kind").isin("access", "identifier"), "id").when(F.col("kind") == "endpoint", "place")
+    placed = placed.withColumn("role", role.otherwise("secret"))
 
     def binned(frame: DataFrame, reach: int) -> DataFrame:
         low, high = F.floor((F.col("start") - reach) / REACH), F.floor((F.col("end") + reach) / REACH)
@@ -121,7 +122,8 @@ def linked(parts: DataFrame) -> DataFrame:
     def ends(pairs: DataFrame) -> DataFrame:
         one = F.struct(F.col("kind_a").alias("kind"), F.col("start_a").alias("start"), F.col("end_a").alias("end"))
         two = F.struct("kind", "start", "end")
-        return pairs.select("text_key", "scope", F.explode(F.array(one, two)).alias("p")).select("text_key", "scope", "p.*").distinct()
+        both = pairs.select("text_key", "scope", F.explode(F.array(one, two)).alias("p"))
+        return both.select("text_key", "scope", "p.*").distinct()
 
     both = ends(near(placed.where("role = 'id'"), placed.where("role = 'secret'")))
     places = near(both, placed.where("role = 'place'")).select("text_key", "scope", "kind", "start", "end").distinct()
