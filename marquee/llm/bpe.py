@@ -20,8 +20,9 @@ from marquee.llm.common import by_arrow, text_runs
 # Texts whose words are replayed together, and how many words at most.
 CORPUS_BYTES = 2 << 20
 CORPUS_WORDS = 40_000
-# Distinct pieces that a worker remembers.
-REMEMBERED_PIECES = 200_000
+# Distinct chunks and pieces that a worker remembers.
+REMEMBERED_CHUNKS = 600_000
+REMEMBERED_PIECES = 100_000
 
 
 class Ranks:
@@ -148,9 +149,10 @@ def replay(words: list[bytes], table: Ranks) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=1)
 def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
-    """An encoder for a task. What it remembers is given up with the task: workers go on
-    with other stages, for which the memory is needed."""
+    """One encoder for all tasks of a worker. It remembers some 60 MB, as workers go on
+    with other stages."""
     table, pieces = ranks(path), regex.compile(pattern)
     known: dict[str, bytes] = {}
 
@@ -178,7 +180,7 @@ def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
             known.update((piece, ids) for (piece, _), ids in zip(part, coded, strict=True))
         return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in cut]
 
-    return ChunkEncoder(encode)
+    return ChunkEncoder(encode, REMEMBERED_CHUNKS)
 
 
 def decoded(ids: bytes, table: Ranks) -> bytes:

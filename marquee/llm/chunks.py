@@ -30,7 +30,7 @@ PUNCTUATION = ASCII_VISIBLE & ~LETTER
 PUNCTUATION[0x30:0x3A] = False
 PUNCTUATION[0x27] = False
 
-# Distinct chunks that a worker remembers, and the places of the table for them.
+# Distinct chunks that an encoder remembers at most, and the places of the table for them.
 REMEMBERED = 1_400_000
 PLACES = 1 << 21
 
@@ -112,8 +112,11 @@ class ChunkEncoder:
     each (little-endian 32-bit numbers). Chunks are told apart by 64-bit hashes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]) -> None:
+    def __init__(
+        self, encode: Callable[[list[bytes]], list[bytes]], remembered: int | None = None
+    ) -> None:
         self.encode = encode
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.forget()
 
     def forget(self) -> None:
@@ -134,7 +137,7 @@ class ChunkEncoder:
         number = self.table.find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
-            if self.table.size > REMEMBERED:
+            if self.table.size > self.remembered:
                 self.forget()
                 missing = np.arange(len(hashes))
             fresh, place = np.unique(hashes[missing], return_index=True)

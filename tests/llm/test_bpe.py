@@ -84,9 +84,8 @@ def test_a_merge_that_makes_a_lower_rank_goes_first():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [slow(w) for w in words]
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr("marquee.llm.chunks.REMEMBERED", 3)
-    encoder = ChunkEncoder(lambda chunks: [np.frombuffer(c, np.uint8).astype("<u4").tobytes() for c in chunks])
+def test_memory_is_bounded():
+    encoder = ChunkEncoder(lambda chunks: [np.frombuffer(c, np.uint8).astype("<u4").tobytes() for c in chunks], 3)
     for text in ("a b c d e", "e f g h i", "", "a  b \n c ", "One, two.\nThree 'four' (5)!", "a b c d e"):
         assert encoder([text, text]) == [packed(list(text.encode()))] * 2
     assert encoder.table.size <= 12
