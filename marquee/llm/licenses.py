@@ -36,7 +36,9 @@ NOTICE_PHRASES = {
 }
 TAG = "spdx license identifier"
 TAG_LINE = re.compile(r"spdx-license-identifier:[\x20\t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+# A name begins with a letter or digit; a dot or hyphen at its end is not part of it.
+TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?")
+NEXT = re.compile(rf"[\x20\t]*({TOKEN.pattern})")
 
 # What may be done, from free to closed; what is not listed counts as unknown.
 TERMS = ("public", "permissive", "weak-copyleft", "copyleft", "unknown", "restricted")
@@ -153,6 +155,37 @@ def evaluate(expression: str) -> tuple[set[str], int] | None:
     return stack[0]
 
 
+def evaluate_line(line: str) -> tuple[set[str], int] | None:
+    """``evaluate`` of the longest well-formed beginning of the rest of a tag's line, which
+    may go on with the end of a comment or with prose. The tokens of an expression have
+    nothing but blanks between them."""
+    tokens, ends, at, depth, operand = [], [], 0, 0, True
+    while found := NEXT.match(line, at):
+        token = found[1]
+        if (token == "(" or token not in ")" and token.lower() not in PRECEDENCE) != operand:
+            break
+        if token in "()":
+            depth += 1 if token == "(" else -1
+        else:
+            operand = not operand
+        if depth < 0:
+            break
+        tokens.append(token)
+        at = found.end()
+        if not depth and not operand:
+            ends.append(len(tokens))
+    # A beginning that has no value has none however it goes on.
+    good, bad, value = 0, len(ends) + 1, None
+    while bad - good > 1:
+        middle = (good + bad) // 2
+        now = evaluate(" ".join(tokens[: ends[middle - 1]]))
+        if now is None:
+            bad = middle
+        else:
+            good, value = middle, now
+    return value
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     """All phrases and the tag, as words between blanks."""
@@ -205,7 +238,7 @@ def scan(texts: list[str]) -> list[list]:
         terms[i] = max(terms_of(label), terms[i] or 0)
     for i in sorted(tagged):
         for line in TAG_LINE.finditer(texts[i]):
-            value = evaluate(line[1])
+            value = evaluate_line(line[1])
             if value is not None:
                 labels[i] |= value[0]
                 score[i] = max(score[i], SURE["tag"])
@@ -241,7 +274,8 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     ``n_base`` counts all places of base phrases, ``first_word`` and ``last_word`` are
     the first and last of them (words from 0; null without any). ``labels`` has those
-    of base phrases, notices and well-formed tag expressions. ``score`` is how sure
+    of base phrases, notices and tag expressions (the longest well-formed beginning of
+    a tag's line). ``score`` is how sure
     the surest find is, 0 without one; ``terms`` are the strictest of the finds, null
     without one. Null and empty texts have no words. Rows that repeat an id are
     looked at each; further columns are ignored.

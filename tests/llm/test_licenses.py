@@ -81,3 +81,24 @@ def test_odd_rows(spark):
     assert len(rows) == 15 and all(r["labels"] == [] and r["score"] == 0 for r in rows)
     assert {r["n_words"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
     assert li.licenses(odd_rows(spark, empty=True)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [
+        ("<!-- SPDX-License-Identifier: MIT -->", ["mit"]),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", ["apache-2", "mit"]),
+        ("SPDX-License-Identifier: MIT (see LICENSE)", ["mit"]),
+        ("SPDX-License-Identifier: Apache-2.0 and others apply here", ["apache-2", "others"]),
+        ("It has SPDX-License-Identifier: MIT.", ["mit"]),
+        ("SPDX-License-Identifier: (MIT OR ISC) OR -->", ["isc", "mit"]),
+        ("SPDX-License-Identifier: GPL-2.0+ WITH", ["gpl-2.0+"]),
+        ("SPDX-License-Identifier: (MIT) ISC", ["mit"]),
+        ("SPDX-License-Identifier: MIT AND (ISC OR BSD) WITH x OR zlib", ["bsd", "isc", "mit"]),
+        ("SPDX-License-Identifier: " + "MIT OR " * 20000 + "ISC", ["isc", "mit"]),
+        ("SPDX-License-Identifier: -->", []),
+    ],
+)
+def test_the_longest_beginning_of_a_tag_line(line, labels):
+    assert li.scan([line])[5] == [labels]
+    assert li.scan([line])[6] == [1.0 if labels else 0.0]
