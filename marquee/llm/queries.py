@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe
+from marquee.llm import bpe, quality_classifier
 from marquee.llm.chat import formatted, read_back
 from marquee.llm.checks import ORACLES  # noqa: F401
 from marquee.llm.common import crc_of_id, table
@@ -16,10 +16,12 @@ from marquee.llm.decontaminate import contaminated
 from marquee.llm.language_id import fit, identify
 from marquee.llm.licenses import licenses
 from marquee.llm.lm_scores import lm_scores
+from marquee.llm.manifest import document_manifest
 from marquee.llm.near_dedup import near_duplicates
 from marquee.llm.quality import quality
 from marquee.llm.repair import token_files
 from marquee.llm.secrets import secrets
+from marquee.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +89,29 @@ def op10_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", (rest == 0).alias("held_out"), *scores.columns[1:])
 
 
+def op11_lanczos_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, model, error = whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    explained = F.array(*[F.lit(float(part)) for part in (model.explained if model else [])]).cast("array<double>")
+    each = rows.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened"))
+    return each.select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col").alias("whitened"),
+        F.get(explained, F.col("pos")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(table(spark, folder, "documents"))
+
+
+def op13_naive_bayes_support_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rest = F.coalesce(F.pmod(crc_of_id(), F.lit(5)), F.lit(1))
+    docs = table(spark, folder, "documents").select("doc_id", "text", (rest == 0).alias("held_out"))
+    labels = table(spark, folder, "labels").select("doc_id", "quality").where(rest != 0)
+    model = quality_classifier.fit(docs.where("NOT held_out"), labels)
+    scores = quality_classifier.scored(docs, model).drop("text")
+    return scores.withColumn("predicted", quality_classifier.predicted())
+
+
 QUERIES: dict[str, Query] = {
     build.__name__: build
     for build in (
@@ -100,5 +125,8 @@ QUERIES: dict[str, Query] = {
         op8_repair_token_files,
         op9_chat_templates,
         op10_pitman_yor_scores,
+        op11_lanczos_whitening,
+        op12_merkle_manifest,
+        op13_naive_bayes_support_vectors,
     )
 }

@@ -1,0 +1,150 @@
+"""The quality classifier: its parts against brute force, the whole by held-out accuracy."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from marquee.llm import quality_classifier as q
+from marquee.llm.queries import op13_naive_bayes_support_vectors
+from tests.llm.rows import FOLDER, crc, odd_rows
+
+FOLDER = FOLDER.replace("0.001", "0.01")
+
+
+def test_query_on_held_out_documents(spark):
+    found = op13_naive_bayes_support_vectors(spark, FOLDER)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = found.collect()
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    assert sorted(r["doc_id"] for r in rows) == sorted(ids)
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 5 == 0) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    held = [(r["score"], r["predicted"], marks[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in marks]
+    assert np.mean([p == m for _, p, m in held]) >= 0.97
+    good, bad = ([s for s, _, m in held if m == k] for k in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) >= 0.99
+
+
+def test_labels_of_held_out_rows_teach_nothing(spark, tmp_path):
+    """Turning the held-out labels around changes no score."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.selectExpr(
+        "doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality"
+    )
+    docs.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    turned.write.parquet(f"{tmp_path}/labels.parquet")
+    one, two = (
+        sorted((r["doc_id"], r["score"]) for r in op13_naive_bayes_support_vectors(spark, f).collect())
+        for f in (FOLDER, str(tmp_path))
+    )
+    assert [i for i, _ in one] == [i for i, _ in two]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(one, two, strict=True)) < 1e-9
+
+
+TEXTS = ["", "a", "ab ab", "The The CAT!! 12", "différent é 日本 😀", " \n", "x" * 3000, "one two " * 400]
+
+
+def test_indicators_do_not_depend_on_neighbours():
+    together = list(q.indicators(TEXTS))
+    for text, found in zip(TEXTS, together, strict=True):
+        (alone,) = q.indicators([text])
+        assert np.array_equal(alone, found) and np.array_equal(alone, np.unique(alone))
+    assert len(together[0]) == 0 and len(together[1]) == 2
+
+
+def test_byte_grams_are_all_there():
+    text = "Some té×t 123"
+    data = text.encode()
+    kinds = {data[i : i + n] for n in q.SIZES for i in range(len(data) - n + 1)}
+    words = text.split()
+    # The three words have three shapes: six runs of them.
+    assert len(next(q.indicators([text]))) == len(kinds) + len({tuple(words[i : i + n]) for n in q.SIZES for i in range(4 - n)})
+
+
+def objective(weights, offset, rows, signs, cost):
+    losses = np.maximum(0, 1 - signs * (rows @ weights + offset))
+    return 0.5 * (weights @ weights + offset**2) + (cost * losses).sum()
+
+
+def test_descent_finds_the_least_loss(monkeypatch):
+    """Against subgradient steps on the primal from the point found: no way down."""
+    monkeypatch.setattr(q, "EPOCHS", 2000)
+    monkeypatch.setattr(q, "SLACK", 1e-7)
+    random = np.random.default_rng(2)
+    sets = [np.sort(random.choice(12, 5, replace=False)) for _ in range(60)]
+    labels = np.array([int(random.random() < 0.2 + 0.6 * (s[0] < 2)) for s in sets])
+    scale = random.uniform(0.5, 2.0, 12)
+    weights, offset = q.descended(sets, labels, scale)
+    rows = np.zeros((60, 12))
+    for i, s in enumerate(sets):
+        rows[i, s] = scale[s] / np.linalg.norm(scale[s])
+    signs = np.where(labels == 1, 1.0, -1.0)
+    cost = (q.COST * 60 / (2 * np.bincount(labels)))[labels]
+    plain = weights / scale
+    best = objective(plain, offset, rows, signs, cost)
+    for _ in range(3000):
+        step = random.standard_normal(13) * 10 ** random.uniform(-6, 0)
+        assert objective(plain + step[:12], offset + step[12], rows, signs, cost) >= best - 1e-6
+
+
+def test_log_ratios():
+    bad, good = np.array([0, 4.0, 1]), np.array([3.0, 0, 1])
+    p, r = (good + 1) / (good + 1).sum(), (bad + 1) / (bad + 1).sum()
+    assert np.allclose(q.log_ratios(bad, good), np.log(p / r))
+
+
+def test_curve_follows_the_shares():
+    random = np.random.default_rng(4)
+    margins = random.standard_normal(20_000)
+    labels = (random.random(20_000) < q.chances(2.0 * margins + 0.7)).astype(int)
+    slope, shift = q.curve(margins, labels)
+    assert abs(slope - 2.0) < 0.1 and abs(shift - 0.7) < 0.1
+    apart = np.repeat([0, 1], 50)
+    slope, shift = q.curve(apart * 2.0 - 1, apart)
+    assert 0 < slope < 100 and np.isfinite(shift)
+
+
+def marks(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, text string, label string")
+
+
+@pytest.mark.parametrize(
+    ("pairs", "score"),
+    [([], 0.5), ([(7, 1)], 2 / 3 + 0.5), ([(1, None), (None, 1), (3, 2)], 0.5), ([(7, 0), (7, 1)], 0.5), ([(99, 1)], 0.5)],
+)
+def test_too_little_to_learn(spark, pairs, score):
+    docs = odd_rows(spark)
+    model = q.fit(docs, marks(spark, [(i, m, "t", "l") for i, m in pairs]))
+    found = q.scored(docs, model).collect()
+    assert len(found) == docs.count()
+    # Three documents share the id 7.
+    right = 0.8 if score > 1 else score
+    assert all(abs(r["score"] - right) < 1e-9 for r in found)
+
+
+def test_odd_rows(spark):
+    """Copies of an id, null ids and texts, extra columns named like the operator's own."""
+    docs = odd_rows(spark).withColumnRenamed("found", "score").withColumnRenamed("cell", "label")
+    junk = [(100 + i, "Zz&&& " * (i % 7 + 3), "en", "a", 1, True, "i", "s", "d", "l", "b", "w") for i in range(60)]
+    fine = [(200 + i, f"quiet words number {i} go on here.", "en", "a", 1, True, "i", "s", "d", "l", "b", "w") for i in range(60)]
+    docs = docs.unionAll(spark.createDataFrame(junk + fine, docs.schema))
+    known = [(100 + i, 0, "t", "l") for i in range(60)] + [(200 + i, 1, "t", "l") for i in range(60)]
+    model = q.fit(docs, marks(spark, [*known, (7, 1, "t", "l"), (8, None, "t", "l")]))
+    found = q.scored(docs, model)
+    assert found.columns[-1] == "score" and found.columns.count("score") == 1
+    rows = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert all(rows[100 + i] < 0.3 < 0.7 < rows[200 + i] for i in range(60))
+    assert q.scored(odd_rows(spark, True), model).collect() == []
+
+
+def test_bounds_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(q, "MOST_ROWS", 50)
+    monkeypatch.setattr(q, "MOST_GRAMS", 900)
+    docs = spark.createDataFrame([(i % 80, f"some text {i}") for i in range(400)], "id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "id long, label int")
+    sets, known = q.sample(docs, labels, q.Tables())
+    assert 0 < len(sets) == len(known) <= 50 and sum(map(len, sets)) <= 900
+    again, _ = q.sample(docs.repartition(7), labels, q.Tables())
+    assert all(map(np.array_equal, sets, again))
