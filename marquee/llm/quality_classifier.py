@@ -136,27 +136,26 @@ def descended(sets: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) ->
     signs = np.where(labels == 1, 1.0, -1.0)
     each = np.bincount(labels, minlength=2)
     cost = COST * len(labels) / (2 * np.maximum(each, 1))[labels]
-    rows = []
-    for found in sets:
-        x = scale[found]
-        length = np.sqrt((x * x).sum())
-        rows.append(x / length if length else x)
+    lengths = np.array([np.sqrt(np.square(scale[found]).sum()) for found in sets])
+    scales = 1 / np.where(lengths > 0, lengths, 1.0)
     # A constant of one beside the indicators is the offset.
-    squares = np.array([(x * x).sum() + 1 for x in rows])
-    multipliers = np.zeros(len(rows))
+    squares = (lengths > 0) + 1.0
+    multipliers = np.zeros(len(sets))
     weights, offset = np.zeros(len(scale)), 0.0
     random = np.random.default_rng(5)
     for _ in range(EPOCHS):
         worst = 0.0
-        for i in random.permutation(len(rows)):
-            slope = signs[i] * (weights[sets[i]] @ rows[i] + offset) - 1
+        for i in random.permutation(len(sets)):
+            found = sets[i]
+            x = scale[found] * scales[i]
+            slope = signs[i] * (weights[found] @ x + offset) - 1
             now = multipliers[i]
             if (now == 0 and slope >= 0) or (now == cost[i] and slope <= 0):
                 continue
             worst = max(worst, abs(slope))
             multipliers[i] = min(max(now - slope / squares[i], 0.0), cost[i])
             step = (multipliers[i] - now) * signs[i]
-            weights[sets[i]] += step * rows[i]
+            weights[found] += step * x
             offset += step
         if worst < SLACK:
             break
@@ -207,9 +206,11 @@ def sample(docs: DataFrame, labels: DataFrame, tables: Tables) -> tuple[list[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_runs(batches, "text"):
-            sets = [pa.scalar(found.astype(np.int32), pa.list_(pa.int32())) for found in indicators(texts)]
-            columns = [part.column(0), part.column(1), pa.array([len(s.values) for s in sets], pa.int64())]
-            columns.append(pa.array([s.as_py() for s in sets], pa.list_(pa.int32())))
+            sets = list(indicators(texts))
+            sizes = np.array([len(found) for found in sets])
+            flat = pa.array(np.concatenate(sets).astype(np.int32))
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            columns = [part.column(0), part.column(1), pa.array(sizes), pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(columns, names=["order", "label", "size", "grams"])
 
     schema = "order long, label int, size long, grams array<int>"
@@ -221,8 +222,9 @@ def sample(docs: DataFrame, labels: DataFrame, tables: Tables) -> tuple[list[np.
         return [], np.zeros(0, dtype=np.int64)
     kept = coded.where(F.col("order") <= sizes[number - 1]["order"])
     kept = kept.orderBy("order", "size", "grams", "label").limit(number).toArrow()
-    sets = [np.asarray(g, dtype=np.int64) for g in kept.column("grams").to_pylist()]
-    return sets, np.array(kept.column("label").to_pylist(), dtype=np.int64)
+    chunks = [c for c in kept.column("grams").chunks if len(c)]
+    sets = [found for c in chunks for found in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths())[:-1])]
+    return sets, kept.column("label").to_numpy().astype(np.int64)
 
 
 def fit(
