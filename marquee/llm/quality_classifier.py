@@ -246,7 +246,8 @@ def fit(
     tables = Tables()
     plain = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     marks = tables.written(agreed(labels, key, label), "labels")
-    taught = plain.join(marks, "id").select("label", "text")
+    # Labels grow with the documents; each task holds those of its ids, and texts stream by.
+    taught = plain.join(marks.hint("shuffle_hash"), "id").select("label", "text")
     rows = taught.transform(by_arrow(class_counts, "bucket long, bad long, good long"))
     sums = rows.groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
     bucket, bad, good = (sums.column(c).to_numpy() for c in ("bucket", "bad", "good"))
