@@ -5,6 +5,8 @@ from marquee.sources.catalog import (
     run_sql,
     use_database,
 )
+from marquee.sources.dialect import mysql_functions
+from marquee.sources.evolving import table_schema
 from marquee.sources.files import read_table, stream_table
 from marquee.sources.jdbc import connection_from_env, jdbc_options, jdbc_table
 
@@ -14,9 +16,11 @@ __all__ = [
     "jdbc_options",
     "jdbc_table",
     "list_tables",
+    "mysql_functions",
     "read_table",
     "register_views",
     "run_sql",
     "stream_table",
+    "table_schema",
     "use_database",
 ]

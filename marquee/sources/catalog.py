@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.sources.dialect import mysql_functions, spark_text
+
 
 def register_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
     for name, frame in tables.items():
@@ -24,9 +26,19 @@ def list_tables(spark: SparkSession, pattern: str | None = None) -> DataFrame:
 
 
 def run_sql(
-    spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None
+    spark: SparkSession,
+    text: str,
+    tables: Mapping[str, DataFrame] | None = None,
+    mysql: bool = False,
 ) -> DataFrame:
-    """A SQL text as a lazy frame; ``{name}`` marks in it stand for ``tables``."""
+    """A SQL text as a lazy frame; ``{name}`` marks in it stand for ``tables``.
+
+    With ``mysql``, ``DATE_FORMAT`` and ``STR_TO_DATE`` take ``%`` patterns and ``FIELD`` is known;
+    the last two stay as functions of the session.
+    """
+    if mysql:
+        mysql_functions(spark)
+        text = spark_text(text)
     return spark.sql(text, **(tables or {}))
 
 

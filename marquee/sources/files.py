@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from marquee.sources.evolving import table_schema
+
 # Formats that carry their schema; reading one takes the file footers, not the data.
 FORMATS = ("parquet", "orc")
 # Files of a micro-batch, so that a table of any size is taken in bounded steps.
@@ -23,12 +25,19 @@ def read_table(
     name: str,
     fmt: str = "parquet",
     schema: StructType | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
-    """The table ``name`` as it is now; a ``schema`` of the caller saves the look at
-    the file footers."""
+    """The table ``name`` as it is now, with the columns of all its files.
+
+    A column that some files lack is NULL there, one that got wider has its widest type,
+    and files that hold one column as types without a common one are an error. A
+    ``schema`` of the caller saves the look at the file footers, a ``ledger`` folder the
+    look at those already seen.
+    """
     path = table_path(folder, name, fmt)
-    reader = spark.read.format(fmt)
-    return (reader if schema is None else reader.schema(schema)).load(path)
+    if schema is None:
+        schema = table_schema(spark, path, fmt, ledger)
+    return spark.read.format(fmt).schema(schema).load(path)
 
 
 def stream_table(
@@ -37,10 +46,15 @@ def stream_table(
     name: str,
     files_per_batch: int = FILES_PER_BATCH,
     schema: StructType | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
-    """The same Parquet table as a stream of its files, some at a time."""
-    schema = schema or read_table(spark, folder, name).schema
+    """The same Parquet table as a stream of its files, some at a time.
+
+    Its columns are those of the files at the start; a file that comes later with more of
+    them, or wider ones, takes a new start from the same progress.
+    """
     path = table_path(folder, name, "parquet")
+    schema = schema or table_schema(spark, path, "parquet", ledger)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     # A stream takes a single file only through a glob, a folder either way.
     return reader.parquet(path.removesuffix("t") + "[t]")
