@@ -145,19 +145,16 @@ def stream_hourly_revenue(
     spark: SparkSession, folder: str, target: str | None = None
 ) -> DataFrame:
     """With a ``target`` folder the stream goes on where it stopped there."""
-    stream = hourly.hourly_revenue(
-        stream_table(spark, folder, "events"), "ts", "value", "event_type"
-    )
-    keys = ["hour_start", "kind"]
-    return hourly.run_available(spark, stream, "hourly-revenue", keys, target)
+    events = stream_table(spark, folder, "events")
+    run = hourly.HourlyRevenue(events, "ts", "value", "event_type", target).run()
+    return run.totals()
 
 
 def stream_surge(
     spark: SparkSession, folder: str, target: str | None = None
 ) -> DataFrame:
-    stream = hourly.hourly_rentals(stream_table(spark, folder, "events"), "ts")
-    hours = hourly.run_available(spark, stream, "surge", ["hour_start"], target)
-    return hourly.surging_hours(hours)
+    events = stream_table(spark, folder, "events")
+    return hourly.Surges(events, "ts", folder=target).run().surges()
 
 
 def weekday_counts_by_field(spark: SparkSession, folder: str) -> DataFrame:
