@@ -15,6 +15,14 @@ from marquee.functions.calendar import (
     weekday_name,
     weekday_number,
 )
+from marquee.functions.ids import (
+    are_whole_numbers,
+    bit_in_word,
+    bitmap_of,
+    bits_of,
+    has_bit,
+    word_of,
+)
 from marquee.functions.numbers import (
     Money,
     days_between,
@@ -32,12 +40,17 @@ __all__ = [
     "PARTS",
     "WEEKDAYS",
     "Money",
+    "are_whole_numbers",
     "as_utc",
+    "bit_in_word",
+    "bitmap_of",
+    "bits_of",
     "date_text",
     "day_of",
     "days_between",
     "days_in_month",
     "field",
+    "has_bit",
     "hour_from_utc",
     "month_label",
     "month_label_from_text",
@@ -52,4 +65,5 @@ __all__ = [
     "weekday_name",
     "weekday_number",
     "with_thousands",
+    "word_of",
 ]

@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from marquee.functions import (
     Money,
+    are_whole_numbers,
+    bit_in_word,
+    bitmap_of,
+    bits_of,
     days_in_month,
+    has_bit,
     month_label,
     month_label_from_text,
     month_start,
     month_text,
     two_places,
     with_thousands,
+    word_of,
 )
 from marquee.operators.counts import count_by
+from marquee.operators.periods import within
+from marquee.session import written
+
+# Words of 64 ids that are sent to all tasks at most: 16 bytes each.
+MOST_WORDS = 1 << 21
 
 
 def monthly_volume_revenue(rental: DataFrame, payment: DataFrame) -> DataFrame:
@@ -55,6 +66,39 @@ def monthly_volume_revenue(rental: DataFrame, payment: DataFrame) -> DataFrame:
     )
 
 
+def payments_of(payment: DataFrame, ids: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """The payments whose ``rental_id`` is among ``ids``, not yet shuffled where that set is
+    small enough to go to all tasks; otherwise all payments, for a join to sort out.
+
+    The set is a table of 64-bit words, whose number is counted before it is sent.
+    """
+    if not all(are_whole_numbers(f.schema["rental_id"].dataType) for f in (payment, ids)):
+        return payment
+    id_ = F.col("rental_id")
+    words = ids.where("rental_id IS NOT NULL").groupBy(word_of(id_).alias("word"))
+    words = written(words.agg(F.bit_or(bit_in_word(id_)).alias("bits")), "rental-words")
+    if words.count() > most_words:
+        return payment
+    kept = payment.join(F.broadcast(words), word_of(id_) == F.col("word"))
+    return kept.where(has_bit(F.col("bits"), id_)).drop("word", "bits")
+
+
+def period_revenue(
+    rental: DataFrame,
+    payment: DataFrame,
+    period: str,
+    month_column: str | None = None,
+    most_words: int = MOST_WORDS,
+) -> DataFrame:
+    """``monthly_volume_revenue`` of a year, month or day of rentals.
+
+    The period prunes the rentals' scan, and their ids the payments before the shuffle.
+    """
+    chosen = rental.where(within("rental_date", period, month_column))
+    paid = payments_of(payment, chosen.select("rental_id"), most_words)
+    return monthly_volume_revenue(chosen, paid)
+
+
 def store_payments(staff: DataFrame, payment: DataFrame) -> DataFrame:
     """Payments with the store of the staff member who took them."""
     return payment.join(staff.select("staff_id", "store_id"), "staff_id")
@@ -89,15 +133,19 @@ def store_month_revenue(
     )
 
 
-def store_month_operating_days(staff: DataFrame, payment: DataFrame) -> DataFrame:
+def store_month_operating_days(
+    staff: DataFrame, payment: DataFrame, bitmaps: bool = True
+) -> DataFrame:
     """Per store and month: revenue, distinct rentals, days with a payment, and
     revenue per calendar day of the month.
 
-    The days are a 31-bit set, which leaves one distinct aggregate: Spark then
-    shuffles one row per store, month and rental instead of expanding each
-    payment into one row per distinct aggregate.
+    The days are a 31-bit set. The rentals are bitmaps of 32,768 ids: what is shuffled
+    is a row per task, store, month and bitmap, in place of one per rental. Without
+    ``bitmaps``, and for ids that are no whole numbers, it is one row per store, month and
+    rental, which suits payments that are stored in buckets of their rental.
     """
     money = Money.of(payment, "amount")
+    by_bits = bitmaps and are_whole_numbers(payment.schema["rental_id"].dataType)
     paid = store_payments(staff, payment).select(
         "store_id",
         month_start(F.col("payment_date")).alias("month"),
@@ -105,9 +153,18 @@ def store_month_operating_days(staff: DataFrame, payment: DataFrame) -> DataFram
         "rental_id",
         money.summand().alias("amount"),
     )
+    rentals = F.count_distinct("rental_id")
+    if by_bits:
+        bitmap = bitmap_of(F.col("rental_id")).alias("bitmap")
+        paid = paid.groupBy("store_id", "month", bitmap).agg(
+            F.sum("amount").alias("amount"),
+            F.bit_or("day_bit").alias("day_bit"),
+            bits_of(F.col("rental_id")).alias("bits"),
+        )
+        rentals = F.sum(F.bitmap_count("bits"))
     totals = paid.groupBy("store_id", "month").agg(
         F.sum("amount").alias("total"),
-        F.count_distinct("rental_id").alias("rentals"),
+        rentals.alias("rentals"),
         F.coalesce(F.bit_count(F.bit_or("day_bit")), F.lit(0)).alias("operating_days"),
     )
     # Divided before anything is rounded, with two places more than a cent needs.

@@ -43,6 +43,7 @@ class Choices:
     first_day: str = "2005-01-01"
     last_day: str = "2007-12-31"
     top_share: float = 0.95
+    revenue_period: str = "2005-07"
     # Partition column of ``rental``, if it has one: see ``operators/periods.py``.
     month_column: str | None = None
 
@@ -72,6 +73,16 @@ def monthly_volume_revenue(tables: Tables, choices: Choices) -> DataFrame:
     return revenue.monthly_volume_revenue(tables["rental"], tables["payment"])
 
 
+@report
+def period_revenue(tables: Tables, choices: Choices) -> DataFrame:
+    return revenue.period_revenue(
+        tables["rental"],
+        tables["payment"],
+        choices.revenue_period,
+        choices.month_column,
+    )
+
+
 @report
 def store_month_operating_days(tables: Tables, choices: Choices) -> DataFrame:
     return revenue.store_month_operating_days(tables["staff"], tables["payment"])

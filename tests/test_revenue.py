@@ -1,12 +1,19 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from handmade import payments, rentals
+from pyspark.sql import functions as F
 
 from marquee.operators import overdue, revenue
+from marquee.operators.revenue import (
+    monthly_volume_revenue,
+    period_revenue,
+    store_month_operating_days,
+)
 
 
 def rows(frame):
@@ -197,3 +204,90 @@ def test_overdue_by_calendar_days(spark):
         ("2005-05", 2, 1, 50.0),
         ("2005-06", 1, 0, 0.0),
     ]
+
+
+def shuffled_rows(frame):
+    """Rows written by the exchanges of a frame that has run, from Spark's metrics."""
+    frame.collect()
+    total = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name.startswith("Exchange"):
+            total.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(frame._jdf.queryExecution().executedPlan())
+    return total
+
+
+@pytest.fixture(scope="module")
+def many_payments(spark):
+    """Two stores, two months, 40,000 rentals with two payments each, some of them negative ids."""
+    return spark.range(80_000).selectExpr(
+        "id AS payment_id",
+        "CASE WHEN id % 1000 = 0 THEN NULL ELSE CAST(id / 2 AS BIGINT) - 5000 END AS rental_id",
+        "id % 2 + 1 AS staff_id",
+        "CAST(id % 7 AS DECIMAL(5,2)) AS amount",
+        "make_timestamp_ntz(2005, 7 + CAST(id % 3 = 0 AS INT), CAST(1 + id % 28 AS INT), 1, 1, 1) AS payment_date",
+    )
+
+
+def test_rentals_as_bitmaps(spark, staff, many_payments):
+    by_bits = store_month_operating_days(staff, many_payments)
+    by_ids = store_month_operating_days(staff, many_payments, bitmaps=False)
+    as_text = store_month_operating_days(
+        staff, many_payments.withColumn("rental_id", F.col("rental_id").cast("string"))
+    )
+    assert rows(by_bits) == rows(by_ids) == rows(as_text) and len(rows(by_bits)) == 4
+    assert sum(r.rentals for r in by_bits.collect()) > 40_000
+    # At most a row per task (8), store, month and bitmap (3 of the ids, 1 without).
+    assert max(shuffled_rows(by_bits)) <= 8 * 2 * 2 * 4 < 1000 < 40_000 <= max(shuffled_rows(by_ids))
+
+
+def test_no_payment_with_a_rental(spark, staff):
+    rows_ = payments(spark, [(1, None, 1, "2.00", "2005-07-01"), (2, None, 1, "3.00", "2005-07-01")])
+    (row,) = store_month_operating_days(staff, rows_).collect()
+    assert (row.rentals, row.operating_days) == (0, 1)
+
+
+@pytest.mark.parametrize("most_words", [1 << 21, 0])
+def test_revenue_of_a_period(spark, many_payments, most_words):
+    """Equal to the rows of the whole report, with the set of ids sent out or too large for it."""
+    rental = spark.range(-5000, 40_000).selectExpr(
+        "id AS rental_id",
+        "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP_NTZ '2005-07-01') AS rental_date",
+    )
+    whole = {r.month: r for r in monthly_volume_revenue(rental, many_payments).collect()}
+    for period, months in (("2005-07", ["2005-07"]), ("2006", [f"2006-{m:02}" for m in range(1, 13)]), ("1999", [])):
+        found = period_revenue(rental, many_payments, period, most_words=most_words)
+        assert found.collect() == [whole[m] for m in months]
+    one = period_revenue(rental, many_payments, "2005-07-02", most_words=most_words)
+    assert [r.rentals for r in one.collect()] == [48]
+
+
+def test_a_period_shuffles_its_payments_only(spark, many_payments):
+    rental = spark.range(40_000).selectExpr(
+        "id AS rental_id",
+        "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP_NTZ '2005-07-01') AS rental_date",
+    )
+    # A month has 744 hours, so as many rentals.
+    found = shuffled_rows(period_revenue(rental, many_payments, "2005-07"))
+    assert max(found) <= 8 * 744
+    assert max(shuffled_rows(monthly_volume_revenue(rental, many_payments))) >= 35_000
+
+
+def test_ids_of_other_types_in_a_period(spark, many_payments):
+    text = F.col("rental_id").cast("string").alias("rental_id")
+    rental = spark.range(100).select(
+        F.col("id").alias("rental_id"), F.lit(datetime(2005, 7, 4)).cast("timestamp_ntz").alias("rental_date")
+    )
+    named = rental.withColumn("rental_id", text)
+    paid = many_payments.withColumn("rental_id", text)
+    assert period_revenue(named, paid, "2005").collect() == period_revenue(rental, many_payments, "2005").collect()
