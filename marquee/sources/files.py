@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marquee.sources.evolving import table_schema
@@ -19,6 +22,14 @@ def table_path(folder: str, name: str, fmt: str) -> str:
     return f"{folder.rstrip('/')}/{name}.{fmt}"
 
 
+def ignoring_case(frame: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The frame with text columns that compare, group, join and sort without regard to
+    case, as text does in the store's own database."""
+    if not names:
+        return frame
+    return frame.withColumns({name: F.collate(F.col(name), "UTF8_LCASE") for name in names})
+
+
 def read_table(
     spark: SparkSession,
     folder: str,
@@ -26,18 +37,21 @@ def read_table(
     fmt: str = "parquet",
     schema: StructType | None = None,
     ledger: str | None = None,
+    ignore_case: Sequence[str] = (),
 ) -> DataFrame:
     """The table ``name`` as it is now, with the columns of all its files.
 
     A column that some files lack is NULL there, one that got wider has its widest type,
     and files that hold one column as types without a common one are an error. A
     ``schema`` of the caller saves the look at the file footers, a ``ledger`` folder the
-    look at those already seen.
+    look at those already seen. ``ignore_case`` names columns that compare without
+    regard to case.
     """
     path = table_path(folder, name, fmt)
     if schema is None:
         schema = table_schema(spark, path, fmt, ledger)
-    return spark.read.format(fmt).schema(schema).load(path)
+    table = spark.read.format(fmt).schema(schema).load(path)
+    return ignoring_case(table, ignore_case)
 
 
 def stream_table(

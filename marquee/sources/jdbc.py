@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.sources.files import ignoring_case
+
 
 def connection_from_env(
     database: str, environ: dict[str, str] | None = None
@@ -58,24 +61,28 @@ def jdbc_table(
     key: str | None = None,
     ranges: int = 64,
     one_connection: bool = False,
+    ignore_case: Sequence[str] = (),
 ) -> DataFrame:
     """A table as a frame, read over ``ranges`` connections by ranges of ``key``.
 
     Where ``one_connection`` is asked for, as suits staff and store tables, a single
     one reads everything; a table without a key, or with none but NULL keys, is not
-    read in any other way.
+    read in any other way. ``ignore_case`` names columns that compare without regard
+    to case once they are here, as they do in the database.
     """
     reader = spark.read.format("jdbc")
     if key is None and not one_connection:
         raise ValueError("a table is read by ranges of a key, or over one_connection")
     if key is None:
-        return reader.options(**jdbc_options(connection, table)).load()
+        options = jdbc_options(connection, table)
+        return ignoring_case(reader.options(**options).load(), ignore_case)
     edges = f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) edges"
     found = spark.read.format("jdbc").options(**jdbc_options(connection, edges))
     lo, hi = found.load().first()
     if lo is None and not one_connection:
         raise ValueError(f"{table} has no {key} to cut it by; ask for one_connection")
     if lo is None:
-        return reader.options(**jdbc_options(connection, table)).load()
-    options = jdbc_options(connection, table, key, (lo, hi), ranges)
-    return reader.options(**options).load()
+        options = jdbc_options(connection, table)
+    else:
+        options = jdbc_options(connection, table, key, (lo, hi), ranges)
+    return ignoring_case(reader.options(**options).load(), ignore_case)

@@ -1,0 +1,54 @@
+"""Names that differ in case only."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from marquee.functions import field
+from marquee.operators import preferences
+from marquee.sources import ignoring_case, read_table, run_sql
+
+NAMES = [(1, "Action"), (2, "ACTION"), (3, "Drama"), (4, "drama"), (5, None)]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    place = tmp_path_factory.mktemp("shop")
+    spark.createDataFrame(NAMES, "category_id BIGINT, name STRING").write.parquet(f"{place}/category.parquet")
+    return str(place)
+
+
+@pytest.fixture(params=[False, True], ids=["as written", "ignoring case"])
+def category(request, spark, folder):
+    return read_table(spark, folder, "category", ignore_case=["name"] if request.param else ())
+
+
+def test_groups_joins_and_places(spark, category):
+    ignored = category.schema["name"].dataType.simpleString() != "string"
+    assert category.where("name = 'action'").count() == (2 if ignored else 0)
+    assert category.groupBy("name").count().count() == (3 if ignored else 5)
+    assert category.agg(F.count_distinct("name")).first()[0] == (2 if ignored else 4)
+    other = spark.createDataFrame([("aCTION",), ("Drama",)], "name STRING")
+    other = ignoring_case(other, ["name"]) if ignored else other
+    assert category.join(other, "name").count() == (4 if ignored else 1)
+    places = category.select("category_id", field(F.col("name"), "DRAMA", "Action").alias("p")).collect()
+    assert {r.category_id: r.p for r in places} == ({1: 2, 2: 2, 3: 1, 4: 1, 5: 0} if ignored else {1: 2, 2: 0, 3: 0, 4: 0, 5: 0})
+    rows = run_sql(spark, "SELECT name, count(*) AS n FROM {c} WHERE name IS NOT NULL GROUP BY name ORDER BY name", {"c": category})
+    assert [r.n for r in rows.collect()] == ([2, 2] if ignored else [1, 1, 1, 1])
+
+
+def test_one_genre_or_two(spark, category):
+    """Three rentals of each spelling of one genre against four of another genre."""
+    ignored = category.schema["name"].dataType.simpleString() != "string"
+    of_item = {1: 3, 2: 3, 3: 4}
+    rental = [(f"{item}{i}", 9, item) for item, n in of_item.items() for i in range(n)]
+    rental = spark.createDataFrame(rental, "rental_id STRING, customer_id BIGINT, inventory_id BIGINT")
+    ids = spark.range(1, 6)
+    inventory = ids.selectExpr("id AS inventory_id", "id AS film_id")
+    film = ids.selectExpr("id AS film_id")
+    of_film = ids.selectExpr("id AS film_id", "id AS category_id")
+    customer = spark.createDataFrame([(9, "A", "B")], "customer_id BIGINT, first_name STRING, last_name STRING")
+    rented = preferences.rented_genres(rental, inventory, film, of_film, category)
+    (row,) = preferences.top_category_per_customer(customer, rented).collect()
+    assert (row.preferred_genre, row.rental_count) == (("ACTION", 6) if ignored else ("Drama", 4))

@@ -1,0 +1,79 @@
+"""Quantiles by counting, against Spark's own percentile."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from handmade import RENTAL, random_rentals
+from pyspark.sql import functions as F
+
+from marquee.operators import peaks
+from marquee.operators.quantiles import exact_quantile, top_customer_slots, top_groups
+
+
+@pytest.mark.parametrize("share", [0.0, 0.951234, 1.0])
+@pytest.mark.parametrize(
+    "numbers",
+    [[5], [*range(100)], [None, 3, None, 9, 4], [-5, 1 << 60, 0, -(1 << 60), 12],
+     [random.Random(1).randrange(10**6) for _ in range(999)], [1] * 95 + [9] * 5, [1] * 96 + [9] * 4],
+    ids=str,
+)
+def test_equal_to_percentile(spark, numbers, share):
+    frame = spark.createDataFrame([(n,) for n in numbers], "n BIGINT")
+    (right,) = frame.agg(F.percentile("n", F.lit(share))).first()
+    assert exact_quantile(frame, "n", share) == right
+
+
+def test_no_value(spark):
+    assert exact_quantile(spark.createDataFrame([(None,)], "n INT"), "n", 0.5) is None
+    assert exact_quantile(spark.createDataFrame([], "n INT"), "n", 0.5) is None
+
+
+def test_ten_million_values(spark):
+    frame = spark.range(10_000_000).selectExpr("id * 7919 % 10000019 AS n")
+    (right,) = frame.agg(F.percentile("n", F.lit(0.95))).first()
+    assert exact_quantile(frame, "n", 0.95) == right
+
+
+@pytest.fixture(scope="module")
+def rental(spark):
+    return spark.createDataFrame(random_rentals(seed=6, size=900), RENTAL).cache()
+
+
+def test_slots_as_the_window_finds_them(rental):
+    """Over weekday and hour alone the two ways are one."""
+    kept = F.coalesce(F.col("rental_date") < F.lit("2006-01-01").cast("timestamp_ntz"), F.lit(False))
+    keys = {"weekday_no": F.weekday(F.to_date("rental_date")), "hour": F.hour("rental_date")}
+    for share in (0.5, 0.95):
+        found = top_groups(rental, keys, kept, share)
+        right = peaks.slot_pairs(rental, kept, "rental_date")
+        right = peaks.with_cutoff(right, "all_rows", share).where("kept_rows > 0 AND kept_rows >= cutoff")
+        assert sorted(map(str, found.collect())) == sorted(
+            map(str, right.selectExpr("weekday_no", "hour", "kept_rows AS rentals").collect())
+        )
+
+
+def test_customer_slots(rental):
+    found = top_customer_slots(rental, F.lit(True), 0.9)
+    groups = {}
+    for r in rental.collect():
+        slot = r.rental_date and (f"{r.rental_date:%A}", r.rental_date.hour)
+        groups[r.customer_id, slot] = groups.get((r.customer_id, slot), 0) + 1
+    ordered = sorted(groups.values())
+    place = (len(ordered) - 1) * 0.9
+    low, rest = int(place), place - int(place)
+    cutoff = ordered[low] * (1 - rest) + ordered[min(low + 1, len(ordered) - 1)] * rest
+    right = {(who, *(slot or (None, None)), n) for (who, slot), n in groups.items() if n >= cutoff}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == right and len(rows) == len(right)
+    assert [r[-1] for r in rows] == sorted((r[-1] for r in rows), reverse=True)
+
+
+def test_no_window_and_no_single_task(rental):
+    plan = top_customer_slots(rental, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_no_facts(spark):
+    assert top_customer_slots(spark.createDataFrame([], RENTAL), F.lit(True)).collect() == []

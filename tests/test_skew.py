@@ -1,0 +1,78 @@
+"""Joins on hot keys without AQE's help."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from marquee.operators import preferences
+from marquee.operators.skew import heavy_values, spread_join
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """A third of the rentals on one item, a tenth on another, some without an item."""
+    item = "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 10 = 1 THEN 8 WHEN id % 97 = 2 THEN NULL ELSE 100 + id % 5000 END"
+    rental = spark.range(60_000).selectExpr(
+        "id AS rental_id", "id % 50 AS customer_id", f"CAST({item} AS BIGINT) AS inventory_id"
+    )
+    inventory = spark.range(5200).selectExpr("id AS inventory_id", "id % 40 AS film_id")
+    return rental, inventory
+
+
+def test_heavy_values_are_found(tables):
+    rental, inventory = tables
+    assert heavy_values(rental, "inventory_id") == [7, 8]
+    assert heavy_values(rental, "inventory_id", 0.2) == [7]
+    assert heavy_values(inventory, "inventory_id") == []
+    assert heavy_values(rental.limit(0), "inventory_id") == []
+
+
+def rows_per_task(frame):
+    return [r["n"] for r in frame.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+@pytest.fixture
+def without_help(spark):
+    names = {
+        "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32",
+    }
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_a_third_of_the_rows_is_spread(tables, without_help):
+    rental, inventory = tables
+    plain, spread = rental.join(inventory, "inventory_id"), spread_join(rental, inventory, "inventory_id")
+    assert max(rows_per_task(plain)) > 20_000
+    assert max(rows_per_task(spread)) < 6000
+    assert Counter(map(tuple, spread.select(plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+
+
+def test_several_rows_of_a_heavy_key_on_the_other_side(spark, tables):
+    rental, inventory = tables
+    twice = inventory.unionAll(inventory.where("inventory_id IN (7, 9)"))
+    plain, spread = rental.join(twice, "inventory_id"), spread_join(rental, twice, "inventory_id")
+    assert Counter(map(tuple, spread.collect())) == Counter(map(tuple, plain.collect()))
+
+
+def test_genres_of_hot_items(spark, tables):
+    """The same report with and without."""
+    rental, inventory = tables
+    film = spark.range(40).selectExpr("id AS film_id")
+    of_film = film.selectExpr("film_id", "film_id % 6 AS category_id")
+    category = spark.range(6).selectExpr("id AS category_id", "concat('genre ', id) AS name")
+    customer = spark.range(50).selectExpr("id AS customer_id", "concat('F', id) AS first_name", "concat('L', id) AS last_name")
+    found = [
+        preferences.top_category_per_customer(
+            customer, preferences.rented_genres(rental, inventory, film, of_film, category, spread=spread)
+        ).collect()
+        for spread in (False, True)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 50
