@@ -22,9 +22,11 @@ from marquee.functions import (
     parse_timestamp,
     weekday_name,
 )
-from marquee.operators import counts, overdue, preferences, scans
+from marquee.operators import counts, overdue, periods, preferences, quantiles, scans
+from marquee.plans.kept_cube import KeptCube
 from marquee.plans.store_queries import STORE_QUERIES, Choices, calendar_reports
-from marquee.sources import read_table, run_sql, standins, stream_table
+from marquee.session import remove_folder, shared_folder
+from marquee.sources import ignoring_case, read_table, run_sql, standins, stream_table
 from marquee.streaming import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +39,11 @@ EVENT_CHOICES = Choices(
     first_day="2024-01-05",
     last_day="2024-01-20",
 )
-ORDER_CHOICES = Choices(hour_outlier="1998-02", weekday_outlier="1998")
+ORDER_CHOICES = Choices(
+    hour_outlier="1998-02", weekday_outlier="1998", revenue_period="1997"
+)
+# Events from here on come first, where a stream takes them out of order.
+LATER = "ts >= TIMESTAMP_NTZ '2024-01-16'"
 
 
 def plain_types(frame: DataFrame) -> DataFrame:
@@ -85,6 +91,7 @@ ON_EVENTS = (
 # Reports over several years or with payments: query name and report.
 ON_ORDERS = {
     "monthly_volume_revenue": "monthly_volume_revenue",
+    "period_revenue": "period_revenue",
     "store_month_operating_days": "store_month_operating_days",
     "store_month_revenue": "store_month_revenue",
     "month_labels": "month_labels",
@@ -196,6 +203,146 @@ def weekday_matrix_from_written_cube(spark: SparkSession, folder: str) -> DataFr
     return reports["heat_weekday_hour"]
 
 
+def generations(spark: SparkSession, folder: str, home: str) -> None:
+    """The orders as files of three generations: months became a wider number, dates got
+    a time of day, and customers and prices were added."""
+    orders = read_table(spark, folder, "orders")
+    year = "year(o_orderdate)"
+    month = f"{year} * 100 + month(o_orderdate)"
+    columns = (
+        ("1997", f"CAST({month} AS INT) AS month", "CAST(o_orderdate AS DATE) AS rental_date"),
+        ("1999", f"CAST({month} AS INT) AS month", "CAST(o_orderdate AS DATE) AS rental_date",
+         "o_custkey AS customer_id"),
+        ("9999", f"CAST({month} AS BIGINT) AS month", "o_orderdate AS rental_date",
+         "o_custkey AS customer_id", "o_totalprice AS price"),
+    )
+    first = "0"
+    for before, *chosen in columns:
+        part = orders.where(f"coalesce({year}, 0) >= {first} AND coalesce({year}, 0) < {before}")
+        part = part.selectExpr("o_orderkey AS rental_id", *chosen)
+        part.write.mode("append").parquet(f"{home}/rental.parquet")
+        first = before
+
+
+def evolving_rental_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A table whose files hold different columns, read as one."""
+    home = shared_folder(spark, "generations")
+    generations(spark, folder, home)
+    return read_table(spark, home, "rental", ledger=f"{home}/ledger")
+
+
+def priced_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Rentals, payments in DECIMAL, and staff, for SQL texts."""
+    tables = standins.order_store(spark, folder)
+    paid = tables["payment"].withColumn("amount", F.col("amount").cast("decimal(24,6)"))
+    return {"rental": tables["rental"], "payment": paid, "staff": tables["staff"]}
+
+
+def monthly_volume_mysql(spark: SparkSession, folder: str) -> DataFrame:
+    """MySQL text: a date pattern as the group, and the sum rounded."""
+    text = """
+        SELECT DATE_FORMAT(r.rental_date, '%Y-%m') AS month, COUNT(r.rental_id) AS rentals,
+               ROUND(SUM(p.amount), 2) AS revenue
+        FROM {rental} AS r INNER JOIN {payment} AS p ON p.rental_id = r.rental_id
+        GROUP BY month ORDER BY month"""
+    return run_sql(spark, text, priced_store(spark, folder), mysql=True)
+
+
+def weekday_counts_mysql(spark: SparkSession, folder: str) -> DataFrame:
+    """MySQL text: weekday names, put in order by a list of them."""
+    days = ", ".join(f"'{day}'" for day in WEEKDAYS)
+    text = f"""
+        SELECT DATE_FORMAT(rental_date, '%W') AS weekday, COUNT(*) AS rentals,
+               DATE_FORMAT(MIN(rental_date), '%e %M %Y, %H:%i') AS since
+        FROM {{rental}} GROUP BY weekday
+        ORDER BY FIELD(weekday, {days})"""
+    tables = {"rental": standins.event_rentals(spark, folder)}
+    return run_sql(spark, text, tables, mysql=True)
+
+
+def store_days_mysql(spark: SparkSession, folder: str) -> DataFrame:
+    """MySQL text: a subquery, two distinct counts, and the days of a month from its text."""
+    text = """
+        SELECT paid.store_id, paid.month, COUNT(DISTINCT paid.rental_id) AS rentals,
+               COUNT(DISTINCT paid.day) AS days_open,
+               DAY(LAST_DAY(STR_TO_DATE(CONCAT(paid.month, '-01'), '%Y-%m-%d'))) AS days
+        FROM (SELECT s.store_id, p.rental_id, DATE(p.payment_date) AS day,
+                     DATE_FORMAT(p.payment_date, '%Y-%m') AS month
+              FROM {payment} AS p INNER JOIN {staff} AS s ON s.staff_id = p.staff_id) AS paid
+        GROUP BY paid.store_id, paid.month"""
+    return run_sql(spark, text, priced_store(spark, folder), mysql=True)
+
+
+def date_hours_mysql(spark: SparkSession, folder: str) -> DataFrame:
+    """MySQL text: dates as text and hours, between two texts, without a year."""
+    text = """
+        SELECT DATE_FORMAT(rental_date, '%Y-%m-%d') AS day, HOUR(rental_date) AS hour,
+               COUNT(rental_id) AS rentals
+        FROM {rental}
+        WHERE rental_date BETWEEN '2024-01-05' AND '2024-01-20' AND YEAR(rental_date) != 2006
+        GROUP BY day, hour ORDER BY day, hour"""
+    tables = {"rental": standins.event_rentals(spark, folder)}
+    return run_sql(spark, text, tables, mysql=True)
+
+
+def stream_late_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stream counts for hours that were closed: the later events come first."""
+    home = shared_folder(spark, "out-of-order")
+    events = read_table(spark, folder, "events")
+    for part in (events.where(LATER), events.where(f"NOT coalesce({LATER}, false)")):
+        part.write.mode("append").parquet(f"{home}/events.parquet")
+        stream = stream_table(spark, home, "events")
+        run = hourly.HourlyRevenue(stream, "ts", "value", "event_type", f"{home}/run").run()
+    remove_folder(spark, f"{home}/events.parquet")
+    return run.corrections()
+
+
+def weekday_matrix_from_kept_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """A report on a cube that followed its table over two updates."""
+    home = shared_folder(spark, "kept")
+    events = read_table(spark, folder, "events")
+    kept = KeptCube(spark, f"{home}/cube")
+    for part in (events.where(f"NOT coalesce({LATER}, false)"), events.where(LATER)):
+        part.write.mode("append").parquet(f"{home}/events.parquet")
+        cube = kept.update(
+            home, "events", lambda rows: rows.selectExpr("event_id AS rental_id", "ts AS rental_date")
+        )
+    remove_folder(spark, f"{home}/events.parquet")
+    return STORE_QUERIES["heat_weekday_hour"]({"rental": cube}, EVENT_CHOICES)
+
+
+def top_customer_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The busiest hours of single customers, by a quantile over very many groups."""
+    kept = periods.outside("rental_date", EVENT_CHOICES.weekday_outlier)
+    return quantiles.top_customer_slots(standins.event_rentals(spark, folder), kept)
+
+
+def top_region_of_hot_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The genre report with its hot items dealt over several tasks."""
+    tables = standins.item_store(spark, folder)
+    rented = preferences.rented_genres(
+        tables["rental"],
+        tables["inventory"],
+        tables["film"],
+        tables["film_category"],
+        tables["category"],
+        spread=True,
+    )
+    return preferences.top_category_per_customer(tables["customer"], rented)
+
+
+def top_genre_ignoring_case(spark: SparkSession, folder: str) -> DataFrame:
+    """Part types in two spellings that count as one."""
+    rented = standins.rented_items(spark, folder, "l_partkey")
+    spelt = standins.part_genres(spark, folder).selectExpr(
+        "inventory_id", "IF(inventory_id % 2 = 0, upper(genre), lower(genre)) AS genre"
+    )
+    return preferences.top_category_per_customer(
+        standins.customers(spark, folder),
+        rented.join(ignoring_case(spelt, ["genre"]), "inventory_id"),
+    )
+
+
 def plain(build: Query) -> Query:
     @wraps(build)
     def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,6 +378,16 @@ QUERIES: dict[str, Query] = {
             parsed_order_months,
             parsed_event_times,
             weekday_matrix_from_written_cube,
+            evolving_rental_scan,
+            monthly_volume_mysql,
+            weekday_counts_mysql,
+            store_days_mysql,
+            date_hours_mysql,
+            stream_late_hours,
+            weekday_matrix_from_kept_cube,
+            top_customer_slots,
+            top_region_of_hot_items,
+            top_genre_ignoring_case,
         )
     },
 }

@@ -244,4 +244,59 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN event_id % 7 <> 0 THEN hour(ts) END AS hour,
                count(*) AS rentals FROM events GROUP BY 1""",
     "weekday_matrix_from_written_cube": weekday_by_hour("events", "ts"),
+    "period_revenue": f"""
+        SELECT strftime(o_orderdate, '%Y-%m') AS month, count(o_orderkey) AS rentals,
+               {REVENUE} AS revenue
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+        WHERE year(o_orderdate) = 1997 GROUP BY 1""",
+    "evolving_rental_scan": """
+        SELECT o_orderkey AS rental_id, year(o_orderdate) * 100 + month(o_orderdate) AS month,
+               o_orderdate AS rental_date,
+               CASE WHEN year(o_orderdate) >= 1997 THEN o_custkey END AS customer_id,
+               CASE WHEN year(o_orderdate) >= 1999 THEN o_totalprice END AS price
+        FROM orders""",
+    "monthly_volume_mysql": f"""
+        SELECT strftime(o_orderdate, '%Y-%m') AS month, count(o_orderkey) AS rentals,
+               {REVENUE} AS revenue
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""",
+    "weekday_counts_mysql": """
+        SELECT strftime(ts, '%A') AS weekday, count(*) AS rentals,
+               strftime(min(ts), '%-d %B %Y, %H:%M') AS since
+        FROM events GROUP BY 1""",
+    "store_days_mysql": """
+        SELECT CAST(s_nationkey AS BIGINT) AS store_id, strftime(l_shipdate, '%Y-%m') AS month,
+               count(DISTINCT l_orderkey) AS rentals,
+               count(DISTINCT CAST(l_shipdate AS DATE)) AS days_open,
+               day(last_day(min(l_shipdate))) AS days
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""",
+    "date_hours_mysql": """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, hour(ts) AS hour, count(event_id) AS rentals
+        FROM events
+        WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1, 2""",
+    "stream_late_hours": """
+        SELECT date_trunc('hour', ts) AS hour_start, event_type AS kind, count(*) AS rentals,
+               CAST(round(sum(CAST(value AS DECIMAL(24,6))), 2) AS DOUBLE) AS revenue
+        FROM events
+        WHERE ts < TIMESTAMP '2024-01-16'
+          AND date_trunc('hour', ts) < (SELECT date_trunc('hour', max(ts)) FROM events
+                                        WHERE ts >= TIMESTAMP '2024-01-16') - INTERVAL 48 HOUR
+        GROUP BY 1, 2""",
+    "weekday_matrix_from_kept_cube": weekday_by_hour("events", "ts"),
+    "top_customer_slots": f"""
+        WITH n AS (SELECT user_id AS customer_id, strftime(ts, '%A') AS weekday, hour(ts) AS hour,
+                          count(*) AS everything, count(*) FILTER ({NOT_OUTLIER_DAY}) AS rentals
+                   FROM events GROUP BY 1, 2, 3)
+        SELECT customer_id, weekday, hour, rentals FROM n
+        WHERE rentals > 0 AND rentals >= (SELECT quantile_cont(everything, 0.95) FROM n)""",
+    "top_genre_ignoring_case": """
+        WITH n AS (
+          SELECT o_custkey, lower(p_type) AS genre, count(*) AS rental_count,
+                 min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END) AS spelling
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+          GROUP BY 1, 2)
+        SELECT c_custkey AS customer_id, c_name AS first_name, c_mktsegment AS last_name,
+               spelling AS preferred_genre, rental_count
+        FROM n JOIN customer ON c_custkey = o_custkey
+        QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY rental_count DESC, genre) = 1""",
 }
+ORACLES["top_region_of_hot_items"] = ORACLES["top_region_per_customer"]
