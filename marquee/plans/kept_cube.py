@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from marquee.functions import month_start, month_text
 from marquee.operators.counts import HourCube, hour_cube
-from marquee.session import remove_folder
+from marquee.session import no_rows, remove_folder
 from marquee.sources.evolving import is_file, listing, table_schema
 from marquee.sources.files import table_path
 from marquee.streaming.tables import complete_folders
@@ -53,7 +53,7 @@ class KeptCube:
     def read(self, homes: dict[str, int]) -> DataFrame:
         paths = [f"{self.folder}/cube/update-{n}/month={month}" for month, n in homes.items()]
         if not paths:
-            return self.spark.createDataFrame([], CUBE)
+            return no_rows(self.spark, CUBE)
         return self.spark.read.schema(CUBE).parquet(*paths)
 
     def cube(self) -> HourCube:

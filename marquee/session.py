@@ -9,6 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Values the results depend on (time zone, ANSI) or the physical plans count on (AQE).
 SETTINGS = {
@@ -79,13 +81,35 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as a table in the shared folder: its size is then known, and a lost
-    executor costs a re-read of it."""
+    executor costs a re-read of it. It goes with the process, or before by
+    ``remove_written``."""
     path = shared_folder(frame.sparkSession, purpose)
+    if not WRITTEN:
+        atexit.register(remove_written)
+    WRITTEN.append((frame.sparkSession, path))
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+# Tables that ``written`` left, with their sessions.
+WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def remove_written() -> None:
+    """Deletes the tables of ``written``, once no frame that reads them is needed."""
+    while WRITTEN:
+        spark, path = WRITTEN.pop()
+        # Nothing can be deleted any more through a session that was stopped.
+        if spark.sparkContext._jsc is not None:
+            remove_folder(spark, path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this package, in whatever store it lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def no_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """An empty frame that Spark knows to be empty while it plans."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marquee.sources.evolving import table_schema
+from marquee.sources.evolving import is_file, table_schema
 
 # Formats that carry their schema; reading one takes the file footers, not the data.
 FORMATS = ("parquet", "orc")
@@ -48,9 +48,10 @@ def read_table(
     regard to case.
     """
     path = table_path(folder, name, fmt)
-    if schema is None:
+    reader = spark.read.format(fmt)
+    if schema is None and not is_file(spark, path):
         schema = table_schema(spark, path, fmt, ledger)
-    table = spark.read.format(fmt).schema(schema).load(path)
+    table = (reader if schema is None else reader.schema(schema)).load(path)
     return ignoring_case(table, ignore_case)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marquee.functions import Money, as_utc, hour_from_utc
-from marquee.session import shared_folder
+from marquee.session import no_rows, shared_folder
 from marquee.streaming.tables import Carried, Sums
 
 DELAY = 48
@@ -87,8 +87,7 @@ def judged(hours: DataFrame, slots: DataFrame, factor: float) -> DataFrame:
 
 def surging_hours(hours: DataFrame, factor: float = 1.5) -> DataFrame:
     """The same over hours that are all at hand."""
-    none = hours.sparkSession.createDataFrame([], CARRIED).select(*SLOT)
-    return judged(hours, none, factor)
+    return judged(hours, no_rows(hours.sparkSession, CARRIED).select(*SLOT), factor)
 
 
 def latest_hour(hours: DataFrame, column: str = "hour_start") -> datetime | None:
@@ -145,7 +144,7 @@ class HourlyRevenue:
         return self
 
     def rounded(self, *keys: str, late: bool = False) -> DataFrame:
-        rows = self.sums.table()
+        rows = self.sums.rows()
         rows = rows.where("late") if late else rows
         sums = [F.sum("rentals").alias("rentals"), self.money.rounded(F.sum("total")).alias("revenue")]
         return rows.groupBy(*keys).agg(*sums)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marquee.session import remove_folder
+from marquee.session import no_rows, remove_folder
 
 # Folders of a tier that become one folder of the next.
 FAN = 16
@@ -63,11 +63,12 @@ class Sums:
         return frame.groupBy(*self.keys).agg(*sums).select(*self.schema.names)
 
     def add(self, frame: DataFrame, number: int) -> None:
-        """The part of a batch; without effect where it is summed up already."""
+        """The part of a batch, summed by key or not; without effect where it is in a
+        higher tier already."""
         if any(t and e - FAN**t < number <= e for t, e in self.live()):
             return
         path = f"{self.folder}/part-0-{number}"
-        self.summed(frame).write.mode("overwrite").parquet(path)
+        frame.select(*self.schema.names).write.mode("overwrite").parquet(path)
         tier = 1
         while (number + 1) % FAN**tier == 0:
             low = number - FAN**tier
@@ -89,11 +90,15 @@ class Sums:
         path = self.live().get((0, number))
         return path and self.spark.read.schema(self.schema).parquet(path)
 
-    def table(self) -> DataFrame:
+    def rows(self) -> DataFrame:
+        """The parts as they lie, to be summed by key."""
         parts = sorted(self.live().values())
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return self.summed(self.spark.read.schema(self.schema).parquet(*parts))
+            return no_rows(self.spark, self.schema)
+        return self.spark.read.schema(self.schema).parquet(*parts)
+
+    def table(self) -> DataFrame:
+        return self.summed(self.rows())
 
 
 @dataclass(frozen=True)
@@ -113,7 +118,7 @@ class Carried:
         """Rows left by the batch before this one, or by the last of all."""
         earlier = [n for n in self.numbers() if number is None or n < number]
         if not earlier:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/after-{max(earlier)}")
 
     def keep(self, frame: DataFrame, number: int) -> None:
