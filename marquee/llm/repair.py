@@ -178,12 +178,36 @@ class Shard:
             low = high
 
 
+def around(tokens: dict[str, int], encode: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
+    """An encoder of texts that may hold strings of special tokens: each is one id, the
+    longest where several begin, and what lies between is encoded as a text of its own."""
+    if not tokens:
+        return encode
+    longest = sorted(tokens, key=len, reverse=True)
+    special = re.compile("(" + "|".join(re.escape(t) for t in longest) + ")")
+    ids = {t: np.array([i], dtype="<u4").tobytes() for t, i in tokens.items()}
+
+    def encode_all(texts: list[str]) -> list[bytes]:
+        # Every second piece is a token.
+        pieces = [special.split(t) for t in texts]
+        if all(len(p) == 1 for p in pieces):
+            return encode(texts)
+        coded = iter(encode([part for p in pieces for part in p[::2]]))
+        return [b"".join(ids[x] if i % 2 else next(coded) for i, x in enumerate(p)) for p in pieces]
+
+    return encode_all
+
+
 @lru_cache(maxsize=1)
-def library_encoder(path: str) -> ChunkEncoder:
-    """Ids by the tokenizers library; strings of special tokens are ordinary text."""
+def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Ids as the tokenizers library gives them, special tokens in the texts included."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    added = tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        raise ValueError("special tokens that depend on their neighbours are not known here")
+    # They are found before texts are cut into chunks; none is left inside a chunk.
     tokenizer.encode_special_tokens = True
 
     separator = tokenizer.encode("\n", add_special_tokens=False).ids
@@ -214,7 +238,7 @@ def library_encoder(path: str) -> ChunkEncoder:
             out[i] = np.array(c.ids, dtype="<u4").tobytes()
         return out
 
-    return ChunkEncoder(encode)
+    return around({t.content: i for i, t in added.items()}, ChunkEncoder(encode))
 
 
 def write_shards(
