@@ -53,8 +53,8 @@ KINDS = list(PATTERNS)
 BASE = KINDS[:3]
 # A text without one of these holds no part of a secret.
 SIGNS = [ASSIGN, ACCESS, HEX, LOOSE]
-# Characters between parts of one credential, at most.
-REACH = 256
+# Characters of a bin of the join of parts with scopes; it changes no result.
+BIN = 256
 
 
 def gaps_and_hits(text: Column, kind: str) -> Column:
@@ -87,47 +87,64 @@ def order_of(kind: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(k) for k in names]), kind), F.lit(0))
 
 
+def scopes_of(parts: DataFrame) -> DataFrame:
+    """Stretches of the texts between blank lines: ``text_key``, ``low``, ``high`` (exclusive)."""
+    breaks = F.collect_list(F.when(F.col("kind") == "break", F.col("end")))
+    edges = F.concat(F.array(F.lit(0).cast("long"), F.max("end")), breaks)
+    texts = parts.groupBy("text_key").agg(F.array_sort(F.array_distinct(edges)).alias("edges"))
+    between = F.arrays_zip(
+        F.slice("edges", F.lit(1), F.size("edges") - 1).alias("low"),
+        F.slice("edges", F.lit(2), F.size("edges") - 1).alias("high"),
+    )
+    return texts.select("text_key", F.explode(between).alias("s")).select("text_key", "s.*")
+
+
+def in_scopes(parts: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The parts with ``low`` of the scope that they lie in: an interval join by bins."""
+    bins = F.sequence(F.floor(F.col("low") / BIN), F.floor((F.col("high") - 1) / BIN))
+    binned = scopes.withColumn("bin", F.explode(bins))
+    pairs = parts.withColumn("bin", F.floor(F.col("start") / BIN)).join(binned, ["text_key", "bin"])
+    return pairs.where((F.col("low") <= F.col("start")) & (F.col("start") < F.col("high"))).drop("bin", "high")
+
+
 def linked(parts: DataFrame) -> DataFrame:
-    """Weak parts near a complementary one in the same scope.
+    """Weak parts with a complementary one anywhere in the same scope.
 
-    A credential is an identifier and a secret with ``REACH`` characters between them
-    at most; an endpoint belongs to it if it is as near to either. Base finds count
-    as identifiers (access) and secrets (assign, hex).
+    A secret is complemented by an identifier or an endpoint, and these by a secret.
+    Base finds count as identifiers (access) and secrets (assign, hex). A loose secret
+    inside an endpoint is a stretch of its address: only an identifier complements it,
+    and then the endpoint belongs to the two. What roles a scope holds is gathered
+    first, so no pairs are made, however many parts a scope has.
     """
     running = Window.partitionBy("text_key").orderBy("start", order_of(F.col("kind")), "end")
     upto = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = parts.withColumn("scope", F.count(F.when(F.col("kind") == "break", 1)).over(upto)).withColumn(
-        "covered", F.max(F.when(F.col("kind").isin(BASE), F.col("end"))).over(upto)
-    )
-    weak = ~F.col("kind").isin(BASE)
+    kind = F.col("kind")
+
+    def reached(which: Column) -> Column:
+        return F.coalesce(F.max(F.when(which, F.col("end"))).over(upto) > F.col("start"), F.lit(False))
+
+    placed = parts.withColumn("covered", reached(kind.isin(BASE))).withColumn("buried", reached(kind == "endpoint"))
     # What lies in a base find is that find.
-    inside = weak & F.coalesce(F.col("covered") > F.col("start"), F.lit(False))
-    placed = placed.where((F.col("kind") != "break") & ~inside)
-    role = F.when(F.col("kind").isin("access", "identifier"), "id").when(F.col("kind") == "endpoint", "place")
-    placed = placed.withColumn("role", role.otherwise("secret"))
-
-    def binned(frame: DataFrame, reach: int) -> DataFrame:
-        low, high = F.floor((F.col("start") - reach) / REACH), F.floor((F.col("end") + reach) / REACH)
-        return frame.withColumn("bin", F.explode(F.sequence(low, high)))
-
-    def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of intervals with at most ``REACH`` between them, by bins of that width."""
-        a = binned(left, REACH).select(
-            "text_key", "scope", "bin", *[F.col(c).alias(f"{c}_a") for c in ("kind", "start", "end")]
-        )
-        b = binned(right, 0).select("text_key", "scope", "bin", "kind", "start", "end")
-        pairs = a.join(b, ["text_key", "scope", "bin"])
-        return pairs.where((F.col("start") <= F.col("end_a") + REACH) & (F.col("end") >= F.col("start_a") - REACH))
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        one = F.struct(F.col("kind_a").alias("kind"), F.col("start_a").alias("start"), F.col("end_a").alias("end"))
-        two = F.struct("kind", "start", "end")
-        both = pairs.select("text_key", "scope", F.explode(F.array(one, two)).alias("p"))
-        return both.select("text_key", "scope", "p.*").distinct()
-
-    both = ends(near(placed.where("role = 'id'"), placed.where("role = 'secret'")))
-    places = near(both, placed.where("role = 'place'")).select("text_key", "scope", "kind", "start", "end").distinct()
-    return both.unionByName(places).where(~F.col("kind").isin(BASE)).drop("scope")
+    placed = placed.where((kind != "break") & (kind.isin(BASE) | ~F.col("covered")))
+    role = (
+        F.when(kind.isin("access", "identifier"), "id")
+        .when(kind == "endpoint", "place")
+        .when((kind == "loose") & F.col("buried"), "buried")
+        .otherwise("secret")
+    )
+    placed = placed.select("text_key", "kind", "start", "end", role.alias("role"))
+    placed = in_scopes(placed, scopes_of(parts))
+    roles = placed.groupBy("text_key", "low").agg(
+        *[F.max(F.col("role") == r).alias(f"has_{r}") for r in ("id", "place", "secret", "buried")]
+    )
+    together = (
+        F.when(F.col("role") == "id", F.col("has_secret") | F.col("has_buried"))
+        .when(F.col("role") == "place", F.col("has_secret") | F.col("has_id") & F.col("has_buried"))
+        .when(F.col("role") == "buried", F.col("has_id"))
+        .otherwise(F.col("has_id") | F.col("has_place"))
+    )
+    weak = placed.where(~kind.isin(BASE)).join(roles, ["text_key", "low"])
+    return weak.where(together).select("text_key", "kind", "start", "end")
 
 
 def has_signs(text: Column) -> Column:
@@ -161,8 +178,8 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     Starts and ends count code points, the end is exclusive. The base kinds stand for
     themselves; identifiers, endpoints and loose secrets (short assigned values, bare
-    strings of letters and digits) are reported only where an identifier and a secret
-    co-occur. Null and empty texts hold nothing. Rows that repeat an id get a row
+    strings of letters and digits) are reported only where a secret and an identifier or
+    endpoint are in one scope, the text between two blank lines. Null and empty texts hold nothing. Rows that repeat an id get a row
     each, and equal texts equal finds. Other columns are ignored.
     """
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))

@@ -44,7 +44,7 @@ def found(spark, *texts: str) -> list[list[str]]:
 
 def test_parts_count_only_together(spark):
     loose, user, place = "k9f3a7d2b8c4e6g1h5", "user=bob", "https://db.example/x"
-    alone, pair, triple, far, apart, short = found(
+    alone, pair, triple, far, apart, short, unnamed, nothing, url = found(
         spark,
         f"see {loose} there",
         f"{user} {loose}",
@@ -52,8 +52,13 @@ def test_parts_count_only_together(spark):
         f"{user} {'x ' * 200}{loose}",
         f"{user}\n \n{loose}",
         "login: bob, token=abcd",
+        "curl https://api.example.com/v1 -H 'X-Auth-Key: 4f9aB2c8D1e7F6a5'",
+        f"{place} {user}",
+        "see https://db.example/articles/2024/a-long-title and no more",
     )
-    assert alone == [] and far == [] and apart == []
+    assert alone == [] and apart == [] and nothing == [] and url == []
+    assert far == ["identifier:0:8", "loose:409:427"]
+    assert unnamed == ["endpoint:5:31", "loose:48:64"]
     assert pair == ["identifier:0:8", "loose:9:27"]
     assert triple == ["endpoint:0:20", "identifier:21:29", "loose:30:48"]
     assert short == ["identifier:0:10", "loose:12:22"]
@@ -65,28 +70,45 @@ def test_base_finds_are_complements(spark):
     assert spans == ["access:0:16", "loose:22:40", "endpoint:44:57"]
 
 
-def test_interval_join_against_brute_force(spark):
-    """Many parts in one text, some far from others: the same links as by all pairs."""
+def test_linked_against_brute_force(spark):
+    """Many parts in texts of many scopes: the same links as by all pairs within a scope."""
     import random
 
     rng = random.Random(4)
-    words = []
-    for _ in range(400):
-        words.append(rng.choice(["user=bob", "k9f3a7d2b8c4e6g1h5", "https://db.example/x", "plain " * rng.randint(1, 60)]))
-    text = " ".join(words)
-    parts = [
-        (m.start(), m.end(), kind)
-        for kind, p in (("identifier", "user=bob"), ("loose", "k9f3a7d2b8c4e6g1h5"), ("endpoint", "https://db.example/x"))
-        for m in re.finditer(re.escape(p), text)
-    ]
-
-    def near(a, b):
-        return b[0] <= a[1] + 256 and b[1] >= a[0] - 256
-
-    both = {p for a in parts for b in parts if a[2] == "identifier" and b[2] == "loose" and near(a, b) for p in (a, b)}
-    both |= {b for a in both for b in parts if b[2] == "endpoint" and near(a, b)}
-    (spans,) = found(spark, text)
-    assert sorted(spans) == sorted(f"{k}:{s}:{e}" for s, e, k in both)
+    kinds = {
+        "identifier": "user=bob",
+        "loose": "k9f3a7d2b8c4e6g1h5",
+        "endpoint": "https://db.example/x",
+        "buried": "https://db.example/k9f3a7d2b8c4e6g1h5",
+    }
+    texts = []
+    for size in (400, 400, 40):
+        words = [rng.choice([*kinds.values(), "plain " * rng.randint(1, 400), *["\n \n"] * 3]) for _ in range(size)]
+        texts.append(" ".join(words))
+    texts.append(" ".join(rng.choice([kinds["loose"], "plain " * 90]) for _ in range(400)) + " " + kinds["endpoint"])
+
+    def of(text: str) -> list[str]:
+        out = []
+        edges = [0, *[m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)], len(text)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            parts = [(m.start(), m.end(), "identifier", "id") for m in re.finditer("user=bob", text)]
+            for m in re.finditer(r"https://\S+", text):
+                parts.append((m.start(), m.end(), "endpoint", "place"))
+            for m in re.finditer(kinds["loose"], text):
+                inside = text[m.start() - 1 : m.start()] == "/"
+                # The run of a path begins after the last dot of the address.
+                parts.append((m.start() - 8 * inside, m.end(), "loose", "buried" if inside else "secret"))
+            parts = [p for p in parts if low <= p[0] < high]
+            pairs = {("id", "secret"), ("id", "buried"), ("place", "secret")}
+            both = {x for a in parts for b in parts if (a[3], b[3]) in pairs for x in (a, b)}
+            if any(a[3] == "id" for a in both) and any(a[3] == "buried" for a in both):
+                both |= {p for p in parts if p[3] == "place"}
+            out += [f"{k}:{s}:{e}" for s, e, k, _ in both]
+        return sorted(out)
+
+    for spans, text in zip(found(spark, *texts), texts, strict=True):
+        assert sorted(spans) == of(text)
+        assert spans
 
 
 def test_query(spark):
@@ -122,6 +144,16 @@ def test_odd_rows(spark):
     assert redacted(odd_rows(spark, empty=True)).collect() == [] == secrets(odd_rows(spark, empty=True)).collect()
 
 
+def test_masks_of_linked_parts(spark):
+    far = "user: alice99 " + "word " * 60 + "4f9aB2c8D1e7F6a5"
+    texts = ["curl https://api.example.com/v1 -H 'X-Auth-Key: 4f9aB2c8D1e7F6a5'", far]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in redacted(frame).orderBy("doc_id").collect()] == [
+        "curl [SECRET] -H 'X-Auth-Key: [SECRET]'",
+        "[SECRET] " + "word " * 60 + "[SECRET]",
+    ]
+
+
 def test_masks_join(spark):
     frame = spark.createDataFrame([(1, "é token = '" + "a1" * 20 + "' end")], "doc_id long, text string")
     assert redacted(frame).first()["text"] == "é [SECRET]' end"
