@@ -95,6 +95,38 @@ def test_robust_against_a_third_of_outliers(spark):
     assert far[0].mean() == 0 and far[1].mean() == 1
 
 
+def test_each_coordinate_rejects(spark):
+    """Documents of one cell without any repetition, and one far off in a single count."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def words(n: int, letters_a_word: int = 7) -> list[str]:
+        return ["".join(w) for w in rng.choice(letters, (n, letters_a_word))]
+
+    def lines(of: list[str], a_line: int = 10) -> str:
+        return "\n".join(" ".join(of[i : i + a_line]) for i in range(0, len(of), a_line))
+
+    ordinary = [lines(words(int(n))) for n in rng.integers(150, 250, 400)]
+    sample = words(200)
+    odd = {
+        "longer": lines(words(1600)),
+        "long words": lines(words(200, 14)),
+        "symbols": lines([w + " #" if i % 2 else w for i, w in enumerate(sample)]),
+        # 8 of 20 lines are earlier ones of a word; no window of three words occurs twice.
+        "lines": lines(sample[:160], 80) + "".join("\nsame\n" + w for w in sample[160:169]),
+        # 80 of 200 words, the lines differ.
+        "windows": lines(sample[:160] + sample[:40]).replace("\n", " "),
+    }
+    rows = [(i, t) for i, t in enumerate(ordinary)] + [(-1 - i, t) for i, t in enumerate(odd.values())]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in q.quality(docs)[0].collect()}
+    assert all(got[i]["kept"] for i in range(len(ordinary)))
+    for i, name in enumerate(odd):
+        assert not got[-1 - i]["base_failed"] and not got[-1 - i]["kept"], (name, got[-1 - i])
+    alone = got[-4], got[-5]
+    assert [(r["n_dup_lines"] > 0, r["n_repeat_words"] > 0) for r in alone] == [(True, False), (False, True)]
+
+
 def test_small_cells_are_joined(spark):
     rows = [("c%d" % i, "l%d" % (i % 3)) for i in range(9) for _ in range(10)] + [("big", "l0")] * 60
     points = spark.createDataFrame(rows, "own_cell string, own_lang string")
