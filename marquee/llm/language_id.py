@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from marquee.llm.common import by_arrow, text_runs, with_columns
+from marquee.llm.common import Tables, by_arrow, text_runs, with_columns
 from marquee.llm.words import U64
 
 SIZES = (1, 2, 3)
@@ -20,25 +20,34 @@ BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.5
 # Bound of the matrix that is sent to the tasks: 32 MB.
 MOST_LANGUAGES = 256
+# N-grams whose log-probabilities of all languages are looked up at once (32 MB at most).
+BLOCK = 1 << 15
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
 def gram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size the buckets of all n-grams and the number of each one's text."""
+    """The buckets of all n-grams and the number of each one's text, in blocks of at most
+    ``BLOCK`` n-grams of one size, so that a text of any length takes little besides itself."""
     low = [t.lower() for t in texts]
-    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(U64)
-    of = np.repeat(np.arange(len(texts)), [len(t) for t in low])
-    for size in SIZES:
-        n = len(points) - size + 1
-        if n <= 0:
-            continue
-        total = points[:n] * U64(0x9E3779B97F4A7C15 + 2 * size)
-        for i in range(1, size):
-            total = (total ^ (total >> U64(29))) * U64(0xBF58476D1CE4E5B9) + points[i : i + n]
-        buckets = ((total ^ (total >> U64(32))) * U64(0x94D049BB133111EB)) >> U64(64 - BUCKET_BITS)
-        whole = of[:n] == of[size - 1 :]
-        yield buckets[whole].astype(np.int64), of[:n][whole]
+    ends = np.cumsum([len(t) for t in low])
+    begins = ends - [len(t) for t in low]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    for at in range(0, len(points), BLOCK):
+        # N-grams that begin in this block end up to two places behind it.
+        end = min(at + BLOCK + max(SIZES) - 1, len(points))
+        here = points[at:end].astype(U64)
+        of = np.repeat(np.arange(len(texts)), np.clip(ends, at, end) - np.clip(begins, at, end))
+        for size in SIZES:
+            n = min(BLOCK, len(here) - size + 1)
+            if n <= 0:
+                continue
+            total = here[:n] * U64(0x9E3779B97F4A7C15 + 2 * size)
+            for i in range(1, size):
+                total = (total ^ (total >> U64(29))) * U64(0xBF58476D1CE4E5B9) + here[i : i + n]
+            buckets = ((total ^ (total >> U64(32))) * U64(0x94D049BB133111EB)) >> U64(64 - BUCKET_BITS)
+            whole = of[:n] == of[size - 1 : size - 1 + n]
+            yield buckets[whole].astype(np.int64), of[:n][whole]
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +93,9 @@ class Model:
         scores = np.tile(self.prior, (len(texts), 1))
         for buckets, of in gram_buckets(texts):
             # Texts' n-grams lie together: sums between their first places.
-            first = np.searchsorted(of, np.arange(len(texts)))
-            some = np.flatnonzero(np.diff(np.append(first, len(of))))
-            if len(some):
-                scores[some] += np.add.reduceat(self.grams[buckets], first[some], axis=0, dtype=np.float64)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(first):
+                scores[of[first]] += np.add.reduceat(self.grams[buckets], first, axis=0, dtype=np.float64)
         best = scores.argmax(axis=1)
         chance = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
         letters = [LETTER.search(t) is not None for t in texts]
@@ -96,14 +104,16 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all documents with a language. The counts are summed by Spark; what
-    reaches the driver is one number per language and bucket, for at most
+    """The model of all documents with a language. The counts are taken once, summed by
+    Spark and written to the shared folder for as long as they are read; what reaches the driver is one number per language and bucket, for at most
     ``MOST_LANGUAGES`` languages (more are an error). Null texts count as empty."""
     plain = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = plain.where("lang IS NOT NULL").transform(by_arrow(gram_counts, "lang string, bucket long, count long"))
-    sums = rows.groupBy("lang", "bucket").agg(F.sum("count").alias("count"))
+    held = Tables()
+    sums = held.written(rows.groupBy("lang", "bucket").agg(F.sum("count").alias("count")), "grams")
     head = sums.where("bucket = -1").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(head) > MOST_LANGUAGES:
+        held.delete()
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = [r["lang"] for r in head]
     row = {x: i for i, x in enumerate(langs)}
@@ -111,6 +121,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     for batch in sums.where("bucket >= 0").toArrow().to_batches():
         names = batch.column(0).to_pylist()
         counts[[row[x] for x in names], batch.column(1).to_numpy()] = batch.column(2).to_numpy()
+    held.delete()
     return Model(counts, np.array([r["count"] for r in head], dtype=float), langs)
 
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from marquee.llm import language_id as li
 from marquee.llm.queries import op7_naive_bayes_language
@@ -54,6 +56,33 @@ def test_probabilities_against_brute_force(spark):
         assert abs(chance[0] - 1 / sum(math.exp(v - best) for v in logs)) < 1e-4 and chance[1] == chance[2] == 0
 
 
+@pytest.mark.parametrize("block", [3, 7, 64])
+def test_blocks_change_nothing(monkeypatch, block):
+    texts = ["", "ab", "The quick é日 brown", "c", "", "fox jumps over" * 9]
+    model = li.Model(np.arange(3 * li.BUCKETS).reshape(3, -1) * 7 % 101, np.ones(3), ["a", "b", "c"])
+    whole, names, chance = Counter(), *model.predict(texts)
+    for buckets, of in li.gram_buckets(texts):
+        whole.update(zip(buckets.tolist(), of.tolist(), strict=True))
+    monkeypatch.setattr(li, "BLOCK", block)
+    parts = Counter()
+    for buckets, of in li.gram_buckets(texts):
+        assert len(buckets) <= block
+        parts.update(zip(buckets.tolist(), of.tolist(), strict=True))
+    assert parts == whole and sum(whole.values()) == sum(max(0, len(t) - n) for t in texts for n in range(3))
+    again = model.predict(texts)
+    assert again[0] == names and np.allclose(again[1], chance)
+
+
+def test_a_long_text_in_many_languages_takes_little_memory():
+    model = li.Model(np.ones((li.MOST_LANGUAGES, li.BUCKETS)), np.ones(li.MOST_LANGUAGES), [f"l{i:03}" for i in range(li.MOST_LANGUAGES)])
+    text = "the quick brown " * 50_000
+    tracemalloc.start()
+    names, chance = model.predict([text, "12"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["l000", "und"] and abs(chance[0] - 1 / li.MOST_LANGUAGES) < 1e-9 and peak < 200_000_000
+
+
 def test_odd_rows(spark):
     docs = odd_rows(spark)
     model = li.fit(docs)
