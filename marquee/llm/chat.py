@@ -24,9 +24,12 @@ TURNS = (
     '</turn>{{ "\\n" }}'
     "{% endfor %}"
 )
-TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
+# Nothing that was read is given back (++, *+), so a turn of any length needs no stack.
+TURN = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>((?:[^\\<]++|\\.)*+)</turn>\n", re.DOTALL)
 PIECE = "conv_id long, piece long, text string, generated array<struct<start:long,end:long>>"
+# Rows, and characters of their texts, that go on at once (one row at least).
 ROWS = 2000
+CHARS = 1 << 20
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -37,11 +40,13 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def batches_of(rows: Iterator[dict], kind: pa.StructType) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
+    chars = 0
     for row in rows:
         held.append(row)
-        if len(held) == ROWS:
+        chars += len(row.get("text", ""))
+        if len(held) == ROWS or chars >= CHARS:
             yield pa.RecordBatch.from_struct_array(pa.array(held, kind))
-            held = []
+            held, chars = [], 0
     if held:
         yield pa.RecordBatch.from_struct_array(pa.array(held, kind))
 

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marquee.llm import templates as t
-from marquee.llm.chat import TURN, TURNS, formatted, read_back
+from marquee.llm.chat import CHARS, TURN, TURNS, batches_of, formatted, read_back
 from marquee.llm.queries import op9_chat_templates
 from tests.llm.rows import FOLDER
 
@@ -108,3 +110,20 @@ def test_other_order_of_rows(spark):
     turns = spark.createDataFrame([(5, i, "user", str(i)) for i in range(3000)], "conv_id long, turn long, role string, text string")
     (row,) = read_back(formatted(turns.orderBy("text").repartition(6))).collect()
     assert row["turns_sha256"] == digest("".join(f"user\n{i}\n" for i in range(3000)))
+
+
+@pytest.mark.parametrize("text", ["a" * 16_000_000, "\\<" * 4_000_000], ids=["plain", "marked"])
+def test_a_very_long_turn_takes_no_stack(text):
+    whole = f"<turn user>{text}</turn>\n"
+    tracemalloc.start()
+    found = TURN.match(whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.span(2) == (11, 11 + len(text)) and peak < 1_000_000
+
+
+def test_batches_are_bounded_by_characters():
+    kind = pa.struct([("text", pa.string())])
+    texts = ["x" * CHARS, "y", "z" * (CHARS // 2), "z" * (CHARS // 2), "", "w"]
+    got = [b.num_rows for b in batches_of(({"text": x} for x in texts), kind)]
+    assert got == [1, 3, 2]
