@@ -20,8 +20,6 @@ from marquee.llm.words import U64
 
 # Edits allowed, in percent of an item's characters.
 ERROR_PERCENT = 6
-# Shorter items (in normal form) are no passages; they are found nowhere.
-LEAST_CHARS = 20
 # Characters of items that are looked for in one pass over the documents.
 BLOCK_CHARS = 1 << 20
 GRAM = 8
@@ -62,17 +60,52 @@ def bucket(values: np.ndarray) -> np.ndarray:
     return (values * U64(0x9E3779B97F4A7C15)) >> U64(64 - 20)
 
 
+class Pieces:
+    """Pieces of one width (``GRAM`` stands for that and more bytes), to be looked up by
+    their first bytes."""
+
+    def __init__(self, width: int, rows: list[tuple[int, int, int, int, int]]) -> None:
+        self.mask = U64((1 << 8 * width) - 1)
+        first, last, size, item, offset = zip(*sorted(rows), strict=True)
+        self.first, self.last = np.array(first, dtype=U64), np.array(last, dtype=U64)
+        self.size, self.item, self.offset = (np.array(x, dtype=np.int64) for x in (size, item, offset))
+        self.filter = np.zeros(1 << 20, dtype=bool)
+        self.filter[bucket(self.first)] = True
+        self.width = width
+
+    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pieces, and the pieces."""
+        begun = windows if self.width == GRAM else windows & self.mask
+        likely = np.flatnonzero(self.filter[bucket(begun)])
+        found = begun[likely]
+        low = np.searchsorted(self.first, found, side="left")
+        count = np.searchsorted(self.first, found, side="right") - low
+        at = np.repeat(likely, count)
+        piece = np.repeat(low, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        end = at + self.size[piece] - self.width
+        fits = end < len(windows)
+        at, piece, end = at[fits], piece[fits], end[fits]
+        same = windows[end] & self.mask == self.last[piece]
+        return at[same], piece[same]
+
+
 class Items:
-    """Items of one block with an index of their pieces."""
+    """Items of one block with an index of their pieces.
+
+    An item that allows no edit is one piece: itself as whole words, with a blank at
+    either end.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], error_percent: int) -> None:
         self.ids, self.texts, self.errors, self.masks = [], [], [], []
-        pieces: list[tuple[int, int, int, int, bytes]] = []
+        pieces: dict[int, list[tuple[int, int, int, int, int]]] = {}
         for item, text in rows:
             plain = normal(text).decode("utf-8").strip(" ")
-            if len(plain) < LEAST_CHARS:
+            if not plain:
                 continue
             allowed = len(plain) * error_percent // 100
+            if not allowed:
+                plain = f" {plain} "
             number = len(self.ids)
             self.ids.append(item), self.texts.append(plain), self.errors.append(allowed)
             masks: dict[str, int] = {}
@@ -83,30 +116,25 @@ class Items:
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 piece = plain[low:high].encode("utf-8")
                 first, last = (int.from_bytes(p, "little") for p in (piece[:GRAM], piece[-GRAM:]))
-                pieces.append((first, last, len(piece), number, len(plain[:low].encode("utf-8"))))
-        pieces.sort()
-        self.first = np.array([p[0] for p in pieces], dtype=U64)
-        self.last = np.array([p[1] for p in pieces], dtype=U64)
-        self.size = np.array([p[2] for p in pieces], dtype=np.int64)
-        self.item = np.array([p[3] for p in pieces], dtype=np.int64)
-        self.offset = np.array([p[4] for p in pieces], dtype=np.int64)
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[bucket(self.first)] = True
-
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of pieces in normal text, and the pieces."""
-        windows = grams(data)
-        likely = np.flatnonzero(self.filter[bucket(windows)])
-        found = windows[likely]
-        low = np.searchsorted(self.first, found, side="left")
-        count = np.searchsorted(self.first, found, side="right") - low
-        at = np.repeat(likely, count)
-        piece = np.repeat(low, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        end = at + self.size[piece] - GRAM
-        fits = end < len(windows)
-        at, piece, end = at[fits], piece[fits], end[fits]
-        same = windows[end] == self.last[piece]
-        return at[same], piece[same]
+                pieces.setdefault(min(len(piece), GRAM), []).append(
+                    (first, last, len(piece), number, len(plain[:low].encode("utf-8")))
+                )
+        self.pieces = [Pieces(width, found) for width, found in sorted(pieces.items())]
+
+    def hits(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces stand in normal texts: the text, the item, where the item would
+        begin, and whether the bytes compared are the whole item."""
+        # Bytes that no item has let short pieces be found up to the end.
+        windows = grams(np.append(data, np.zeros(GRAM - 1, dtype=np.uint8)))
+        out = []
+        for some in self.pieces:
+            at, piece = some.hits(windows)
+            size, item, offset = some.size[piece], some.item[piece], some.offset[piece]
+            of = np.searchsorted(begins, at, side="right") - 1
+            inside = at + size <= begins[of + 1]
+            whole = (np.array(self.errors, dtype=np.int64)[item] == 0) & (size <= 2 * GRAM)
+            out.append([x[inside] for x in (of, item, at - offset, whole)])
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def myers(masks: dict[str, int], size: int, text: str) -> int:
@@ -136,14 +164,11 @@ def found_in(items: Items, texts: list[str]) -> list[list[dict[str, int]]]:
     """Items in each text with their smallest distance."""
     out: list[list[dict[str, int]]] = [[] for _ in texts]
     data, begins = normal_run(texts)
-    at, piece = items.hits(data)
-    if not len(at):
+    of, item, start, whole = items.hits(data, begins)
+    if not len(of):
         return out
-    of = np.searchsorted(begins, at, side="right") - 1
-    inside = at + items.size[piece] <= begins[of + 1]
-    start = (at - items.offset[piece])[inside]
-    item, of = items.item[piece[inside]], of[inside]
-    best: dict[tuple[int, int], int] = {}
+    best = {(int(t), int(n)): 0 for t, n in np.unique(np.stack([of[whole], item[whole]], axis=1), axis=0)}
+    of, item, start = of[~whole], item[~whole], start[~whole]
     last: tuple[int, int, int] = (-1, -1, 0)
     for i in np.lexsort((start, item, of)):
         t, n, s = int(of[i]), int(item[i]), int(start[i])
@@ -219,8 +244,9 @@ def contaminated(
 
     Case, punctuation and white space don't count. An item is found where its
     distance to some stretch of the document is at most ``error_percent`` of its
-    length; none is missed. Null and empty texts hold nothing, null and short items
-    (``LEAST_CHARS``) are nowhere; an item of several rows is reported for each. The
+    length; none is missed. Short items that thus allow no edit are found as they are, as
+    whole words. Null and empty texts hold nothing, null items and those without a letter
+    or digit are nowhere; an item of several rows is reported for each. The
     items go to the tasks in blocks of ``BLOCK_CHARS``, one pass over the documents each.
     """
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
