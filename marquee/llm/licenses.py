@@ -15,11 +15,12 @@ from marquee.llm.common import with_columns
 
 # Phrases in words, and the labels that they stand for.
 BASE_PHRASES = {
-    "the mit license": "mit",
+    "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
 NOTICE_PHRASES = {
+    "the mit license": "mit",
     "released under the mit license": "mit",
     "licensed under the apache license": "apache",
     "gnu general public license": "gpl",

@@ -102,3 +102,11 @@ def test_odd_rows(spark):
 def test_the_longest_beginning_of_a_tag_line(line, labels):
     assert li.scan([line])[5] == [labels]
     assert li.scan([line])[6] == [1.0 if labels else 0.0]
+
+
+def test_the_base_phrases_of_the_contract():
+    texts = ["Under the MIT License; the MIT license, under the mit license", "The MIT License (MIT)", "under the mit licenses"]
+    _, n_base, first, last, base, labels, score, _ = li.scan(texts)
+    assert (n_base, first, last) == ([2, 0, 0], [0, None, None], [7, None, None])
+    assert base == [["mit"], [], []] and labels == [["mit"], ["mit"], []]
+    assert score == [li.SURE["base"], li.SURE["notice"], 0.0]
