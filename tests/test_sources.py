@@ -132,3 +132,19 @@ def test_shared_folder_lies_below_the_checkpoint_folder(spark):
     first = session.shared_folder(spark, "x")
     assert first.startswith(f"{root}/x-")
     assert first != session.shared_folder(spark, "x")
+
+
+@pytest.mark.parametrize("checkpoints", [None, "/shared/checkpoints"])
+def test_a_cluster_shares_its_warehouse(checkpoints):
+    settings = {"spark.checkpoint.dir": checkpoints, "spark.sql.warehouse.dir": "hdfs://far/tables"}
+
+    class Session:
+        conf = settings
+        sparkContext = type("Context", (), {"master": "local-cluster[3,4,10000]"})
+
+    assert session.shared_folder(Session(), "x").startswith("hdfs://far/tables/x-")
+    settings["spark.checkpoint.dir"] = "hdfs://far/checkpoints"
+    assert session.shared_folder(Session(), "x").startswith("hdfs://far/checkpoints/x-")
+    settings |= {"spark.checkpoint.dir": checkpoints, "spark.sql.warehouse.dir": None}
+    with pytest.raises(ValueError):
+        session.shared_folder(Session(), "x")
