@@ -19,8 +19,8 @@ from marquee.functions.ids import (
     are_whole_numbers,
     bit_in_word,
     bitmap_of,
-    bits_of,
     has_bit,
+    places_of,
     word_of,
 )
 from marquee.functions.numbers import (
@@ -44,7 +44,6 @@ __all__ = [
     "as_utc",
     "bit_in_word",
     "bitmap_of",
-    "bits_of",
     "date_text",
     "day_of",
     "days_between",
@@ -61,6 +60,7 @@ __all__ = [
     "parse_month",
     "parse_timestamp",
     "percentage",
+    "places_of",
     "two_places",
     "weekday_name",
     "weekday_number",

@@ -206,7 +206,7 @@ def test_overdue_by_calendar_days(spark):
     ]
 
 
-def shuffled_rows(frame):
+def shuffled_rows(frame, metric="shuffleRecordsWritten"):
     """Rows written by the exchanges of a frame that has run, from Spark's metrics."""
     frame.collect()
     total = []
@@ -218,7 +218,7 @@ def shuffled_rows(frame):
         if "QueryStage" in name:
             return walk(node.plan())
         if name.startswith("Exchange"):
-            total.append(node.metrics().apply("shuffleRecordsWritten").value())
+            total.append(node.metrics().apply(metric).value())
         children = node.children()
         for i in range(children.size()):
             walk(children.apply(i))
@@ -251,6 +251,20 @@ def test_rentals_as_bitmaps(spark, staff, many_payments):
     assert max(shuffled_rows(by_bits)) <= 8 * 2 * 2 * 4 < 1000 < 40_000 <= max(shuffled_rows(by_ids))
 
 
+def test_far_apart_rentals_are_narrow_rows(spark, staff):
+    """Ids that share no bitmap: what a reduce task sorts is not 4 KB for each."""
+    far = spark.range(0, 3000, 1, 8).selectExpr(
+        "id AS payment_id",
+        "id * 40000 AS rental_id",
+        "1 AS staff_id",
+        "CAST(1 AS DECIMAL(5,2)) AS amount",
+        "TIMESTAMP_NTZ '2005-07-01 00:00:00' AS payment_date",
+    )
+    frame = store_month_operating_days(staff, far)
+    assert max(shuffled_rows(frame, "dataSize")) < 3000 * 200
+    assert [r.rentals for r in frame.collect()] == [3000]
+
+
 def test_no_payment_with_a_rental(spark, staff):
     rows_ = payments(spark, [(1, None, 1, "2.00", "2005-07-01"), (2, None, 1, "3.00", "2005-07-01")])
     (row,) = store_month_operating_days(staff, rows_).collect()
