@@ -32,9 +32,12 @@ LEAST_GAIN = 0.01
 # Ids of a shard; a longer document has a shard of its own.
 SHARD_IDS = 1 << 19
 HASH_BITS = 18
-# Chunks that the library encodes in one text.
-JOINED = 4096
+# Chunks that the library encodes in one text; it takes longer for each one in longer texts.
+JOINED = 64
 U32, U64 = np.uint32, np.uint64
+# Bytes that may be white space, or begin it, within a chunk.
+INNER_SPACE = np.zeros(256, dtype=bool)
+INNER_SPACE[:0x21] = INNER_SPACE[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def spread(pairs: np.ndarray) -> np.ndarray:
@@ -58,26 +61,31 @@ def compress(ids: np.ndarray, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.
             break
         # One pair for each crowded place of the table; others have their turn later.
         chosen = np.zeros(1 << HASH_BITS, U64)
-        chosen[place[at]] = pairs[at]
-        at = at[pairs[at] == chosen[place[at]]]
-        counts = np.bincount(place[at], minlength=1 << HASH_BITS)
+        pairs, place = pairs[at], place[at]
+        chosen[place] = pairs
+        own = pairs == chosen[place]
+        at, place = at[own], place[own]
+        counts = np.bincount(place, minlength=1 << HASH_BITS)
         frequent = np.flatnonzero(counts >= least)
         if not len(frequent):
             break
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
         rank_at = np.full(1 << HASH_BITS, len(frequent), np.int32)
         rank_at[frequent] = np.arange(len(frequent), dtype=np.int32)
-        rank = np.full(len(symbols) + 1, len(frequent), np.int32)  # with one place before and one after
-        rank[at + 1] = rank_at[place[at]]
+        here = rank_at[place]
+        at, here = at[here < len(frequent)], here[here < len(frequent)]
         # Of overlapping pairs the more frequent one; of a run of equal ones every other.
-        here, ahead, after = rank[1:-1], rank[:-2], rank[2:]
-        begins = np.flatnonzero(here != ahead)
-        if not len(begins) or begins[0]:
-            begins = np.insert(begins, 0, 0)
-        offset = np.arange(len(here)) - np.repeat(begins, np.diff(np.append(begins, len(here))))
+        near = np.diff(at) == 1
+        ahead, after = np.full((2, len(at)), len(frequent), np.int32)
+        ahead[1:][near], after[:-1][near] = here[:-1][near], here[1:][near]
+        every = np.arange(len(at))
+        offset = every - np.maximum.accumulate(np.where(here != ahead, every, 0))
         free = (offset > 0) | (here < ahead)
-        taken = np.flatnonzero((here < len(frequent)) & (offset % 2 == 0) & free & (here <= after))
-        used, number = np.unique(here[taken], return_inverse=True)
+        first_of = np.flatnonzero((offset % 2 == 0) & free & (here <= after))
+        taken, here = at[first_of], here[first_of]
+        used = np.flatnonzero(np.bincount(here, minlength=len(frequent)))
+        number_of = np.zeros(len(frequent), U32)
+        number_of[used] = np.arange(len(used))
         new = chosen[frequent[used]]
         pair = np.stack([(new >> U64(32)).astype(U32), new.astype(U32)], axis=1)
         rules.append(pair)
@@ -85,7 +93,7 @@ def compress(ids: np.ndarray, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.
         length_of = np.concatenate([length_of, lengths[-1]])
         before = len(symbols)
         symbols = symbols.copy()
-        symbols[taken] = (known + number).astype(U32)
+        symbols[taken] = U32(known) + number_of[here]
         keep = np.ones(before, bool)
         keep[taken + 1] = False
         symbols = symbols[keep]
@@ -145,17 +153,15 @@ class Shard:
         made = symbols >= self.first
         if not made.any():
             return symbols
+        # Where each symbol's ids lie: in what rules stand for, or behind that as they are.
         rule = symbols[made] - self.first
         sizes = np.ones(len(symbols), np.int64)
         sizes[made] = self.lengths[rule]
-        out = np.repeat(symbols, sizes)
+        low = len(self.full) + np.arange(len(symbols))
+        low[made] = self.rule_ends[rule] - sizes[made]
         ends = np.cumsum(sizes)
-        inner = np.repeat(made, sizes)
-        shift = np.zeros(len(symbols), np.int64)
-        shift[made] = self.rule_ends[rule] - ends[made]
-        places = np.flatnonzero(inner)
-        out[places] = self.full[places + np.repeat(shift[made], sizes[made])]
-        return out
+        places = np.arange(ends[-1]) + np.repeat(low - ends + sizes, sizes)
+        return np.concatenate([self.full, symbols])[places]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids from ``start`` to ``stop`` of the shard; only their symbols are expanded."""
@@ -211,16 +217,27 @@ def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.encode_special_tokens = True
 
     separator = tokenizer.encode("\n", add_special_tokens=False).ids
-    inner_space = re.compile(rb"[\x00-\x20\x7f]|[\xc2\xe1-\xe3]|<\|")
+
+    def joins(chunks: list[bytes]) -> np.ndarray:
+        """Whether each chunk is a blank with no white space nor a special token behind it."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        data = np.frombuffer(b"".join(chunks) + b"\0", np.uint8)
+        ends = np.cumsum(sizes)
+        inner = INNER_SPACE[data]
+        inner[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        before = np.concatenate([[0], np.cumsum(inner)])
+        begins = ends - sizes
+        # The blank itself is one of them.
+        return (len(separator) == 1) & (data[begins] == 0x20) & (sizes > 0) & (sizes < 200) & (before[ends] - before[begins] == 1)
 
     def encode(chunks: list[bytes]) -> list[bytes]:
         # A chunk without white space, behind its blank, keeps its ids in a text of many
         # chunks with line feeds between them: these are pieces, and tokens, of their own.
         out: list[bytes] = [b""] * len(chunks)
-        plain, rest = [], []
-        for i, chunk in enumerate(chunks):
-            joins = len(separator) == 1 and chunk[:1] == b" " and len(chunk) < 200 and not inner_space.search(chunk, 1)
-            (plain if joins else rest).append(i)
+        joined = joins(chunks)
+        rest = np.flatnonzero(~joined).tolist()
+        # Chunks alike lie near each other, which the processor's cache rewards.
+        plain = sorted(np.flatnonzero(joined).tolist(), key=chunks.__getitem__)
         for low in range(0, len(plain), JOINED):
             part = plain[low : low + JOINED]
             text = b"\n".join([chunks[i] for i in part]).decode("utf-8")

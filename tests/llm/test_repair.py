@@ -127,3 +127,43 @@ def test_the_longest_token_counts():
     coded = r.around({"<a>": 1, "<a><b>": 2}, encode)(["x<a><b>y<a>", "z"])
     assert seen == ["x", "y", "", "z"]
     assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [[2, 1], []]
+
+
+def test_the_library_gets_short_texts_of_chunks_alike(monkeypatch):
+    import tokenizers
+
+    right, seen = tokenizers.Tokenizer.from_file(PATH), []
+
+    class Recorded:
+        def __init__(self, path):
+            self.whole = tokenizer_class.from_file(path)
+
+        from_file = classmethod(lambda cls, path: cls(path))
+
+        def __getattr__(self, name):
+            return getattr(self.whole, name)
+
+        def encode(self, text, **options):
+            seen.append(text)
+            return self.whole.encode(text, **options)
+
+    tokenizer_class = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Recorded)
+    r.library_encoder.cache_clear()
+    rng = np.random.default_rng(3)
+    odd = ["a b c　d e\x7ff", " <| x <|y|> |", "é " + "w" * 300 + " ü\n\n  z", "", " ", "\n", "x <", "| y", "日本 語。 \x85q  r"]
+    texts = [" ".join(f"{a:x}n{b}" for a, b in rng.integers(0, 1 << 20, (500, 2))) for _ in range(6)] + odd
+    coded = r.library_encoder(PATH)(texts)
+    r.library_encoder.cache_clear()
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [right.encode(t, add_special_tokens=False).ids for t in texts]
+    parts = [t.split("\n") for t in seen if t.startswith(" ")]
+    chunks = [c.encode() for p in parts for c in p]
+    assert len(chunks) > 2500 and max(map(len, parts)) <= 128
+    assert chunks == sorted(chunks)
+
+
+def test_symbols_of_both_kinds_are_expanded():
+    ids = np.concatenate([np.tile([5, 6, 5, 6, 6], 300), np.arange(40), [3]]).astype("<u4")
+    got = shard(ids)
+    assert len(got.rules) and got.expanded(got.symbols).tolist() == ids.tolist()
+    assert got.expanded(got.symbols[:0]).tolist() == [] and got.expanded(got.symbols[-3:]).tolist() == [38, 39, 3]
